@@ -9,16 +9,45 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hopweave.llm import bytepair
+from hopweave.llm import bytepair, exactdedup, packing, tokencount
 from hopweave.llm.common import documents
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytepair.round_trip_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.piece_digests(packing.pack(spark, documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.decisions(spark, documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_byte_bpe": op2_byte_bpe,
+    "op5_packing": op5_packing,
+    "op10_exact_dedup": op10_exact_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_exact_dedup": r"""
+        WITH t AS (
+            SELECT doc_id, length(coalesce(text, '')) AS n_chars,
+                   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare
+            FROM documents
+        )
+        SELECT doc_id,
+               first_value(doc_id) OVER w AS keep_id,
+               count(*) OVER (PARTITION BY bare) AS group_size,
+               doc_id = first_value(doc_id) OVER w AS kept,
+               sha256(bare) AS text_sha256
+        FROM t WINDOW w AS (PARTITION BY bare ORDER BY n_chars DESC, doc_id)
+    """,
+}
