@@ -47,7 +47,7 @@ def _joined_to(probe: str) -> np.ndarray:
     ranks = {bytes([b]): b for b in range(256)} | {bytes([b]) + last: 256 + b for b in range(256)}
     every = np.array([c for c in range(0x110000) if c not in WHITE_SPACE and not 0xD800 <= c < 0xE000])
     text = "".join(f"{chr(c)}{probe}\n" for c in every)
-    ids = np.array(tiktoken.Encoding("probe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(text))
+    ids = tiktoken.Encoding("probe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy(text)
     return every[ids[np.flatnonzero(ids == 0x0A) - 1] >= 256]
 
 

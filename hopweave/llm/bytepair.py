@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from hopweave.llm.boundaries import pieces
 from hopweave.llm.common import slices, texts
 
-CACHE = 700_000
+CACHE = 250_000
 LONG = 120  # bytes; longer pre-tokens merge with a heap
 
 

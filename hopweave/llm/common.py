@@ -54,7 +54,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def slices(batch, column: int = 1, most: int = 4_000_000):
+def slices(batch, column: int = 1, most: int = 1_000_000):
     """Split a RecordBatch so that one slice's texts stay near ``most`` bytes;
     a single longer text is a slice of its own, whole."""
     size, begin = 0, 0
