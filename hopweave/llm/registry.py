@@ -9,9 +9,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hopweave.llm import bytepair, exactdedup, packing, tokencount
+from hopweave.llm import bytepair, exactdedup, fingerprints, licenses, packing, pii, tokencount
 from hopweave.llm.common import documents
 
+#: The key of the registered queries; a deployment passes its own.
+PII_KEY = "registered query"
+
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -25,6 +28,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(spark, documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), PII_KEY)
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.labelled(spark, documents(spark, sf_dir))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_digests(spark, documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.decisions(spark, documents(spark, sf_dir))
 
@@ -33,6 +48,9 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_byte_bpe": op2_byte_bpe,
     "op5_packing": op5_packing,
+    "op6_pii": op6_pii,
+    "op7_license_scan": op7_license_scan,
+    "op8_fingerprints": op8_fingerprints,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
