@@ -25,6 +25,7 @@ from hopweave.llm.common import land, shared_dir
 BLANKS = " \t\n\x0b\x0c\r"
 BROADCAST_ROWS = 200_000  # rows of some 100 bytes; larger sides are shuffled
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+RECORDS_PER_STORE = 1_000_000  # an open store takes 4 MB of disk at least, so few large ones
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
@@ -68,12 +69,13 @@ def _best() -> Column:
     )
 
 
-def fold(spark: SparkSession, records: str, schema, files_per_batch: int = 1000) -> str:
-    """Run the stream over all files of records; the checkpoint's place."""
+def fold(spark: SparkSession, records: DataFrame, files_per_batch: int = 1000) -> str:
+    """Run the stream over all files of landed records; the checkpoint's place."""
     place = f"{shared_dir(spark)}/dedup-state-{uuid.uuid4().hex}"
-    with _settings(spark, STATE):
+    stores = max(spark.sparkContext.defaultParallelism, -(-records.count() // RECORDS_PER_STORE))
+    with _settings(spark, STATE | {"spark.sql.streaming.internal.stateStore.partitions": str(stores)}):
         query = (
-            spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(records)
+            spark.readStream.schema(records.schema).option("maxFilesPerTrigger", files_per_batch).parquet(records._landed_path)
             .groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(_best()).alias("best"))
             .writeStream.outputMode("update").format("noop")
             .option("checkpointLocation", place).trigger(availableNow=True).start()
@@ -109,7 +111,7 @@ def dedup(
         digest(normalised(F.col(text_col))).alias("digest"), F.concat_ws("#", F.input_file_name(), F.col(id_col).cast("string")).alias("locator"),
     )
     records = land(spark, records, "dedup-records")
-    place = fold(spark, records._landed_path, records.schema)
+    place = fold(spark, records)
     hits = land(spark, state(spark, place).where("group_size > 1"), "dedup-hits")
     n_hits = hits.count()
 
