@@ -27,9 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def land(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def land(spark: SparkSession, df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, and a
-    lost executor only costs the tasks that were running on it."""
+    lost executor only costs the tasks that were running on it.  ``narrow``
+    tables (ids only) are written by no more tasks than there are cores."""
+    if narrow:
+        df = df.coalesce(spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
@@ -63,7 +66,7 @@ def slices(batch, column: int = 1, most: int = 1_000_000):
 
     sizes = pc.fill_null(pc.binary_length(lengths), 0).to_pylist()
     for i, n in enumerate(sizes):
-        if size and size + n > most:
+        if i > begin and (size + n > most or i - begin >= 50_000):
             yield batch.slice(begin, i - begin)
             begin, size = i, 0
         size += n

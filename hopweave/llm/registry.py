@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hopweave.llm import bytepair, exactdedup, fingerprints, licenses, packing, pii, tokencount
+from hopweave.llm import bytepair, exactdedup, fingerprints, licenses, ngramjoin, packing, pii, tokencount
 from hopweave.llm.common import documents
 
 #: The key of the registered queries; a deployment passes its own.
@@ -24,6 +24,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytepair.round_trip_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.labelled(spark, documents(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(spark, documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -47,6 +51,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_ngram_join": op4_ngram_join,
     "op5_packing": op5_packing,
     "op6_pii": op6_pii,
     "op7_license_scan": op7_license_scan,
