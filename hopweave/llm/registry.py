@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hopweave.llm import bytepair, exactdedup, fingerprints, licenses, ngramjoin, packing, pii, tokencount
+from hopweave.llm import bytepair, chat, exactdedup, fingerprints, licenses, ngramjoin, packing, pii, quality, tokencount
 from hopweave.llm.common import documents
 
 #: The key of the registered queries; a deployment passes its own.
@@ -24,6 +24,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytepair.round_trip_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.labelled(spark, documents(spark, sf_dir))
 
@@ -44,18 +48,32 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_digests(spark, documents(spark, sf_dir))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.classify(docs, quality.train(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.decisions(spark, documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_token_counts": op1_token_counts,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_chat_format": op3_chat_format,
     "op4_ngram_join": op4_ngram_join,
     "op5_packing": op5_packing,
     "op6_pii": op6_pii,
     "op7_license_scan": op7_license_scan,
     "op8_fingerprints": op8_fingerprints,
+    "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
