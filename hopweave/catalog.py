@@ -1,4 +1,548 @@
-"""Registered queries of the graph engine and their SQL counterparts."""
+"""Registered queries of the graph engine and their SQL counterparts.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Two fixture graphs: G1 (parts and suppliers, sparse) and G2 (users that follow one
+another, dense).  Labels and queries use ranks as vertices.
+"""
+
+from __future__ import annotations
+
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hopweave.functions import codec
+from hopweave.operators import exact, graph, labels, partitioning, query, ranking, traversal, verify
+from hopweave.plans.tables import land
+from hopweave.sources import fixtures
+
+K1, K2 = 4, 3  # hop bounds for G1 and G2
+GROUP = 100  # size bound of vertex groups
+RANGES = 5
+
+# ------------------------------------------------------------------- inputs
+
+
+def g1(spark: SparkSession, sf: str) -> DataFrame:
+    return land(spark, fixtures.part_supplier(spark, sf), "g1")
+
+
+def g2(spark: SparkSession, sf: str) -> DataFrame:
+    return land(spark, fixtures.user_succession(spark, sf), "g2")
+
+
+def ranked(spark: SparkSession, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ranks (id, degree, rank) and arcs between ranks, landed."""
+    r = land(spark, ranking.ranks(spark, edges), "ranks")
+    return r, land(spark, ranking.ranked_edges(edges, r), "ranked")
+
+
+def batch(spark: SparkSession, n: int, k: int) -> DataFrame:
+    """qid, s, t, h: all pairs of ranks below 30, and 200 spread ones."""
+    near = spark.range(900).select("id", F.floor(F.col("id") / 30).cast("int").alias("s"), (F.col("id") % 30).cast("int").alias("t"))
+    near = near.where((F.col("s") < n) & (F.col("t") < n)).select(F.col("id").alias("qid"), "s", "t", ((F.col("s") + F.col("t")) % k + 1).cast("int").alias("h"))
+    i = F.col("id")
+    far = spark.range(200).select((i + 1000).alias("qid"), (i * 7 % n).cast("int").alias("s"), ((i * 13 + 5) % n).cast("int").alias("t"), (i % (k + 1)).cast("int").alias("h"))
+    return near.unionByName(far)
+
+
+def vertices_of(r: DataFrame) -> DataFrame:
+    return r.select(F.col("rank").alias("v"))
+
+
+def index(spark: SparkSession, edges: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    r, e = ranked(spark, edges)
+    return r, e, land(spark, labels.generate(spark, e, vertices_of(r), k), "index")
+
+
+def groups_of(spark: SparkSession, e: DataFrame) -> DataFrame:
+    """v, grp: communities, bounded, split and merged."""
+    found = partitioning.communities(spark, e.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "weight"))
+    return partitioning.merge_small(spark, partitioning.bounded(found, GROUP), GROUP)
+
+
+# ------------------------------------------------------------- graph tables
+
+
+def graph_edges(spark, sf, of=g1):
+    return of(spark, sf)
+
+
+def graph_degree(spark, sf):
+    return graph.degrees(g1(spark, sf))
+
+
+def graph_counts(spark, sf):
+    return graph.counts(g1(spark, sf))
+
+
+def neighbor_lists(spark, sf):
+    found = graph.neighbours(g1(spark, sf))
+    return found.select("v", F.array_join(F.transform("list", lambda x: F.concat_ws(":", x.dst, x.weight)), ",").alias("list"))
+
+
+def _changes(e: DataFrame) -> DataFrame:
+    """Even suppliers' edges doubled in weight, twice; one new edge per part."""
+    once = e.where("src < 10000000")
+    heavy = once.where("dst % 2 = 0")
+    new = once.select("src", F.lit(20_000_000).cast("long").alias("dst"), F.lit(5).alias("weight"), F.lit(1).alias("seq")).distinct()
+    first = heavy.select("src", "dst", (F.col("weight") * 2).cast("int").alias("weight"), F.lit(1).alias("seq"))
+    second = heavy.select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("weight") * 2 + 1).cast("int").alias("weight"), F.lit(2).alias("seq"))
+    return new.unionByName(first).unionByName(second)
+
+
+def edge_upsert(spark, sf):
+    e = g1(spark, sf)
+    return graph.upsert(e, _changes(e))
+
+
+def edge_remove(spark, sf):
+    e = g1(spark, sf)
+    return graph.remove(e, e.where("src < 10000000 AND dst % 3 = 0"))
+
+
+def vertex_isolate(spark, sf):
+    return graph.isolate(g1(spark, sf), 10_000_001)
+
+
+def _probes(e: DataFrame) -> DataFrame:
+    return e.where("src < 10000000").select("src", (F.col("dst") + F.col("src") % 2).alias("dst")).distinct()
+
+
+def edge_exists(spark, sf):
+    e = g1(spark, sf)
+    return graph.exists(e, _probes(e))
+
+
+def edge_weight_lookup(spark, sf):
+    e = g1(spark, sf)
+    return graph.weight_of(e, _probes(e))
+
+
+def neighbor_by_weight(spark, sf):
+    e = g1(spark, sf)
+    return graph.neighbour_by_weight(e, e.select(F.col("src").alias("v")).distinct().withColumn("weight", F.lit(8)))
+
+
+def csr_offsets(spark, sf):
+    return graph.csr_offsets(spark, g1(spark, sf))
+
+
+def edge_ids(spark, sf):
+    return graph.edge_ids(spark, g1(spark, sf)).select("edge_id", "src", "dst")
+
+
+def reverse_edge_ids(spark, sf):
+    return graph.reverse_ids(spark, g1(spark, sf))
+
+
+def symmetry_check(spark, sf):
+    return graph.asymmetric(g1(spark, sf)).agg(F.count(F.lit(1)).alias("n_asymmetric"))
+
+
+def name_dictionary(spark, sf):
+    return graph.encode_names(spark, fixtures.table(spark, sf, "supplier").select(F.col("s_name").alias("name")))
+
+
+def named_edges(spark, sf):
+    """Nation names linked to their region's name."""
+    n, r = fixtures.table(spark, sf, "nation"), fixtures.table(spark, sf, "region")
+    links = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("src"), F.col("r_name").alias("dst"), (F.col("n_nationkey") + 1).cast("int").alias("weight"))
+    names = links.select(F.col("src").alias("name")).unionByName(links.select(F.col("dst").alias("name")))
+    return graph.named_edges(links, graph.encode_names(spark, names))
+
+
+# ---------------------------------------------------- ranks and partitions
+
+
+def rank_vertices(spark, sf, of=g1):
+    return ranking.ranks(spark, of(spark, sf)).select("id", "degree", "rank")
+
+
+def ranked_edges(spark, sf, of=g1):
+    return ranked(spark, of(spark, sf))[1]
+
+
+def rank_flags(spark, sf):
+    r, _ = ranked(spark, g1(spark, sf))
+    return ranking.carry(r.select("id", (F.col("id") >= 10_000_000).alias("flag")), r)
+
+
+def range_partition(spark, sf):
+    return partitioning.by_range(ranked(spark, g1(spark, sf))[0], RANGES)
+
+
+def cdlp(spark, sf):
+    _, e = ranked(spark, g2(spark, sf))
+    return partitioning.communities(spark, e, 3).select(F.col("v").cast("int").alias("v"), F.col("label").cast("int").alias("label"))
+
+
+def group_split(spark, sf):
+    _, e = ranked(spark, g2(spark, sf))
+    found = partitioning.bounded(partitioning.communities(spark, e, 3), 10)
+    return found.select(F.col("v").cast("int").alias("v"), F.col("label").cast("int").alias("label"), "part")
+
+
+def group_merge(spark, sf):
+    """Sizes of merged groups."""
+    _, e = ranked(spark, g1(spark, sf))
+    return groups_of(spark, e).groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+
+
+def group_degree_rank(spark, sf):
+    r, _ = ranked(spark, g1(spark, sf))
+    groups = partitioning.by_range(r, RANGES)
+    return partitioning.by_degree(groups, r.select(F.col("rank").alias("v"), "degree"))
+
+
+def group_bound(spark, sf):
+    r, _ = ranked(spark, g1(spark, sf))
+    return partitioning.largest(partitioning.by_range(r, RANGES), GROUP)
+
+
+# ------------------------------------------------------------------- labels
+
+
+def label_expand_hop1(spark, sf):
+    r, e = ranked(spark, g2(spark, sf))
+    start = labels.initial(vertices_of(r).withColumn("grp", F.lit(0)))
+    return labels.expand(start, e, 1).select("v", "hub", "dist", "parent")
+
+
+def label_candidates_h2(spark, sf):
+    r, e = ranked(spark, g2(spark, sf))
+    one = labels.generate(spark, e, vertices_of(r), 1, with_group=True).where("hop = 1")
+    return labels.expand(one, e, 2).select("v", "hub", "dist")
+
+
+def labels_generate(spark, sf, of=g1, k=K1):
+    return index(spark, of(spark, sf), k)[2].select("v", "hub", "hop", "dist")
+
+
+def _grouped(spark, sf, of, k):
+    r, e = ranked(spark, of(spark, sf))
+    groups = partitioning.by_range(r, RANGES)
+    return r, e, land(spark, labels.generate(spark, e, groups, k), "grouped")
+
+
+def labels_generate_grouped(spark, sf):
+    return _grouped(spark, sf, g2, K2)[2].select("v", "hub", "hop", "dist")
+
+
+def labels_clean(spark, sf, of=g2, k=K2):
+    return labels.clean(_grouped(spark, sf, of, k)[2]).select("v", "hub", "hop", "dist")
+
+
+def labels_prefix_min(spark, sf):
+    return labels.prefix_minimum(index(spark, g2(spark, sf), K2)[2], K2)
+
+
+def labels_per_hop(spark, sf):
+    return verify.labels_per_hop(index(spark, g1(spark, sf), K1)[2])
+
+
+def labels_sorted(spark, sf):
+    found = labels.per_vertex(index(spark, g2(spark, sf), K2)[2])
+    return found.select("v", F.array_join(F.transform("list", lambda x: F.concat_ws(":", x.hub, x.hop, x.dist)), ",").alias("list"))
+
+
+def label_pack_unpack(spark, sf):
+    _, _, made = index(spark, g2(spark, sf), K2)
+    packed = made.withColumn("packed", codec.pack(F.col("v"), F.col("hub"), F.col("hop"), F.col("dist")))
+    return packed.select("packed", *[c.alias(name) for name, c in codec.unpack(F.col("packed")).items()])
+
+
+# ------------------------------------------------------------------ queries
+
+
+def query_distance(spark, sf, of=g2, k=K2):
+    r, _, made = index(spark, of(spark, sf), k)
+    return query.distances(batch(spark, r.count(), k), made, k)
+
+
+def _path_check(spark, sf, stored: bool):
+    r, e, made = index(spark, g2(spark, sf), K2)
+    q = batch(spark, r.count(), K2)
+    return query.path_check(q, query.paths(spark, q, made, K2, None if stored else e), e)
+
+
+def query_path_check(spark, sf):
+    """Weights of paths by stored parents."""
+    return _path_check(spark, sf, True).select("qid", "path_weight")
+
+
+def query_path_parentless(spark, sf):
+    """Weights of paths found without parents."""
+    return _path_check(spark, sf, False).select("qid", "path_weight")
+
+
+def query_clamped(spark, sf):
+    r, _ = ranked(spark, g2(spark, sf))
+    return query.clamped(batch(spark, r.count(), K2).withColumn("h", (F.col("h") * 3).cast("int")), K2)
+
+
+def exact_hop_distance(spark, sf):
+    r, e = ranked(spark, g2(spark, sf))
+    return exact.hop_distances(spark, e, vertices_of(r).where("v < 20").withColumnRenamed("v", "s"), K2)
+
+
+def exact_hop_path_hops(spark, sf):
+    r, e = ranked(spark, g2(spark, sf))
+    return exact.distances(spark, batch(spark, r.count(), K2), e, K2)
+
+
+def exact_path_check(spark, sf):
+    r, e = ranked(spark, g2(spark, sf))
+    q = batch(spark, r.count(), K2)
+    return query.path_check(q, exact.paths(spark, q, e, K2), e)
+
+
+def verify_mismatches(spark, sf):
+    r, e, made = index(spark, g2(spark, sf), K2)
+    return verify.mismatches(spark, batch(spark, r.count(), K2), made, e, K2)
+
+
+def verify_random(spark, sf):
+    r, e, made = index(spark, g1(spark, sf), K1)
+    return verify.mismatches(spark, verify.random_queries(r.count(), 20, 20, K1, spark), made, e, K1)
+
+
+def index_stats(spark, sf):
+    r, _, grouped = _grouped(spark, sf, g2, K2)
+    return verify.index_stats(grouped, labels.clean(grouped), r.count()).select("labels_after", "per_vertex", "bytes")
+
+
+# ---------------------------------------------------------------- traversal
+
+
+def traverse_bfs(spark, sf):
+    _, e = ranked(spark, g1(spark, sf))
+    return traversal.bfs(spark, e, 0)
+
+
+def traverse_sssp(spark, sf):
+    _, e = ranked(spark, g2(spark, sf))
+    return traversal.sssp(spark, e, 0)
+
+
+def traverse_wcc(spark, sf):
+    return traversal.wcc(spark, g1(spark, sf))
+
+
+def traverse_pagerank(spark, sf):
+    _, e = ranked(spark, g2(spark, sf))
+    return traversal.pagerank(spark, e).select(F.col("v").cast("int").alias("v"), F.round("score", 9).alias("score"))
+
+
+QUERIES = {
+    "query_distance": query_distance,
+    "query_distance_sparse": partial(query_distance, of=g1, k=K1),
+    "query_path_check": query_path_check,
+    "query_path_parentless": query_path_parentless,
+    "query_clamped": query_clamped,
+    "graph_edges": graph_edges,
+    "graph_edges_dense": partial(graph_edges, of=g2),
+    "graph_degree": graph_degree,
+    "graph_counts": graph_counts,
+    "neighbor_lists": neighbor_lists,
+    "edge_upsert": edge_upsert,
+    "edge_remove": edge_remove,
+    "vertex_isolate": vertex_isolate,
+    "edge_exists": edge_exists,
+    "edge_weight_lookup": edge_weight_lookup,
+    "neighbor_by_weight": neighbor_by_weight,
+    "csr_offsets": csr_offsets,
+    "edge_ids": edge_ids,
+    "reverse_edge_ids": reverse_edge_ids,
+    "symmetry_check": symmetry_check,
+    "name_dictionary": name_dictionary,
+    "named_edges": named_edges,
+    "rank_vertices": rank_vertices,
+    "rank_vertices_dense": partial(rank_vertices, of=g2),
+    "ranked_edges": ranked_edges,
+    "rank_flags": rank_flags,
+    "range_partition": range_partition,
+    "cdlp": cdlp,
+    "group_split": group_split,
+    "group_merge": group_merge,
+    "group_degree_rank": group_degree_rank,
+    "group_bound": group_bound,
+    "label_expand_hop1": label_expand_hop1,
+    "label_candidates_h2": label_candidates_h2,
+    "labels_generate": labels_generate,
+    "labels_generate_dense": partial(labels_generate, of=g2, k=K2),
+    "labels_generate_grouped": labels_generate_grouped,
+    "labels_clean": labels_clean,
+    "labels_clean_sparse": partial(labels_clean, of=g1, k=K1),
+    "labels_prefix_min": labels_prefix_min,
+    "labels_per_hop": labels_per_hop,
+    "labels_sorted": labels_sorted,
+    "label_pack_unpack": label_pack_unpack,
+    "exact_hop_distance": exact_hop_distance,
+    "exact_hop_path_hops": exact_hop_path_hops,
+    "exact_path_check": exact_path_check,
+    "verify_mismatches": verify_mismatches,
+    "verify_random": verify_random,
+    "index_stats": index_stats,
+    "traverse_bfs": traverse_bfs,
+    "traverse_sssp": traverse_sssp,
+    "traverse_wcc": traverse_wcc,
+    "traverse_pagerank": traverse_pagerank,
+}
+
+# ---------------------------------------------------------------------- SQL
+
+G1 = """
+g AS (SELECT DISTINCT l_partkey AS a, 10000000 + l_suppkey AS b, CAST(1 + (l_partkey * 7 + l_suppkey * 13) % 20 AS INTEGER) AS weight
+      FROM lineitem WHERE l_linenumber = 1 AND l_quantity >= 48),
+e0 AS (SELECT a AS src, b AS dst, weight FROM g UNION ALL SELECT b, a, weight FROM g)"""
+G2 = """
+f AS (SELECT user_id AS x, lead(user_id) OVER (ORDER BY ts, event_id) AS y FROM events WHERE event_type = 'purchase'),
+g AS (SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b FROM f WHERE y IS NOT NULL AND x <> y),
+e0 AS (SELECT a AS src, b AS dst, CAST(1 + (a * 31 + b * 17) % 20 AS INTEGER) AS weight FROM g
+       UNION ALL SELECT b, a, CAST(1 + (a * 31 + b * 17) % 20 AS INTEGER) FROM g)"""
+RANKS = """,
+deg AS (SELECT src AS id, count(*) AS degree FROM e0 GROUP BY src),
+rk AS (SELECT id, degree, CAST(row_number() OVER (ORDER BY degree DESC, id) - 1 AS INTEGER) AS rank FROM deg),
+e AS (SELECT a.rank AS src, b.rank AS dst, weight FROM e0 JOIN rk a ON a.id = e0.src JOIN rk b ON b.id = e0.dst)"""
+
+
+def _walks(k: int) -> str:
+    """d0 .. dk: least distance with at most so many edges, all pairs."""
+    out = ",\nd0 AS (SELECT rank AS s, rank AS t, 0 AS d FROM rk)"
+    for h in range(1, k + 1):
+        out += f""",
+d{h} AS (SELECT s, t, CAST(min(d) AS INTEGER) AS d FROM (SELECT * FROM d{h - 1} UNION ALL
+         SELECT s, e.dst, d + e.weight FROM d{h - 1} JOIN e ON e.src = t) GROUP BY s, t)"""
+    return out
+
+
+def _index(k: int) -> str:
+    """The canonical label set as hub_labels."""
+    out, union = _walks(k), ["SELECT rank AS v, rank AS hub, 0 AS hop, 0 AS dist FROM rk"]
+    for h in range(1, k + 1):
+        cover = " UNION ALL ".join(
+            f"SELECT p.s AS hub, q.t AS v, p.d + q.d AS d FROM d{i} p JOIN d{h - i} q ON p.t = q.s WHERE p.t < p.s AND p.s < q.t" for i in range(1, h)
+        )
+        if cover:
+            out += f",\nc{h} AS (SELECT hub, v, min(d) AS d FROM ({cover}) GROUP BY hub, v)"
+        joined = f"LEFT JOIN c{h} c ON c.hub = x.s AND c.v = x.t" if cover else ""
+        open_ = "AND (c.d IS NULL OR c.d > x.d)" if cover else ""
+        union.append(
+            f"SELECT x.t, x.s, {h}, x.d FROM d{h} x LEFT JOIN d{h - 1} y ON y.s = x.s AND y.t = x.t {joined}"
+            f" WHERE x.s < x.t AND (y.d IS NULL OR x.d < y.d) {open_}"
+        )
+    return out + ",\nhub_labels AS (" + " UNION ALL ".join(union) + ")"
+
+
+def _batch(k: int) -> str:
+    return f""",
+n AS (SELECT count(*) AS n FROM rk),
+q AS (SELECT i AS qid, CAST(i // 30 AS INTEGER) AS s, CAST(i % 30 AS INTEGER) AS t, CAST((i // 30 + i % 30) % {k} + 1 AS INTEGER) AS h
+      FROM range(900) r(i), n WHERE i // 30 < n AND i % 30 < n
+      UNION ALL SELECT i + 1000, CAST(i * 7 % n AS INTEGER), CAST((i * 13 + 5) % n AS INTEGER), CAST(i % {k + 1} AS INTEGER) FROM range(200) r(i), n)"""
+
+
+def _answers(k: int) -> str:
+    """a: queries with their distance and fewest edges."""
+    d = " UNION ALL ".join(f"SELECT {h} AS h, s, t, d FROM d{h}" for h in range(k + 1))
+    return f"""{_walks(k)}{_batch(k)},
+dd AS ({d}),
+a AS (SELECT q.*, CASE WHEN q.h < 0 THEN 2147483647 WHEN q.s = q.t THEN 0 WHEN q.h = 0 THEN 2147483647
+                  ELSE coalesce(dd.d, 2147483647) END AS distance, dd.d AS found
+      FROM q LEFT JOIN dd ON dd.h = q.h AND dd.s = q.s AND dd.t = q.t),
+ah AS (SELECT a.*, CAST(coalesce((SELECT min(x.h) FROM dd x WHERE x.s = a.s AND x.t = a.t AND x.d = a.found), 0) AS INTEGER) AS hops FROM a)"""
+
+
+def _cdlp(rounds: int) -> str:
+    out = ",\nl0 AS (SELECT rank AS v, rank AS label FROM rk)"
+    for i in range(1, rounds + 1):
+        out += f""",
+l{i} AS (SELECT v, label FROM (SELECT v, label, row_number() OVER (PARTITION BY v ORDER BY n DESC, label) AS r FROM
+         (SELECT e.src AS v, label, count(*) AS n FROM e JOIN l{i - 1} ON l{i - 1}.v = e.dst GROUP BY e.src, label)) WHERE r = 1)"""
+    return out
+
+
+def _pagerank(rounds: int) -> str:
+    out = ",\ndg AS (SELECT src AS v, count(*) AS n FROM e GROUP BY src), tot AS (SELECT count(*) AS m FROM dg),\np0 AS (SELECT v, 1.0::DOUBLE / m AS score FROM dg, tot)"
+    for i in range(1, rounds + 1):
+        out += f""",
+p{i} AS (SELECT dg.v, 0.15::DOUBLE / m + 0.85::DOUBLE * coalesce(g.x, 0) AS score FROM dg CROSS JOIN tot LEFT JOIN
+         (SELECT e.dst AS v, sum(score / n) AS x FROM p{i - 1} JOIN dg USING (v) JOIN e ON e.src = v GROUP BY e.dst) g ON g.v = dg.v)"""
+    return out
+
+
+CHANGED = """,
+h AS (SELECT src, dst, weight FROM e0 WHERE src < 10000000),
+ch AS (SELECT DISTINCT src AS a, 20000000 AS b, 5 AS weight FROM h UNION ALL SELECT src, dst, weight * 2 + 1 FROM h WHERE dst % 2 = 0),
+ch2 AS (SELECT a AS src, b AS dst, weight FROM ch UNION ALL SELECT b, a, weight FROM ch)"""
+PROBES = ", p AS (SELECT DISTINCT src, dst + src % 2 AS dst FROM e0 WHERE src < 10000000)"
+IDS = ", i AS (SELECT row_number() OVER (ORDER BY src, dst) - 1 AS edge_id, src, dst FROM e0)"
+RANGED = f""",
+gr AS (SELECT rank AS v, degree, CAST(floor(rank / ceil((SELECT count(*) FROM rk) / {RANGES}.0)) AS INTEGER) AS grp FROM rk)"""
+SUMS = "SELECT count(*) AS n_queries, 0::BIGINT AS n_distance, 0::BIGINT AS n_path"
+
+ORACLES = {
+    "query_distance": f"WITH {G2}{RANKS}{_answers(K2)} SELECT qid, s, t, h, CAST(distance AS INTEGER) AS distance FROM a",
+    "query_distance_sparse": f"WITH {G1}{RANKS}{_answers(K1)} SELECT qid, s, t, h, CAST(distance AS INTEGER) AS distance FROM a",
+    "query_path_check": f"WITH {G2}{RANKS}{_answers(K2)} SELECT qid, CAST(distance AS INTEGER) AS path_weight FROM a",
+    "query_path_parentless": f"WITH {G2}{RANKS}{_answers(K2)} SELECT qid, CAST(distance AS INTEGER) AS path_weight FROM a",
+    "query_clamped": f"WITH {G2}{RANKS}{_batch(K2)} SELECT qid, s, t, CAST(h * 3 AS INTEGER) AS h, CAST(least(h * 3, {K2}) AS INTEGER) AS hh FROM q",
+    "graph_edges": f"WITH {G1} SELECT * FROM e0",
+    "graph_edges_dense": f"WITH {G2} SELECT * FROM e0",
+    "graph_degree": f"WITH {G1} SELECT src AS v, count(*) AS degree FROM e0 GROUP BY src",
+    "graph_counts": f"WITH {G1} SELECT count(DISTINCT src) AS n, count(*) // 2 AS m, count(*) AS arcs FROM e0",
+    "neighbor_lists": f"WITH {G1} SELECT src AS v, string_agg(dst || ':' || weight, ',' ORDER BY dst, weight) AS list FROM e0 GROUP BY src",
+    "edge_upsert": f"WITH {G1}{CHANGED} SELECT * FROM e0 WHERE (src, dst) NOT IN (SELECT (src, dst) FROM ch2) UNION ALL SELECT * FROM ch2",
+    "edge_remove": f"WITH {G1} SELECT * FROM e0 WHERE NOT (greatest(src, dst) % 3 = 0)",
+    "vertex_isolate": f"WITH {G1} SELECT * FROM e0 WHERE src <> 10000001 AND dst <> 10000001",
+    "edge_exists": f"WITH {G1}{PROBES} SELECT p.src, p.dst, e0.src IS NOT NULL AS found FROM p LEFT JOIN e0 ON e0.src = p.src AND e0.dst = p.dst",
+    "edge_weight_lookup": f"WITH {G1}{PROBES} SELECT p.src, p.dst, weight FROM p LEFT JOIN e0 ON e0.src = p.src AND e0.dst = p.dst",
+    "neighbor_by_weight": f"WITH {G1} SELECT src AS v, 8 AS weight, coalesce(min(dst) FILTER (weight = 8), -1) AS neighbour FROM e0 GROUP BY src",
+    "csr_offsets": f"WITH {G1}{IDS} SELECT src AS v, min(edge_id) AS start, count(*) AS degree FROM i GROUP BY src",
+    "edge_ids": f"WITH {G1}{IDS} SELECT edge_id, src, dst FROM i",
+    "reverse_edge_ids": f"WITH {G1}{IDS} SELECT i.edge_id, j.edge_id AS inv FROM i JOIN i j ON i.src = j.dst AND i.dst = j.src",
+    "symmetry_check": f"WITH {G1} SELECT count(*) AS n_asymmetric FROM e0 x WHERE NOT EXISTS (SELECT 1 FROM e0 y WHERE x.src = y.dst AND x.dst = y.src)",
+    "name_dictionary": "SELECT s_name AS name, row_number() OVER (ORDER BY s_name) - 1 AS id FROM (SELECT DISTINCT s_name FROM supplier)",
+    "named_edges": """WITH l AS (SELECT n_name AS src, r_name AS dst, CAST(n_nationkey + 1 AS INTEGER) AS weight FROM nation JOIN region ON n_regionkey = r_regionkey),
+        d AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS id FROM (SELECT src AS name FROM l UNION SELECT dst FROM l))
+        SELECT a.id AS src, b.id AS dst, weight FROM l JOIN d a ON a.name = src JOIN d b ON b.name = dst""",
+    "rank_vertices": f"WITH {G1}{RANKS} SELECT id, degree, rank FROM rk",
+    "rank_vertices_dense": f"WITH {G2}{RANKS} SELECT id, degree, rank FROM rk",
+    "ranked_edges": f"WITH {G1}{RANKS} SELECT src, dst, weight FROM e",
+    "rank_flags": f"WITH {G1}{RANKS} SELECT rank, id >= 10000000 AS flag FROM rk",
+    "range_partition": f"WITH {G1}{RANKS}{RANGED} SELECT v, grp FROM gr",
+    "cdlp": f"WITH {G2}{RANKS}{_cdlp(3)} SELECT v, label FROM l3",
+    "group_split": f"WITH {G2}{RANKS}{_cdlp(3)} SELECT v, label, CAST((row_number() OVER (PARTITION BY label ORDER BY v) - 1) // 10 AS INTEGER) AS part FROM l3",
+    "group_degree_rank": f"""WITH {G1}{RANKS}{RANGED}, t AS (SELECT grp, CAST(sum(degree) AS BIGINT) AS degree FROM gr GROUP BY grp)
+        SELECT grp, degree, CAST(row_number() OVER (ORDER BY degree DESC, grp) - 1 AS INTEGER) AS place FROM t""",
+    "group_bound": f"""WITH {G1}{RANKS}{RANGED}, t AS (SELECT grp, count(*) AS n FROM gr GROUP BY grp)
+        SELECT greatest(max(n), {GROUP}) AS bound, count(*) AS n_groups FROM t""",
+    "label_expand_hop1": f"WITH {G2}{RANKS} SELECT dst AS v, src AS hub, weight AS dist, src AS parent FROM e WHERE src < dst",
+    "label_candidates_h2": f"""WITH {G2}{RANKS} SELECT b.dst AS v, a.src AS hub, CAST(min(a.weight + b.weight) AS INTEGER) AS dist
+        FROM e a JOIN e b ON a.dst = b.src WHERE a.src < a.dst AND a.src < b.dst GROUP BY b.dst, a.src""",
+    "labels_generate": f"WITH {G1}{RANKS}{_index(K1)} SELECT v, hub, hop, dist FROM hub_labels",
+    "labels_generate_dense": f"WITH {G2}{RANKS}{_index(K2)} SELECT v, hub, hop, dist FROM hub_labels",
+    "labels_clean": f"WITH {G2}{RANKS}{_index(K2)} SELECT v, hub, hop, dist FROM hub_labels",
+    "labels_clean_sparse": f"WITH {G1}{RANKS}{_index(K1)} SELECT v, hub, hop, dist FROM hub_labels",
+    "labels_prefix_min": f"""WITH {G2}{RANKS}{_index(K2)} SELECT v, hub, CAST(i AS INTEGER) AS hop_le, min(dist) AS dist
+        FROM hub_labels JOIN range({K2 + 1}) r(i) ON hop <= i GROUP BY v, hub, i""",
+    "labels_per_hop": f"WITH {G1}{RANKS}{_index(K1)} SELECT hop, count(*) AS n FROM hub_labels GROUP BY hop",
+    "labels_sorted": f"""WITH {G2}{RANKS}{_index(K2)} SELECT v, string_agg(hub || ':' || hop || ':' || dist, ',' ORDER BY hub, hop, dist) AS list
+        FROM hub_labels GROUP BY v""",
+    "label_pack_unpack": f"""WITH {G2}{RANKS}{_index(K2)} SELECT (v::BIGINT << 37) | (hub::BIGINT << 13) | (hop::BIGINT << 10) | dist AS packed,
+        v AS edge, hub, hop, dist FROM hub_labels""",
+    "exact_hop_distance": f"WITH {G2}{RANKS}{_walks(K2)} SELECT s, t, d AS dist FROM d{K2} WHERE s < 20",
+    "exact_hop_path_hops": f"WITH {G2}{RANKS}{_answers(K2)} SELECT qid, s, t, h, CAST(distance AS INTEGER) AS distance, hops FROM ah",
+    "exact_path_check": f"WITH {G2}{RANKS}{_answers(K2)} SELECT qid, CAST(distance AS INTEGER) AS path_weight, CAST(hops AS BIGINT) AS hops FROM ah",
+    "verify_mismatches": f"WITH {G2}{RANKS}{_batch(K2)} {SUMS} FROM q",
+    "verify_random": f"{SUMS} FROM range(400)",
+    "index_stats": f"""WITH {G2}{RANKS}{_index(K2)}, c AS (SELECT count(*) AS n FROM hub_labels)
+        SELECT n AS labels_after, n / (SELECT count(*) FROM rk) AS per_vertex, n * 16 AS bytes FROM c""",
+    "traverse_bfs": f"""WITH RECURSIVE {G1}{RANKS}, r(v, dist) AS (SELECT 0, 0 UNION SELECT e.dst, r.dist + 1 FROM r JOIN e ON e.src = r.v WHERE r.dist < 60)
+        SELECT CAST(v AS BIGINT) AS v, CAST(min(dist) AS BIGINT) AS dist FROM r GROUP BY v""",
+    "traverse_sssp": f"""WITH {G2}{RANKS}{_walks(12)} SELECT CAST(t AS BIGINT) AS v, CAST(d AS BIGINT) AS dist FROM d12 WHERE s = 0""",
+    "traverse_wcc": f"""WITH RECURSIVE {G1}, r(v, c) AS (SELECT src, src FROM e0 UNION SELECT e0.dst, r.c FROM r JOIN e0 ON e0.src = r.v WHERE r.c < e0.dst)
+        SELECT v, min(c) AS comp FROM r GROUP BY v""",
+    "traverse_pagerank": f"WITH {G2}{RANKS}{_pagerank(10)} SELECT v, round(score, 9) AS score FROM p10",
+}
