@@ -20,8 +20,8 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _arcs(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    number = lambda c: c.cast("double").cast("int")  # noqa: E731  weights are written as decimals and cut
-    pairs = rows.select("seq", F.col("p")[0].cast("int").alias("src"), F.col("p")[1].cast("int").alias("dst"), number(F.col("p")[2]).alias("weight"))
+    number = lambda c: c.try_cast("double").try_cast("int")  # noqa: E731  weights are written as decimals and cut
+    pairs = rows.select("seq", F.get("p", F.lit(0)).try_cast("int").alias("src"), F.get("p", F.lit(1)).try_cast("int").alias("dst"), number(F.get("p", F.lit(2))).alias("weight"))
     return upsert(spark.createDataFrame([], EMPTY), pairs)
 
 
@@ -75,7 +75,7 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
     good = (F.size("p") == 3) & F.forall("p", lambda x: x.rlike(r"^-?[0-9]+$"))
     bad = rows.where(~good).agg(F.min("qid")).first()[0]
     rows = rows if bad is None else rows.where(F.col("qid") < bad)
-    return rows.select("qid", *[F.col("p")[i].cast("int").alias(c) for i, c in enumerate("sth")])
+    return rows.select("qid", *[F.get("p", F.lit(i)).try_cast("int").alias(c) for i, c in enumerate("sth")])
 
 
 @dataclass
@@ -129,7 +129,7 @@ def read_named_graph(spark: SparkSession, vertex_path: str, edge_path: str, dire
     names = encode_names(spark, spark.read.text(vertex_path).select(F.trim("value").alias("name")).where("name != ''"))
     p = F.split(F.trim("value"), r"\s+")
     links = spark.read.text(edge_path).where(F.trim("value") != "").select(
-        p[0].alias("src"), p[1].alias("dst"), F.coalesce(F.get(p, 2).cast("double").cast("int"), F.lit(1)).alias("weight")
+        F.get(p, F.lit(0)).alias("src"), F.get(p, F.lit(1)).alias("dst"), F.coalesce(F.get(p, F.lit(2)).try_cast("double").try_cast("int"), F.lit(1)).alias("weight")
     )
     arcs = named_edges(links, names)
     return (arcs if directed else symmetric(arcs).distinct()), names
