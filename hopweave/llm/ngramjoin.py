@@ -19,7 +19,8 @@ before it is verified.
    all that linking needs.  Documents with too few of them cannot link and are
    done; the others are landed with theirs.
 3. Equal sets collapse to one representative.  Representatives post their
-   prefixes to lists by (shingle, size class).
+   prefixes for l = 1 to lists by (shingle, size class): linked ones must meet in
+   one of them, and the lengthened prefixes then sort out who is verified.
 4. Lists are worked off without emitting all pairs: the documents of a list that
    are not in the component of its most central document are verified against
    it, links are merged to components, and what is left is repeated with more
@@ -246,10 +247,10 @@ def _count(batches):
 
 @lru_cache(1)
 def size_classes() -> np.ndarray:
-    """Least set size of each class; classes grow by about a tenth."""
+    """Least set size of each class; classes grow by about a twentieth."""
     out = [1]
     while out[-1] < 1 << 40:
-        out.append(max(out[-1] + 1, out[-1] * 11 // 10))
+        out.append(max(out[-1] + 1, out[-1] * 21 // 20))
     return np.array(out)
 
 
@@ -272,7 +273,7 @@ def choose_l(n: int, unique: int, df: np.ndarray) -> int:
 
 
 PROFILE = (
-    "row long, doc_id long, n long, hi long, lo long, l int, score double, keys array<bigint>, "
+    "row long, doc_id long, n long, hi long, lo long, l int, wide int, score double, keys array<bigint>, "
     "posts array<struct<class:int,used:int,indexed:int>>"
 )
 
@@ -303,20 +304,22 @@ def _profile(table: pa.Table) -> pa.Table:
     for i, (doc_id, n) in enumerate(zip(ids, sizes.tolist())):
         k, d = key[cut[i] : cut[i + 1]], df[cut[i] : cut[i + 1]]
         unique = n - len(k)
-        length, score, keys, posts = 1, 0.0, None, None
+        length, wide, score, keys, posts = 1, 0, 0.0, None, None
         if n and len(k) >= -(-NUM * n // DEN):  # else no other set can overlap enough
-            length, score, posts = choose_l(n, unique, d), float(d.sum()) / n, []
+            length, score, posts = choose_l(n, unique, d), float(d.sum()), []
             home, least = int(np.searchsorted(bounds, n, "right")) - 1, -(-NUM * n // DEN)
-            indexed = min(max(n - needed(n, n) + length - unique, 0), len(k))
+            # A post is due only where the returned shingles can make the overlap.
+            reach = lambda o, l=1: min(max(n - o + l - unique, 0), len(k)) if len(k) >= o else 0
+            wide = reach(needed(n, least), length)
             for c in range(int(np.searchsorted(bounds, least, "right")) - 1, home + 1):
-                used = min(n - needed(n, max(least, int(bounds[c]))) + length - unique, len(k))
-                if used > 0:
-                    posts.append({"class": c, "used": used, "indexed": indexed if c == home else 0})
+                used = reach(needed(n, max(least, int(bounds[c]))))
+                if used:
+                    posts.append({"class": c, "used": used, "indexed": reach(needed(n, n)) if c == home else 0})
             keys = k
-        out.append((own["chunk"] << 16 | i, doc_id, n, int(digests[i, 0]), int(digests[i, 1]), length, score, keys if posts else None, posts or None))
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int64()),
+        out.append((own["chunk"] << 16 | i, doc_id, n, int(digests[i, 0]), int(digests[i, 1]), length, wide, score, keys if posts else None, posts or None))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.int64()),
              pa.list_(pa.struct([("class", pa.int32()), ("used", pa.int32()), ("indexed", pa.int32())]))]
-    names = ["row", "doc_id", "n", "hi", "lo", "l", "score", "keys", "posts"]
+    names = ["row", "doc_id", "n", "hi", "lo", "l", "wide", "score", "keys", "posts"]
     return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
 
@@ -347,85 +350,96 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _signature(edges: DataFrame):
-    return edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+def _hang(edges: DataFrame) -> DataFrame:
+    """Both star operations on edges (u, v), v < u."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    hung = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+    return hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """node, comp (smallest node of the component) of all nodes that link to a
     smaller one, from pairs (a, b).
 
-    Alternates two star operations until nothing changes: every node's larger
-    neighbours, then its smaller ones and itself, are hung on the least node it
-    knows.  Each halves the depth, about; no component is ever in one place.
+    Star operations hang every node's larger neighbours, then its smaller ones
+    and itself, on the least node it knows, which about halves the depth.  They
+    are repeated until each node has one edge, to a node without one: a star for
+    each component.  No component is ever in one place.
     """
-    edges = land(spark, links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "ngram-edges", True)
-    before = None
-    while before != (now := _signature(edges)):
-        before = now
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        made = land(spark, hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "ngram-edges", True)
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
+    edges = land(spark, edges, "ngram-edges", True)
+    while True:
+        after = land(spark, _hang(edges), "ngram-edges", True)
         discard(spark, edges)
-        edges = made
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+        edges = after
+        several = edges.groupBy("u").count().where("count > 1").select("u")
+        deep = edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").select("u")
+        if several.unionByName(deep).isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
 # ------------------------------------------------------------------ links
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link.
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with ``linked`` and ``shared``, the overlap.
 
-    A pair must first share as many shingles of its prefixes as the smaller l of
-    the two.  Shingles of one document only are missing from ``keys`` and cannot
+    A pair has met in a list, that is, by its prefixes for l = 1; it must first
+    share as many shingles of its lengthened prefixes as the smaller l of the two.  Shingles of one document only are missing from ``keys`` and cannot
     be shared, so the overlap is that of the keys.
     """
-    side = lambda x: sets.select(*[F.col(c).alias(f"{x}_{c}") for c in ("row", "n", "l", "keys")], F.array_max("posts.used").alias(f"{x}_used"))
+    side = lambda x: sets.select(*[F.col(c).alias(f"{x}_{c}") for c in ("row", "n", "l", "wide", "keys")])
     both = pairs.join(side("b"), F.col("b") == F.col("b_row")).join(side("a"), F.col("a") == F.col("a_row"))
-    prefix = lambda x: F.slice(f"{x}_keys", F.lit(1), F.col(f"{x}_used"))
+    prefix = lambda x: F.slice(f"{x}_keys", F.lit(1), F.col(f"{x}_wide"))
     met = F.size(F.array_intersect(prefix("a"), prefix("b"))) >= F.least("a_l", "b_l")
     shared = F.size(F.array_intersect("a_keys", "b_keys")).cast("long")
-    return both.where(F.when(met, DEN * shared >= NUM * (F.col("a_n") + F.col("b_n") - shared)).otherwise(False)).select("a", "b")
+    both = both.select("a", "b", "a_n", "b_n", met.alias("met"), shared.alias("shared"))
+    return both.select("a", "b", (F.col("met") & (DEN * F.col("shared") >= NUM * (F.col("a_n") + F.col("b_n") - F.col("shared")))).alias("linked"), "shared")
 
 
 def _heads(posted: DataFrame, pivots: int) -> DataFrame:
     """The documents of each list that the others are verified against: at first
     the most central one, later more, and all of a short list."""
     if pivots == 1:
-        top = F.max(F.struct("score", F.bitwise_not("row").alias("low"), "n", "comp"))
+        top = F.max(F.struct("score", F.bitwise_not("row").alias("low"), "n", "k", "comp", "over", "at"))
         return posted.where("indexed").groupBy("key", "class").agg(top.alias("x")).select(
-            "key", "class", F.bitwise_not("x.low").alias("head"), F.col("x.n").alias("head_n"), F.col("x.comp").alias("head_comp")
+            "key", "class", F.bitwise_not("x.low").alias("head"), F.col("x.n").alias("head_n"), F.col("x.k").alias("head_k"), F.col("x.comp").alias("head_comp"), F.col("x.over").alias("head_over"), F.col("x.at").alias("head_at")
         )
     rank = F.row_number().over(Window.partitionBy("key", "class").orderBy(F.desc("score"), "row"))
     ranked = posted.where("indexed").withColumn("rank", rank).where((F.col("rank") <= pivots) | (F.col("m") <= SHORT_LIST))
-    return ranked.select("key", "class", F.col("row").alias("head"), F.col("n").alias("head_n"), F.col("comp").alias("head_comp"))
+    return ranked.select("key", "class", F.col("row").alias("head"), F.col("n").alias("head_n"), F.col("k").alias("head_k"), F.col("comp").alias("head_comp"), F.col("over").alias("head_over"), F.col("at").alias("head_at"))
 
 
 def link_components(spark: SparkSession, sets: DataFrame) -> DataFrame:
     """node, comp as ``components``, of sets that link; see the module's text, 4."""
-    posted = sets.select("row", "n", "score", "keys", F.explode("posts").alias("p")).select(
-        "row", "n", "score", F.col("p.class").alias("class"), F.col("p.indexed").alias("last"), F.posexplode(F.slice("keys", F.lit(1), F.col("p.used"))).alias("at", "key")
+    posted = sets.select("row", "n", F.size("keys").alias("k"), "score", "keys", F.explode("posts").alias("p")).select(
+        "row", "n", "k", "score", F.col("p.class").alias("class"), F.col("p.indexed").alias("last"), F.posexplode(F.slice("keys", F.lit(1), F.col("p.used"))).alias("at", "key")
     )
-    posted = posted.select("key", "class", "row", "n", "score", (F.col("at") < F.col("last")).alias("indexed"), F.col("row").alias("comp")).repartition("key", "class")
+    posted = posted.select("key", "class", "row", "n", "k", "at", "score", (F.col("at") < F.col("last")).alias("indexed"), F.col("row").alias("comp"), F.lit(None).cast("long").alias("over")).repartition("key", "class")
     lists = posted.groupBy("key", "class").agg(F.count(F.lit(1)).alias("m"), F.max("indexed").alias("any")).where("m > 1 AND any").drop("any")
     posted = land(spark, posted.join(lists, ["key", "class"]), "ngram-posted")
-    comp, done, links, pivots = None, None, None, 1
+    comp, done, pivots = None, None, 1
     while not posted.isEmpty():
         heads = _heads(posted, pivots)
-        fit = NUM * F.greatest("n", "head_n") <= DEN * F.least("n", "head_n")
-        pairs = posted.join(heads, ["key", "class"]).where((F.col("comp") != F.col("head_comp")) & fit)
+        # The overlap that two sizes need must fit in both sets' shared shingles.
+        # Those are inside or outside of the list's first head, whose overlaps
+        # with both are known after the first round; and they stand before, at
+        # or behind the list's shingle in both sets' orders.
+        inside = F.least("over", "head_over") + F.least(F.col("k") - F.col("over"), F.col("head_k") - F.col("head_over"))
+        inside = F.when(F.col("over").isNotNull() & F.col("head_over").isNotNull(), inside)
+        ordered = F.least("at", "head_at") + 1 + F.least(F.col("k") - F.col("at"), F.col("head_k") - F.col("head_at")) - 1
+        most = F.least(ordered, F.coalesce(inside, F.least("k", "head_k")))
+        fit = NUM * (F.col("n") + F.col("head_n")) <= (NUM + DEN) * most
+        pairs = posted.join(heads, ["key", "class"]).where((F.col("comp") != F.col("head_comp")) & (fit | F.lit(pivots == 1)))
         pairs = pairs.select(F.least("row", "head").alias("a"), F.greatest("row", "head").alias("b")).distinct()
         if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = land(spark, pairs, "ngram-pairs", True)
-        found = land(spark, _linked(_small(pairs, pairs.count()), sets), "ngram-links", True)
+            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = land(spark, _verified(pairs, sets), "ngram-pairs", True)
         done = pairs if done is None else done.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        comp = components(spark, links)
+        comp = components(spark, done.where("linked"))
         # What is left: lists whose documents that were no head are in several
         # components, one of them in the list by its shorter prefix.
         rest = posted.drop("comp", "m").join(heads.select("key", "class", F.col("head").alias("row")), ["key", "class", "row"], "left_anti")
@@ -433,9 +447,15 @@ def link_components(spark: SparkSession, sets: DataFrame) -> DataFrame:
         several = rest.groupBy("key", "class").agg(
             F.count(F.lit(1)).alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("indexed").alias("any")
         ).where("c0 != c1 AND any").select("key", "class", "m")
-        left = land(spark, rest.join(several, ["key", "class"]), "ngram-posted", True)
+        rest = rest.join(several, ["key", "class"])
+        if pivots == 1:
+            first = heads.select("key", "class", "head")
+            overs = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "shared")
+            rest = rest.drop("over").join(first, ["key", "class"]).withColumn("x", F.least("row", "head")).withColumn("y", F.greatest("row", "head"))
+            rest = rest.join(overs, ["x", "y"], "left").withColumnRenamed("shared", "over").drop("x", "y", "head")
+        left = land(spark, rest, "ngram-posted", True)
         discard(spark, posted)
-        posted, pivots = left, pivots * 4
+        posted, pivots = left, pivots * 16
     return spark.createDataFrame([], "node long, comp long") if comp is None else comp
 
 
@@ -452,10 +472,9 @@ def join_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         rows = profile.where("n > 0").select("row", "doc_id", "hi", "lo")
         # Equal sets: one representative each.
         same = rows.groupBy("hi", "lo").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-        same = land(spark, same, "ngram-same")
         copied = same.where("copies > 1").select("hi", "lo", "rep")
         sets = profile.where("posts IS NOT NULL").join(_small(copied, copied.count()), ["hi", "lo"], "left").where("rep IS NULL OR rep = row")
-        comp = link_components(spark, sets.select("row", "n", "l", "score", "keys", "posts"))
+        comp = link_components(spark, sets.select("row", "n", "l", "wide", "score", "keys", "posts"))
         # Only sets that repeat or link need a name.
         same = same.join(_small(comp.withColumnRenamed("node", "rep"), comp.count()), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         groups = same.groupBy("comp").agg(F.min("least").alias("component_id"), F.sum("copies").alias("rows")).where("rows > 1")
