@@ -76,7 +76,7 @@ def permute_digits(digits: Column, key: str, kind: str) -> Column:
     return out
 
 
-def _shift(text: Column, half: Column, turn: Column, key: str, kind: str, hexadecimal: Column) -> Column:
+def _shift(text: Column, half: Column, turn: Column, key: str, kind: str) -> Column:
     """Every letter or digit of ``text`` moved within its class by a byte of the
     keyed digest of ``half``."""
     stream = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), half), 512)
@@ -85,10 +85,8 @@ def _shift(text: Column, half: Column, turn: Column, key: str, kind: str, hexade
         by = F.conv(F.substring(stream, (i * 2) % 128 + 1, F.lit(2)), 16, 10).cast("int")
         code = F.ascii(c)
         among = lambda low, n: F.char((code - low + by) % n + low)
-        hexes = F.lit("0123456789abcdef")
         return (
-            F.when(hexadecimal, F.substring(hexes, (F.position(c, hexes) - 1 + by) % 16 + 1, F.lit(1)))
-            .when(code.between(48, 57), among(48, 10)).when(code.between(65, 90), among(65, 26)).when(code.between(97, 122), among(97, 26))
+            F.when(code.between(48, 57), among(48, 10)).when(code.between(65, 90), among(65, 26)).when(code.between(97, 122), among(97, 26))
             .otherwise(c)
         )
 
@@ -97,14 +95,13 @@ def _shift(text: Column, half: Column, turn: Column, key: str, kind: str, hexade
 
 def permute_text(text: Column, key: str, kind: str) -> Column:
     """Bijection of strings that keeps every character's class: digit, upper
-    case, lower case (or, if all are lower-case hexadecimal, hexadecimal)."""
-    hexadecimal = text.rlike("^[0-9a-f]+$") & text.rlike("[0-9]")
+    case, lower case; other characters stay."""
     cut = F.floor(F.length(text) / 2).cast("int")
     start = F.struct(F.substring(text, F.lit(1), cut).alias("l"), F.substring(text, cut + 1, F.length(text)).alias("r"))
 
     def turn(acc: Column, i: Column) -> Column:
-        left = F.struct(_shift(acc.l, acc.r, i, key, kind, hexadecimal).alias("l"), acc.r.alias("r"))
-        right = F.struct(acc.l.alias("l"), _shift(acc.r, acc.l, i, key, kind, hexadecimal).alias("r"))
+        left = F.struct(_shift(acc.l, acc.r, i, key, kind).alias("l"), acc.r.alias("r"))
+        right = F.struct(acc.l.alias("l"), _shift(acc.r, acc.l, i, key, kind).alias("r"))
         return F.when(i % 2 == 1, left).otherwise(right)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda acc: F.concat(acc.l, acc.r))
