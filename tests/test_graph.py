@@ -163,3 +163,24 @@ def test_streamed_queries(spark, tmp_path):
     spark.createDataFrame([(1, 0, 2, 2), (2, 0, 2, 1)], "qid long, s int, t int, h int").write.parquet(str(tmp_path / "in"))
     answer_stream(spark, str(tmp_path / "in"), made, 2, str(tmp_path / "out"), "t")
     assert {r.qid: r.distance for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1: 5, 2: UNREACHABLE}
+
+
+def test_command_line_builds_and_checks(spark, tmp_path):
+    from hopweave.__main__ import main
+
+    rng = random.Random(6)
+    pairs = random_edges(rng, 12, 20)
+    (tmp_path / "g.e").write_text("|V| = 13\n\n" + "".join(f"{a} {b} {w}\n" for (a, b), w in pairs.items()))
+    (tmp_path / "q.txt").write_text("0 5 3\n2 2 1\n0 12 3\n")
+    d = walks(13, pairs, 3)
+    made = []
+    for name, extra in (("plain", []), ("grouped", ["--g-max", "4"])):
+        out = str(tmp_path / name)
+        assert main([str(tmp_path / "g.e"), "3", out, "--queries", str(tmp_path / "q.txt"), *extra]) == 0
+        made.append({(r.v, r.hub, r.hop, r.dist) for r in spark.read.parquet(f"{out}/labels").collect()})
+        assert "labels_after" in spark.read.text(f"{out}/metrics").first()[0]
+    assert made[0] == made[1]
+    out = str(tmp_path / "original")
+    assert main([str(tmp_path / "g.e"), "3", out, "--queries", str(tmp_path / "q.txt"), "--ids", "original"]) == 0
+    got = [r.distance for r in spark.read.parquet(f"{out}/answers").orderBy("qid").collect()]
+    assert got == [d[3][0].get(5, UNREACHABLE), 0, UNREACHABLE]
