@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Places of tables that ``land`` made and that ``sweep`` may delete.
+LANDED: list[str] = []
+
 #: Rows up to which a side of a join is broadcast; beyond, both are shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -22,25 +25,41 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def land(spark: SparkSession, df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+def land(spark: SparkSession, df: DataFrame, name: str, narrow: bool = False, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, and a
     lost executor only costs the tasks that were running on it.  ``narrow``
-    tables (a few numbers a row) go to few files: a file for every three cores."""
+    tables (a few numbers a row) go to few files: a file for every three cores.
+    ``keep`` saves the table from ``sweep``."""
     if narrow:
         df = df.coalesce(-(-spark.sparkContext.defaultParallelism // 3))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._landed_path = path
+    if not keep:
+        LANDED.append(path)
     return back
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(spark: SparkSession, df: DataFrame) -> None:
     """Delete a landed table that nothing reads any more."""
     path = getattr(df, "_landed_path", None)
     if path:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        delete(spark, path)
+        if path in LANDED:
+            LANDED.remove(path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables landed so far but those to keep; results that have not
+    been computed yet must not depend on them."""
+    while LANDED:
+        delete(spark, LANDED.pop())
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
