@@ -7,32 +7,50 @@ the columns of ``documents``.
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopweave.llm import exactdedup, neardup, packing, pii, quality
-from hopweave.llm.common import documents, land
+from hopweave.llm.common import discard, documents, land, sweep
 
 PII_KEY = "corpus pipeline"
 
 
+def stage(step):
+    """A stage begins by deleting what earlier ones landed for themselves: their
+    results have been written and read again by then."""
+
+    @wraps(step)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        sweep(spark)
+        return step(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the trusted ones, keeps."""
     model = quality.train(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, model)
 
 
+@stage
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one."""
     return exactdedup.keep_one(spark, docs)
 
 
+@stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that similarity links one: the smallest doc_id."""
     return neardup.keep_one(spark, docs)
 
 
+@stage
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by pseudonyms; ``n_chars`` follows the text."""
     out = pii.pseudonymise(docs, PII_KEY).drop("pii")
@@ -40,6 +58,7 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return out.withColumn("n_chars", length).select(docs.columns)
 
 
+@stage
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 ids."""
     return packing.pack(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -59,6 +78,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
-        docs = land(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for name, step in STAGES:
+        made = land(spark, step(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
+        discard(spark, docs)
+        docs = made
+    sweep(spark)
     return docs

@@ -10,42 +10,35 @@ Conventions of every operator in this package:
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hopweave.plans.tables import discard, land, shared_dir, sweep
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set."""
-    sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not where:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="hopweave-"))
-        where = sc.getCheckpointDir()
-    return where.rstrip("/")
+__all__ = ["FRUGAL", "discard", "documents", "land", "settings", "shared_dir", "slices", "sweep", "texts"]
 
 
-def land(spark: SparkSession, df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, and a
-    lost executor only costs the tasks that were running on it.  ``narrow``
-    tables (a few numbers a row) go to few files: a file for every three cores."""
-    if narrow:
-        df = df.coalesce(-(-spark.sparkContext.defaultParallelism // 3))
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._landed_path = path
-    return back
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the queries that run inside."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a landed table that nothing reads any more."""
-    path = getattr(df, "_landed_path", None)
-    if path:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+#: For queries that this package runs itself: shuffle files go when the query
+#: that made them ends, and Arrow batches of texts stay small on both sides.
+FRUGAL = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
+}
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,11 +53,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def slices(batch, column: int = 1, most: int = 1_000_000):
     """Split a RecordBatch so that one slice's texts stay near ``most`` bytes;
     a single longer text is a slice of its own, whole."""
-    size, begin = 0, 0
-    lengths = batch.column(column)
+    import pyarrow as pa
     import pyarrow.compute as pc
 
-    sizes = pc.fill_null(pc.binary_length(lengths), 0).to_pylist()
+    size, begin = 0, 0
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     for i, n in enumerate(sizes):
         if i > begin and (size + n > most or i - begin >= 50_000):
             yield batch.slice(begin, i - begin)
@@ -72,3 +65,4 @@ def slices(batch, column: int = 1, most: int = 1_000_000):
         size += n
     if begin < batch.num_rows:
         yield batch.slice(begin)
+    pa.default_memory_pool().release_unused()

@@ -14,12 +14,11 @@ Only DataFrame operations and the built-in state store run on executors.
 from __future__ import annotations
 
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopweave.llm.common import land, shared_dir
+from hopweave.llm.common import land, settings, shared_dir
 
 # The code points that equality ignores.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -49,18 +48,6 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-@contextmanager
-def _settings(spark: SparkSession, values: dict[str, str]):
-    before = {k: spark.conf.get(k, None) for k in values}
-    try:
-        for k, v in values.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def _best() -> Column:
     """Order of who stays: most code points, smallest doc_id (null last), then
     the earliest landed of rows that agree in both."""
@@ -73,7 +60,7 @@ def fold(spark: SparkSession, records: DataFrame, files_per_batch: int = 1000) -
     """Run the stream over all files of landed records; the checkpoint's place."""
     place = f"{shared_dir(spark)}/dedup-state-{uuid.uuid4().hex}"
     stores = max(spark.sparkContext.defaultParallelism, -(-records.count() // RECORDS_PER_STORE))
-    with _settings(spark, STATE | {"spark.sql.streaming.internal.stateStore.partitions": str(stores)}):
+    with settings(spark, STATE | {"spark.sql.streaming.internal.stateStore.partitions": str(stores)}):
         query = (
             spark.readStream.schema(records.schema).option("maxFilesPerTrigger", files_per_batch).parquet(records._landed_path)
             .groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(_best()).alias("best"))
@@ -86,7 +73,7 @@ def fold(spark: SparkSession, records: DataFrame, files_per_batch: int = 1000) -
 
 def state(spark: SparkSession, place: str) -> DataFrame:
     """digest, group_size and the row that stays, from the state store."""
-    with _settings(spark, STATE):
+    with settings(spark, STATE):
         read = spark.read.format("statestore").load(place)
     count, best = read.schema["value"].dataType.fieldNames()
     return read.select(F.col("key.digest").alias("digest"), F.col("value")[count].alias("group_size"), F.col("value")[best].alias("best"))

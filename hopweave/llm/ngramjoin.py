@@ -30,7 +30,6 @@ before it is verified.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
 from functools import lru_cache
 from hashlib import blake2b
 
@@ -40,12 +39,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hopweave.llm.common import discard, land, slices, texts
+from hopweave.llm.common import FRUGAL, discard, land, settings, slices, texts
 
 WORDS = 5
 NUM, DEN = 3, 4  # similarity threshold
-CHUNK = 1_500_000  # bytes of text whose shingles are packed together
-BUCKET_BYTES = 24_000_000  # of packed shingles in one bucket, about
+CHUNK = 750_000  # bytes of text whose shingles are packed together
+BUCKET_BYTES = 8_000_000  # of packed shingles in one bucket, about
 SHARED_IN_CHUNK = 8  # documents of a chunk from which a shingle is sent once
 LONGEST_MATCH = 6  # largest l
 VERIFY = 4.0  # cost of a verification in list entries
@@ -323,18 +322,6 @@ def _profile(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
 
-@contextmanager
-def _freed_shuffles(spark: SparkSession):
-    """Shuffle files go when the query that made them ends."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
 def profiles(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     docs = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -467,7 +454,7 @@ def join_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     part but never names a component unless all ids of it are null.  Rows that
     repeat a doc_id are separate documents.  An empty table gives no rows.
     """
-    with _freed_shuffles(spark):
+    with settings(spark, FRUGAL):
         profile = profiles(spark, docs, id_col, text_col)
         rows = profile.where("n > 0").select("row", "doc_id", "hi", "lo")
         # Equal sets: one representative each.
