@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopweave.llm.common import land, slices
+from hopweave.llm.common import FRUGAL, land, settings, slices
 
 ORDER, CLASSES = 4, 64
 QUANTILE = 0.995
@@ -163,8 +163,9 @@ def model_table(counts: DataFrame) -> DataFrame:
 class Shard:
     """Some languages' models as arrays: the row of every context, and the rows."""
 
-    langs: list[str]
-    row_of: np.ndarray  # (languages, 64**3)
+    langs: list[str]  # whose documents are scored with it
+    pooled: int  # place of the pooled model, which every shard has
+    row_of: np.ndarray  # (models, 64**3)
     logs: np.ndarray  # (rows, 64)
 
 
@@ -177,18 +178,19 @@ class Model:
 
 
 def _shards(spark: SparkSession, table: DataFrame, langs: dict[str, int]):
-    """One language's model has at most 64**3 + 64**2 + 64 + 1 rows of 256 bytes
+    """The pooled model is in every shard.  One language's model has at most 64**3 + 64**2 + 64 + 1 rows of 256 bytes
     and an index of 1 MB; a shard closes before it passes SHARD_BYTES, so it has
     several languages or a single one, which is bounded."""
-    groups, size = [[]], 0
-    for lang, rows in langs.items():
-        cost = rows * 4 * CLASSES + 4 * CLASSES**3
-        if groups[-1] and size + cost > SHARD_BYTES:
+    cost = lambda lang: langs[lang] * 4 * CLASSES + 4 * CLASSES**3
+    groups, size = [[]], cost(POOLED)
+    for lang in langs:
+        if groups[-1] and size + cost(lang) > SHARD_BYTES:
             groups.append([])
-            size = 0
+            size = cost(POOLED)
         groups[-1].append(lang)
-        size += cost
-    for group in filter(None, groups):
+        size += cost(lang)
+    for own in filter(None, groups):
+        group = own if POOLED in own else [*own, POOLED]
         rows = table.where(F.col("lang").isin(group)).select("lang", "order", "context", F.transform("p", lambda x: F.log(x).cast("float")).alias("log")).toArrow()
         logs = rows.column("log").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, CLASSES)
         lang, order, context = (np.array(rows.column(c).to_pylist()) for c in ("lang", "order", "context"))
@@ -204,19 +206,24 @@ def _shards(spark: SparkSession, table: DataFrame, langs: dict[str, int]):
                     index = index[np.arange(width) % len(index)]
                     index[context[at]] = at
             row_of[i] = index
-        yield spark.sparkContext.broadcast(Shard(group, row_of, np.ascontiguousarray(logs)))
+        yield spark.sparkContext.broadcast(Shard(own, group.index(POOLED), row_of, np.ascontiguousarray(logs)))
 
 
 def _scores(shard: Shard, langs: list[str], whole: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and negative log likelihood of each text."""
+    """Symbols and negative log likelihood of each text, by its language's model
+    or by the pooled one, whichever finds it likelier: texts that mix languages
+    are no worse for it."""
     packed, lengths = grams(whole)
     of = {x: i for i, x in enumerate(shard.langs)}
-    lang = np.repeat(np.array([of[x] for x in langs], np.int64), lengths)
-    row = shard.row_of.ravel()[lang * CLASSES**3 + (packed >> 6)]
-    logs = shard.logs.ravel()[row.astype(np.int64) * CLASSES + (packed & 63)]
-    sums = np.append(0.0, np.cumsum(logs, dtype=np.float64))
+    own = np.array([of[x] for x in langs], np.int64)
     at = np.append(0, np.cumsum(lengths))
-    return lengths, sums[at[:-1]] - sums[at[1:]]
+
+    def sums(model: np.ndarray) -> np.ndarray:
+        row = shard.row_of.ravel()[np.repeat(model, lengths) * CLASSES**3 + (packed >> 6)]
+        total = np.append(0.0, np.cumsum(shard.logs.ravel()[row.astype(np.int64) * CLASSES + (packed & 63)], dtype=np.float64))
+        return total[at[:-1]] - total[at[1:]]
+
+    return lengths, np.minimum(sums(own), sums(np.full(len(langs), shard.pooled, np.int64)))
 
 
 def _model_lang(lang_col: str, langs: list[str]) -> Column:
@@ -236,6 +243,11 @@ def train(
 ) -> Model:
     """Model and thresholds from all trusted documents.  Without any trusted
     text the model is empty, and everything is kept."""
+    with settings(spark, FRUGAL):
+        return _train(spark, docs, labels, id_col, text_col, lang_col, quantile)
+
+
+def _train(spark, docs, labels, id_col, text_col, lang_col, quantile) -> Model:
     ids = land(spark, trusted_ids(labels), "quality-trusted")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     trusted = docs.join(ids, F.col(id_col) == F.col("trusted_id"), "left_semi").select(
@@ -249,7 +261,7 @@ def train(
     table = land(spark, model_table(counts.where(F.col("lang").isin(langs))), "quality-model")
     rows = {r["lang"]: r["count"] for r in table.groupBy("lang").count().collect()}
     model = Model(list(_shards(spark, table, {x: rows[x] for x in langs})), langs)
-    scored = land(spark, _scored(trusted, model, "lang", "text", None), "quality-scores")
+    scored = land(spark, _scored(trusted, model, "lang", "text", []), "quality-scores")
     for r in scored.groupBy("model").agg((F.sum("nll") / F.greatest(F.sum("n"), F.lit(1))).alias("mean")).collect():
         model.means[r["model"]] = r["mean"]
     mixed = _mixed(model, F.col("model"), F.col("n"), F.col("nll"))
@@ -269,23 +281,21 @@ def _mixed(model: Model, lang: Column, n: Column, nll: Column) -> Column:
     return (nll + PRIOR * F.element_at(mean, lang)) / (n + PRIOR)
 
 
-def _scored(docs: DataFrame, model: Model, lang_col: str, text_col: str, only: list[str] | None) -> DataFrame:
-    """``docs`` (columns ``only``, or none) with model, n and nll, shard by shard."""
+def _scored(docs: DataFrame, model: Model, lang_col: str, text_col: str, kept: list[str]) -> DataFrame:
+    """``docs``, only its columns ``kept``, with model, n and nll, shard by shard."""
     out = None
     for shared in model.shards:
-        langs = shared.value.langs
-        rows = docs.withColumn("model", _model_lang(lang_col, model.langs)).where(F.col("model").isin(langs))
-        rows = rows.select(*(only or []), "model", F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text") + ", n long, nll double"
+        rows = docs.withColumn("model", _model_lang(lang_col, model.langs)).where(F.col("model").isin(shared.value.langs))
+        rows = rows.select("model", *kept, *([text_col] if text_col not in kept else []))
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in ("model", *kept)) + ", n long, nll double"
 
         def run(batches, shared=shared):
             for batch in batches:
-                at = batch.schema.get_field_index("__text")
+                at = batch.schema.get_field_index(text_col)
                 for part in slices(batch, at):
-                    n, nll = _scores(shared.value, part.column(at - 1).to_pylist(), [x.encode() for x in part.column(at).to_pylist()])
-                    kept = [c for i, c in enumerate(part.columns) if i != at]
-                    names = [x for x in part.schema.names if x != "__text"]
-                    yield pa.RecordBatch.from_arrays([*kept, pa.array(n), pa.array(nll)], [*names, "n", "nll"])
+                    n, nll = _scores(shared.value, part.column(0).to_pylist(), [(x or "").encode() for x in part.column(at).to_pylist()])
+                    names = ["model", *kept]
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(n), pa.array(nll)], [*names, "n", "nll"])
 
         rows = rows.mapInArrow(run, schema)
         out = rows if out is None else out.unionByName(rows)
@@ -318,9 +328,10 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", lang_col: s
     """The rows of ``docs`` that the classifier keeps, with all their columns."""
     if not model.shards:
         return docs
-    columns = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]
-    held = docs.select(F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).alias("__whole"), F.struct(*columns).alias("__row"))
-    rows = _scored(held, model, "__lang", "__whole", ["__row"])
+    # Numbered names: the columns of ``docs`` may have any.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    held = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)], F.col(lang_col).cast("string").alias("__lang"))
+    rows = _scored(held, model, "__lang", names[docs.columns.index(text_col)], names)
     limit = F.element_at(F.create_map(*[x for k, v in model.thresholds.items() for x in (F.lit(k), F.lit(v))]), F.col("model"))
     kept = rows.where(_mixed(model, F.col("model"), F.col("n"), F.col("nll")) <= limit)
-    return kept.select(*[F.col(f"__row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return kept.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
