@@ -9,8 +9,8 @@ different values different ones, and whoever holds the key can invert it.
 Kinds: payment card numbers (13 to 19 digits with a right check digit; the
 pseudonym has one too), dates of 1800 to 2199 (permuted among the days of
 those 400 years), US social security numbers of issuable areas, phone numbers,
-IPv4 addresses, e-mail addresses (the local part), access keys and the values of
-password-like assignments.  Numbers that fail validation stay as they are.
+IPv4 addresses, e-mail addresses (the local part), access keys, long hexadecimal
+tokens and the values of password-like assignments.  Numbers that fail validation stay as they are.
 
 Everything is built-in column functions on one pass over the rows, without a
 shuffle.
@@ -29,12 +29,13 @@ ROUNDS = 8
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}"
 ACCESS_KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
 SECRET = r"(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/-]{8,128}"
+HEX_SECRET = r"(?<![A-Za-z0-9])(?=[0-9a-f]{0,63}[0-9])(?=[0-9a-f]{0,63}[a-f])[0-9a-f]{32,64}(?![A-Za-z0-9])"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9/-]|\.[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
-ANY = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, ACCESS_KEY, IPV4, DATE, SSN, PHONE, CARD))
+ANY = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, ACCESS_KEY, HEX_SECRET, IPV4, DATE, SSN, PHONE, CARD))
 #: Any match has one of these; texts without are not searched.
 HINT = r"[0-9@]|AKIA|ASIA|(?i:password|passwd|pwd|token|secret|key)"
 
@@ -225,7 +226,7 @@ def kind_of(value: Column) -> Column:
     return (
         F.when(value.contains("@"), F.lit("email"))
         .when(whole(ACCESS_KEY), F.lit("access_key"))
-        .when(whole(SECRET), F.lit("secret"))
+        .when(whole(SECRET) | whole(HEX_SECRET), F.lit("secret"))
         .when(whole(IPV4), F.when(is_ip(value), F.lit("ipv4")))
         .when(whole(DATE), F.when(is_date(value), F.lit("date")))
         .when(whole(SSN), F.when(is_ssn(value), F.lit("ssn")))
