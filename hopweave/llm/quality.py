@@ -129,7 +129,8 @@ def _order(level: DataFrame, lower: DataFrame | None, keep: int) -> DataFrame:
     """lang, context, p (64 probabilities) of one order: discounted counts plus
     what was discounted times the lower order's row."""
     taken = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    rows = level.join(_discounts(level), "lang").withColumn("taken", taken)
+    # One row for each of the languages, whose list the driver has.
+    rows = level.join(F.broadcast(_discounts(level)), "lang").withColumn("taken", taken)
     rows = rows.groupBy("lang", F.shiftright("gram", 6).alias("context")).agg(
         F.sum("n").alias("total"), F.sum("taken").alias("free"),
         F.map_from_entries(F.collect_list(F.struct(F.col("gram").bitwiseAND(63), F.col("n") - F.col("taken")))).alias("own"),
