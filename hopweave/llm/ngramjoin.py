@@ -47,6 +47,7 @@ CHUNK = 750_000  # bytes of text whose shingles are packed together
 BUCKET_BYTES = 8_000_000  # of packed shingles in one bucket, about
 SHARED_IN_CHUNK = 8  # documents of a chunk from which a shingle is sent once
 LONGEST_MATCH = 6  # largest l
+TASK_BYTES = 128_000_000  # of text whose profiles or posts one task writes, at least a task for each core
 VERIFY = 4.0  # cost of a verification in list entries
 SHORT_LIST = 24
 BROADCAST_ROWS = 100_000
@@ -322,12 +323,14 @@ def _profile(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
 
-def profiles(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def profiles(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """Landed profiles, and the number of tasks for tables of their size."""
     docs = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size * 4 // 3 // BUCKET_BYTES), 1)
     counted = docs.mapInArrow(_pack(buckets), PACKED).repartitionById(buckets, F.col("bucket")).mapInArrow(_count, PACKED)
-    return land(spark, counted.groupBy("chunk").applyInArrow(_profile, PROFILE), "ngram-profiles")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    return land(spark, counted.groupBy("chunk").applyInArrow(_profile, PROFILE).coalesce(tasks), "ngram-profiles"), tasks
 
 
 # ------------------------------------------------------------- components
@@ -400,14 +403,14 @@ def _heads(posted: DataFrame, pivots: int) -> DataFrame:
     return ranked.select("key", "class", F.col("row").alias("head"), F.col("n").alias("head_n"), F.col("k").alias("head_k"), F.col("comp").alias("head_comp"), F.col("over").alias("head_over"), F.col("at").alias("head_at"))
 
 
-def link_components(spark: SparkSession, sets: DataFrame) -> DataFrame:
+def link_components(spark: SparkSession, sets: DataFrame, tasks: int) -> DataFrame:
     """node, comp as ``components``, of sets that link; see the module's text, 4."""
     posted = sets.select("row", "n", F.size("keys").alias("k"), "score", "keys", F.explode("posts").alias("p")).select(
         "row", "n", "k", "score", F.col("p.class").alias("class"), F.col("p.indexed").alias("last"), F.posexplode(F.slice("keys", F.lit(1), F.col("p.used"))).alias("at", "key")
     )
     posted = posted.select("key", "class", "row", "n", "k", "at", "score", (F.col("at") < F.col("last")).alias("indexed"), F.col("row").alias("comp"), F.lit(None).cast("long").alias("over")).repartition("key", "class")
     lists = posted.groupBy("key", "class").agg(F.count(F.lit(1)).alias("m"), F.max("indexed").alias("any")).where("m > 1 AND any").drop("any")
-    posted = land(spark, posted.join(lists, ["key", "class"]), "ngram-posted")
+    posted = land(spark, posted.join(lists, ["key", "class"]).coalesce(tasks), "ngram-posted")
     comp, done, pivots = None, None, 1
     while not posted.isEmpty():
         heads = _heads(posted, pivots)
@@ -455,13 +458,13 @@ def join_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     repeat a doc_id are separate documents.  An empty table gives no rows.
     """
     with settings(spark, FRUGAL):
-        profile = profiles(spark, docs, id_col, text_col)
+        profile, tasks = profiles(spark, docs, id_col, text_col)
         rows = profile.where("n > 0").select("row", "doc_id", "hi", "lo")
         # Equal sets: one representative each.
         same = rows.groupBy("hi", "lo").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
         copied = same.where("copies > 1").select("hi", "lo", "rep")
         sets = profile.where("posts IS NOT NULL").join(_small(copied, copied.count()), ["hi", "lo"], "left").where("rep IS NULL OR rep = row")
-        comp = link_components(spark, sets.select("row", "n", "l", "wide", "score", "keys", "posts"))
+        comp = link_components(spark, sets.select("row", "n", "l", "wide", "score", "keys", "posts"), tasks)
         # Only sets that repeat or link need a name.
         same = same.join(_small(comp.withColumnRenamed("node", "rep"), comp.count()), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         groups = same.groupBy("comp").agg(F.min("least").alias("component_id"), F.sum("copies").alias("rows")).where("rows > 1")
