@@ -8,8 +8,8 @@ Shingles are put in one global order, rarest first.  If x and y link, their
 first l shared shingles lie in the first |x| - o + l of x and |y| - o + l of y,
 o being the overlap that their sizes need.  l is chosen per document: where the
 shingles of its prefix are frequent, a longer prefix is estimated to cost less,
-because a pair must then share as many shingles of it (the smaller l of the two)
-before it is verified.
+because a pair must then share as many shingles of it (the smallest of both l and
+the overlap that their sizes need) before it is verified.
 
 1. Per chunk of texts, shingles are hashed by numpy (48 bits of 64) and sent to
    buckets by hash, packed eight bytes each; a shingle that many documents of a
@@ -378,13 +378,16 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) with ``linked`` and ``shared``, the overlap.
 
     A pair has met in a list, that is, by its prefixes for l = 1; it must first
-    share as many shingles of its lengthened prefixes as the smaller l of the two.  Shingles of one document only are missing from ``keys`` and cannot
-    be shared, so the overlap is that of the keys.
+    share as many shingles of its lengthened prefixes as the smaller l of the two,
+    or as the overlap that their sizes need where that is less.  Shingles of one
+    document only are missing from ``keys`` and cannot be shared, so the overlap is
+    that of the keys.
     """
     side = lambda x: sets.select(*[F.col(c).alias(f"{x}_{c}") for c in ("row", "n", "l", "wide", "keys")])
     both = pairs.join(side("b"), F.col("b") == F.col("b_row")).join(side("a"), F.col("a") == F.col("a_row"))
     prefix = lambda x: F.slice(f"{x}_keys", F.lit(1), F.col(f"{x}_wide"))
-    met = F.size(F.array_intersect(prefix("a"), prefix("b"))) >= F.least("a_l", "b_l")
+    due = F.call_function("div", NUM * (F.col("a_n") + F.col("b_n")) + NUM + DEN - 1, F.lit(NUM + DEN))  # as ``needed``
+    met = F.size(F.array_intersect(prefix("a"), prefix("b"))) >= F.least(F.col("a_l").cast("long"), F.col("b_l").cast("long"), due)
     shared = F.size(F.array_intersect("a_keys", "b_keys")).cast("long")
     both = both.select("a", "b", "a_n", "b_n", met.alias("met"), shared.alias("shared"))
     return both.select("a", "b", (F.col("met") & (DEN * F.col("shared") >= NUM * (F.col("a_n") + F.col("b_n") - F.col("shared")))).alias("linked"), "shared")

@@ -72,6 +72,18 @@ def test_join_of_large_groups_of_near_copies(spark):
     assert joined(spark, docs) == brute(rows)
 
 
+def test_join_of_short_texts_with_repeated_copies(spark):
+    """Links whose whole overlap is below the longest l: 3 of 4, 4 of 5, 5 of 6 shared."""
+    rows, g = [], 0
+    for words in (7, 8, 9):
+        for copies in (1, 2, 3, 9, 49, 99):
+            base = [f"g{g}w{i}" for i in range(words)]
+            rows += [base] + [[*base, f"g{g}more"]] * copies
+            g += 1
+    rows = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    assert joined(spark, spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
 def test_case_blanks_and_long_words_in_shingles():
     texts = ["A b\tc\nd e f", "a B c d E\x0bF", "x" * 100 + " 1 2 3 4", "X" * 100 + " 1 2 3 4", "a b", "A  b ", ""]
     packed, sizes = ngramjoin.shingle_sets([t.encode() for t in texts])
