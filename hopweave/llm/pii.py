@@ -69,12 +69,26 @@ def permute_number(value: Column, a: int, b: int, key: str, kind: str) -> Column
 
 
 def permute_digits(digits: Column, key: str, kind: str) -> Column:
-    """Bijection of the digit strings of each length up to 18."""
-    out = F.lit(None).cast("string")
-    for n in range(1, 19):
-        a, b = 10 ** (n // 2), 10 ** (n - n // 2)
-        out = F.when(F.length(digits) == n, F.lpad(permute_number(digits.cast("bigint"), a, b, key, kind).cast("string"), n, "0")).otherwise(out)
-    return out
+    """Bijection of the digit strings of each length up to 36: both halves are
+    numbers of their own, so none outgrows 18 digits."""
+    n = F.length(digits)
+    cut = _div(n, 2).cast("int")
+    number = lambda x: F.concat(F.lit("0"), x).cast("bigint")
+    power = lambda x: F.pow(F.lit(10.0), x).cast("bigint")
+    start = F.struct(
+        number(F.substring(digits, F.lit(1), cut)).alias("l"), number(F.substring(digits, cut + 1, n)).alias("r"),
+        power(cut).alias("a"), power(n - cut).alias("b"), cut.alias("cut"), (n - cut).alias("rest"),
+    )
+
+    def turn(acc: Column, i: Column) -> Column:
+        same = [acc[c].alias(c) for c in ("a", "b", "cut", "rest")]
+        left = F.struct(((acc.l + _digest(key, kind, i, acc.r)) % acc.a).alias("l"), acc.r.alias("r"), *same)
+        right = F.struct(acc.l.alias("l"), ((acc.r + _digest(key, kind, i, acc.l)) % acc.b).alias("r"), *same)
+        return F.when(i % 2 == 1, left).otherwise(right)
+
+    half = lambda x, size: F.lpad(x.cast("string"), size, F.lit("0"))
+    made = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda acc: F.concat(half(acc.l, acc.cut), half(acc.r, acc.rest)))
+    return F.when(n.between(1, 36), made)
 
 
 def _shift(text: Column, half: Column, turn: Column, key: str, kind: str) -> Column:
@@ -267,7 +281,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     rows = rows.withColumn("__kinds", F.transform("__found", kind_of))
     rows = rows.withColumn("__gaps", F.when(F.size("__found") > 0, F.split(text, ANY, -1)))
     # gap 0, value 0, gap 1, value 1, ...: the values number one less
-    named = F.zip_with("__found", "__kinds", lambda v, k: pseudonym(v, k, key))
+    named = F.zip_with("__found", "__kinds", lambda v, k: F.coalesce(pseudonym(v, k, key), v))
     joined = F.array_join(F.zip_with("__gaps", named, lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
     places = F.aggregate(
         F.arrays_zip(F.slice("__gaps", F.lit(1), F.size("__found")).alias("g"), F.col("__found").alias("v"), F.col("__kinds").alias("k")),

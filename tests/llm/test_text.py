@@ -149,6 +149,18 @@ def test_pseudonyms(spark, tricky, nothing):
     assert pii.pseudonymise(tricky, "k").count() == tricky.count() and pii.pseudonymise(nothing, "k").count() == 0
 
 
+def replaced(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(r.text, [(m.kind, m["at"]) for m in r.pii]) for r in pii.pseudonymise(docs, "key").orderBy("doc_id").collect()]
+
+
+def test_long_phone_numbers_are_replaced_not_deleted(spark):
+    texts = ["call +12345678901234567890 now", "call +49 1234 5678 9012 3456 7890 now"]
+    shape = lambda x: re.sub("[0-9]", "0", x)
+    for text, (out, found) in zip(texts, replaced(spark, texts)):
+        assert shape(out) == shape(text) and out != text and found == [("phone", 5)]
+
+
 def test_permutations_are_bijections(spark):
     n = spark.range(189 * 7).select(pii.permute_number(F.col("id"), 189, 7, "k", "t").alias("x"))
     assert sorted(r.x for r in n.collect()) == list(range(189 * 7))
