@@ -28,7 +28,11 @@ ROUNDS = 8
 # What each kind looks like.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}"
 ACCESS_KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-SECRET = r"(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/-]{8,128}"
+ASSIGNED = r"(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}"
+# A value ends at its closing quote or at white space; a quote before a letter or digit closes nothing.
+BARE = r"(?:[^\s\"']{8,}|[^\s\"']{1,7}[\"'][A-Za-z0-9][^\s\"']{5,})(?:[\"'](?=[A-Za-z0-9])[^\s\"']+){0,8}"
+SECRET = ASSIGNED + rf"(?:\"[^\"\r\n]{{8,}}(?=\")|'[^'\r\n]{{8,}}(?=')|[\"']?{BARE})"
+WHOLE_SECRET = ASSIGNED + rf"(?:\"[^\"\r\n]{{8,}}|'[^'\r\n]{{8,}}|[\"']?{BARE})"  # without what follows
 HEX_SECRET = r"(?<![A-Za-z0-9])(?=[0-9a-f]{0,63}[0-9])(?=[0-9a-f]{0,63}[a-f])[0-9a-f]{32,64}(?![A-Za-z0-9])"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9/-]|\.[0-9])"
@@ -238,9 +242,10 @@ def kind_of(value: Column) -> Column:
     """Kind of a match, null where validation fails."""
     whole = lambda p: value.rlike(f"^(?:{p})$")
     return (
-        F.when(value.contains("@"), F.lit("email"))
+        F.when(whole(WHOLE_SECRET), F.lit("secret"))
+        .when(value.contains("@"), F.lit("email"))
         .when(whole(ACCESS_KEY), F.lit("access_key"))
-        .when(whole(SECRET) | whole(HEX_SECRET), F.lit("secret"))
+        .when(whole(HEX_SECRET), F.lit("secret"))
         .when(whole(IPV4), F.when(is_ip(value), F.lit("ipv4")))
         .when(whole(DATE), F.when(is_date(value), F.lit("date")))
         .when(whole(SSN), F.when(is_ssn(value), F.lit("ssn")))
@@ -252,7 +257,7 @@ def kind_of(value: Column) -> Column:
 def pseudonym(value: Column, kind: Column, key: str) -> Column:
     """The value's pseudonym; the value itself where the kind is null."""
     local = F.substring_index(value, "@", 1)
-    secret = F.regexp_extract(value, r"([A-Za-z0-9_+/-]*)$", 1)
+    secret = F.regexp_replace(value, f"^{ASSIGNED}[\"']?", "")
     after = lambda tail: F.substring(value, F.lit(1), F.length(value) - F.length(tail))
     made = {
         "email": F.concat(permute_text(local, key, "email"), F.substring(value, F.length(local) + 1, F.length(value))),

@@ -161,6 +161,21 @@ def test_long_phone_numbers_are_replaced_not_deleted(spark):
         assert shape(out) == shape(text) and out != text and found == [("phone", 5)]
 
 
+def test_secrets_are_replaced_to_their_end(spark):
+    long = "aB3xY9" * 30
+    texts = [
+        f"api_key={long} end", "token=eyJhbGciOi.eyJzdWIiOi.SflKxwRJSM end", "password=Sup3r!Secret99 end", "password: 'two words!' end",
+        "password=abc@Defgh.org end", 'x "secret: it\'sHidden77" end',
+    ]
+    for text, (out, found) in zip(texts, replaced(spark, texts)):
+        name, value = re.fullmatch(r"(.*?[=:] ?['\"]?)(.*?)['\"]? end", text).groups()
+        made = out[len(name) : len(name) + len(value)]
+        assert out.startswith(name) and out.endswith(" end") and len(out) == len(text) and [k for k, _ in found] == ["secret"]
+        assert re.sub("[A-Za-z0-9]", "", made) == re.sub("[A-Za-z0-9]", "", value)
+        for i in range(0, len(value) - 5, 6):  # no piece stays
+            assert made[i : i + 6] != value[i : i + 6]
+
+
 def test_permutations_are_bijections(spark):
     n = spark.range(189 * 7).select(pii.permute_number(F.col("id"), 189, 7, "k", "t").alias("x"))
     assert sorted(r.x for r in n.collect()) == list(range(189 * 7))
