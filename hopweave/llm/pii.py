@@ -6,8 +6,8 @@ one half is shifted by a keyed digest of the other, so the map is a bijection of
 the format.  Equal values therefore get equal pseudonyms in every document,
 different values different ones, and whoever holds the key can invert it.
 
-Kinds: payment card numbers (13 to 19 digits with a right check digit; the
-pseudonym has one too), dates of 1800 to 2199 (permuted among the days of
+Kinds: payment card numbers (13 to 19 digits with a right check digit, also
+beside other groups of digits; the pseudonym has one too), dates of 1800 to 2199 (permuted among the days of
 those 400 years), US social security numbers of issuable areas, phone numbers,
 IPv4 addresses, e-mail addresses (the local part), access keys, long hexadecimal
 tokens and the values of password-like assignments.  Numbers that fail validation stay as they are.
@@ -39,7 +39,10 @@ DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
-ANY = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, ACCESS_KEY, HEX_SECRET, IPV4, DATE, SSN, PHONE, CARD))
+# A run of 13 to 19 digits may also begin and end inside a longer one, at its groups.
+CARD_INSIDE = r"(?<![0-9A-Za-z.])(?<!(?<![0-9])-)(?=([0-9](?:[ -]?[0-9]){%d})(?![0-9A-Za-z]))"
+CARD_GROUPS = r"^[0-9]{3,}(?:[ -][0-9]{3,})*$"  # of a card inside a longer run, so that columns of numbers stay
+NOT_CARD = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, ACCESS_KEY, HEX_SECRET, IPV4, DATE, SSN, PHONE))
 #: Any match has one of these; texts without are not searched.
 HINT = r"[0-9@]|AKIA|ASIA|(?i:password|passwd|pwd|token|secret|key)"
 
@@ -164,6 +167,17 @@ def is_card(value: Column) -> Column:
     return F.length(d).between(13, 19) & (luhn_sum(d, 1) % 10 == 0) & ~d.rlike("^0+$")
 
 
+def any_of(text: Column) -> Column:
+    """Pattern of all values of a text: the fixed ones and its valid card numbers,
+    longest first, so that other digits beside a card are left to the other kinds."""
+    inside = [F.regexp_extract_all(text, F.lit(CARD_INSIDE % (n - 1)), F.lit(1)) for n in range(19, 12, -1)]
+    inside = F.filter(F.concat(*inside), lambda x: x.rlike(CARD_GROUPS) & is_card(x))
+    cards = F.array_distinct(F.concat(F.filter(F.regexp_extract_all(text, F.lit(CARD), F.lit(0)), is_card), inside))
+    cards = F.when(text.rlike(r"[0-9](?:[ -]?[0-9]){12}"), cards)
+    own = F.concat(F.lit(NOT_CARD + "|(?<![0-9A-Za-z.])(?:"), F.array_join(cards, "|"), F.lit(")(?![0-9A-Za-z])"))
+    return F.when(F.size(cards) > 0, own).otherwise(NOT_CARD)
+
+
 def card_pseudonym(value: Column, key: str) -> Column:
     """The first digit stays, the check digit is made anew."""
     d = _digits(value)
@@ -281,10 +295,11 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     """
     text = F.col(text_col)
     columns = [c for c in docs.columns if c != "pii"]
-    found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    rows = docs.select(*columns, F.coalesce(found, F.array().cast("array<string>")).alias("__found"))
+    rows = docs.select(*columns, F.when(text.rlike(HINT), any_of(text)).alias("__any"))
+    found = F.when(F.col("__any").isNotNull(), F.regexp_extract_all(text, F.col("__any"), F.lit(0)))
+    rows = rows.withColumn("__found", F.coalesce(found, F.array().cast("array<string>")))
     rows = rows.withColumn("__kinds", F.transform("__found", kind_of))
-    rows = rows.withColumn("__gaps", F.when(F.size("__found") > 0, F.split(text, ANY, -1)))
+    rows = rows.withColumn("__gaps", F.when(F.size("__found") > 0, F.split(text, F.col("__any"), -1)))
     # gap 0, value 0, gap 1, value 1, ...: the values number one less
     named = F.zip_with("__found", "__kinds", lambda v, k: F.coalesce(pseudonym(v, k, key), v))
     joined = F.array_join(F.zip_with("__gaps", named, lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")

@@ -176,6 +176,26 @@ def test_secrets_are_replaced_to_their_end(spark):
             assert made[i : i + 6] != value[i : i + 6]
 
 
+def test_cards_beside_other_digits(spark):
+    texts = [
+        "4111 1111 1111 1111 12/27", "4111 1111 1111 1111 123", "7 4111111111111111", "12 4111-1111-1111-1111",
+        "12 34 4111 1111 1111 1111 12/27", "5500 0000 0000 0004 4111 1111 1111 1111", "4111 1111 1111 1111 2024-01-02",
+        "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15", "12 4111111111111112",
+    ]
+    got = replaced(spark, texts)
+    at = [[0], [0], [2], [3], [6], [0, 20], [0]]
+    for text, places, (out, found) in zip(texts, at, got):
+        assert [a for k, a in found if k == "card"] == places
+        for a in places:
+            size = 19 if text[a + 4] in " -" else 16
+            old, new = text[a : a + size], out[a : a + size]
+            assert new != old and luhn(re.sub("[ -]", "", new)) and re.sub("[0-9]", "", new) == re.sub("[0-9]", "", old)
+        assert len(out) == len(text)
+    assert got[0][0].endswith(" 12/27") and got[1][0].endswith(" 123") and got[2][0].startswith("7 ") and got[3][0].startswith("12 ")
+    assert [k for k, _ in got[6][1]] == ["card", "date"] and "2024-01-02" not in got[6][0]
+    assert got[7][0] == texts[7] and got[8][0] == texts[8]
+
+
 def test_permutations_are_bijections(spark):
     n = spark.range(189 * 7).select(pii.permute_number(F.col("id"), 189, 7, "k", "t").alias("x"))
     assert sorted(r.x for r in n.collect()) == list(range(189 * 7))
