@@ -2,14 +2,16 @@
 
 Conventions of every operator in this package:
 
-* input columns are named by parameters; other columns are ignored, so extra
-  columns with clashing names can never reach an operator's own columns;
+* input columns are named by parameters; other columns are ignored, or, where the
+  result has all columns, carried under numbered names (``plain``), so extra columns
+  with clashing names can never reach an operator's own columns;
 * a null text is the empty text, a null id is a value like any other;
 * repeated rows are separate rows unless an operator says otherwise.
 """
 
 from __future__ import annotations
 
+import re
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from hopweave.plans.tables import discard, land, shared_dir, sweep
 
-__all__ = ["FRUGAL", "discard", "documents", "land", "settings", "shared_dir", "slices", "sweep", "texts"]
+__all__ = ["FRUGAL", "discard", "documents", "land", "plain", "settings", "shared_dir", "slices", "stable", "sweep", "texts"]
 
 
 @contextmanager
@@ -46,6 +48,19 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns called c0, c1, ..., and these names by the old ones."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names))
+
+
+def stable(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """``df`` as it is where its rows come from files as they lie; landed where a
+    shuffle would bring them in another order in every run."""
+    moved = re.search(r"(?<!Broadcast)Exchange|Shuffle", df._jdf.queryExecution().executedPlan().toString())
+    return land(spark, df, name) if moved else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

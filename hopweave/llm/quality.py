@@ -1,235 +1,370 @@
 """Operator 9: quality classifier, an interpolated modified Kneser-Ney n-gram model.
 
-The model is trained on trusted text, per language: all labelled documents of
-good quality that are not toxic.  Its symbols are 64 classes of bytes, its order
-is 4, so no language's model can outgrow 64**4 probabilities, whatever the text;
-the counts behind it cover all trusted text and grow with it.
-
-1. Tasks count the 4-grams of their rows; counts are summed in shards by
-   (language, 4-gram).
+The model is trained on trusted text: all labelled documents of good quality that
+are not toxic.  Its symbols are bytes as they are, its order is 5, its counts grow
+with the trusted text; none of it is ever on the driver or broadcast.
+
+1. Tasks count the 5-grams of their rows, per language and half of the trusted
+   documents; counts are summed in shards by (model, gram).  Models are each
+   language's, the pooled one of all languages, and for both the models of either
+   half alone.
 2. Lower orders count left contexts.  Discounts, context totals and interpolated
-   probabilities come from joins of these count tables on (language, context):
-   one row of 64 probabilities for every observed context of each order.
-3. Documents are scored by look-up: a context that was never observed takes the
-   row of its longest observed suffix.  Models are handed to the tasks in shards
-   of languages below ``SHARD_BYTES`` each; a document is read in its language's
-   shard only.
-4. Thresholds are quantiles of the trusted documents' scores, per language.
+   probabilities come from joins of these count tables on (model, gram).
+3. The logarithm of an interpolated probability is a sum over orders: what the
+   context gives away, and what a gram that was seen has over its lower order.  So
+   the model is a table of one number for each gram of each order, and a text's
+   log likelihood is the sum of its grams' numbers: a join.  Chunks of documents
+   send their distinct grams to shards by hash, shards send the numbers back,
+   and the chunk's documents, which took their own way, are summed up.
+4. Thresholds are quantiles per language of the trusted documents' scores, each by
+   the model of the half that does not have the document.
+
+A model of trusted text finds a text that repeats itself as likely as one that does
+not.  So beside the perplexity there is a second score with a quantile of its own,
+the novelty: the share of a text's pairs of neighbouring words that are distinct.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from functools import lru_cache
+import math
+from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopweave.llm.common import FRUGAL, land, settings, slices
+from hopweave.llm.common import FRUGAL, land, plain, settings, slices, stable
+from hopweave.plans.tables import small
 
-ORDER, CLASSES = 4, 64
-QUANTILE = 0.995
-SPREAD = 1.5  # the threshold lies so many times the quantile's distance over the median
-LEAST_MARGIN = 0.35  # nats a symbol over the median, at least
-PRIOR = 64  # symbols of average text that every document is mixed with
-LEAST_SYMBOLS = 20_000  # of trusted text for a language's own model; else the pooled one
-SHARD_BYTES = 64_000_000
-BROADCAST_IDS = 500_000
+ORDER = 5
+QUANTILE = 0.9995
+PRIOR = 200  # bytes of the language's average text that every text is mixed with
+FEW = 500  # documents of a language whose extremes are taken as they are
 POOLED = "*"
+CHUNK = 16_000_000  # bytes of text that are scored together, about; a longer text is whole
+SEGMENT = 4_000_000  # bytes of a chunk that are sorted at once
+BATCH_BYTES = 2_000_000
+PAD = b"\n" * (ORDER - 1)
+
+U = np.uint64
+
+
+# ------------------------------------------------------------------- grams
+
+
+def grams(whole: list[bytes]):
+    """(place, packed 5-grams) of segments of the texts: each text and the line
+    ends that close it, after the line ends that open it."""
+    data = np.frombuffer(PAD + b"".join(x + PAD for x in whole), np.uint8)
+    for a in range(0, max(len(data) - ORDER + 1, 0), SEGMENT):
+        part = data[a : a + SEGMENT + ORDER - 1].astype(U)
+        packed = np.zeros(len(part) - ORDER + 1, U)
+        for i in range(ORDER):
+            packed = packed << U(8) | part[i : len(packed) + i]
+        yield a, packed
 
-# Characters that share a class, from class 31 on.
-PUNCTUATION = [".", ",", "!?", ";:", "'\"", "-", "()[]{}", "/\\|"]
-
-
-@lru_cache(1)
-def byte_classes() -> np.ndarray:
-    """Class of each byte: letters 0 to 25, any capital 26, digits 27, space 28,
-    line end 29, other controls 30, punctuation 31 to 38, other signs 39, first
-    bytes of longer characters 40 to 43, their other bytes 44 to 63."""
-    out = np.full(256, 39, np.uint32)
-    out[97:123] = np.arange(26)
-    out[65:91] = 26
-    out[48:58] = 27
-    out[:32] = out[127] = 30
-    out[32], out[10] = 28, 29
-    for i, signs in enumerate(PUNCTUATION):
-        out[[ord(c) for c in signs]] = 31 + i
-    out[0x80:0xC0] = 44 + np.arange(64) * 20 // 64
-    for i, (a, b) in enumerate(((0xC0, 0xC4), (0xC4, 0xE0), (0xE0, 0xF0), (0xF0, 0x100))):
-        out[a:b] = 40 + i
+
+def suffixes(full: np.ndarray) -> list[np.ndarray]:
+    """The grams of each order 0 .. 5 that end as ``full`` do."""
+    return [full & U((1 << 8 * k) - 1) for k in range(ORDER)] + [full]
+
+
+def keys_of(model: str, order: int, packed: np.ndarray) -> np.ndarray:
+    """64-bit names of a model's grams."""
+    salt = int.from_bytes(blake2b(f"{order} {model}".encode(), digest_size=8).digest(), "little")
+    with np.errstate(over="ignore"):
+        h = (packed ^ U(salt)) * U(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> U(32))) * U(0xD6E8FEB86659FD93)
+        return h ^ (h >> U(29))
+
+
+def _wanted(models: list[str], whole: list[bytes]) -> dict[str, np.ndarray]:
+    """Distinct 5-grams of the texts of each model."""
+    out = {}
+    for model in dict.fromkeys(models):
+        seen = [np.unique(g) for _, g in grams([x for x, m in zip(whole, models) if m == model])]
+        out[model] = np.unique(np.concatenate(seen)) if len(seen) > 1 else seen[0]
     return out
 
 
-def grams(whole: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed 4-grams that end at each byte of the texts, each text after three
-    line ends, and every text's number of them."""
-    lengths = np.fromiter(map(len, whole), np.int64, len(whole))
-    data = b"".join(b"\n\n\n" + x for x in whole)
-    s = byte_classes()[np.frombuffer(data, np.uint8)]
-    if len(s) < ORDER:
-        return np.zeros(0, np.uint32), lengths
-    packed = s[:-3] << 18 | s[1:-2] << 12 | s[2:-1] << 6 | s[3:]
-    ends = np.ones(len(data), bool)  # the line ends themselves are not predicted
-    begin = np.cumsum(lengths + 3) - (lengths + 3)
-    for i in range(3):
-        ends[begin + i] = False
-    return packed[ends[3:]], lengths
+def _requested(wanted: dict[str, np.ndarray]) -> np.ndarray:
+    """Sorted names of all grams that the texts need."""
+    parts = [keys_of(model, k, np.unique(g) if k < ORDER else g) for model, full in wanted.items() for k, g in enumerate(suffixes(full))]
+    return np.unique(np.concatenate(parts))
 
 
 # --------------------------------------------------------------- training
 
 
 def _counted(batches):
-    """(lang, gram, n): sums of this task's rows."""
-    held: dict[str, list] = {}
+    """(model, half, gram, n): sums of this task's rows."""
+    held: dict[tuple, list] = {}
 
     def summed(parts):
         keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
         return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
     for batch in batches:
-        for part in slices(batch):
-            langs, whole = part.column(0).to_pylist(), part.column(1).to_pylist()
-            for lang in set(langs):
-                keys, n = np.unique(grams([x.encode() for x, y in zip(whole, langs) if y == lang])[0], return_counts=True)
-                parts = held.setdefault(lang, [])
-                parts.append((keys, n))
+        for part in slices(batch, 2, SEGMENT):
+            groups = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
+            whole = [x.encode() for x in part.column(2).to_pylist()]
+            for group in dict.fromkeys(groups):
+                parts = held.setdefault(group, [])
+                for _, g in grams([x for x, y in zip(whole, groups) if y == group]):
+                    parts.append(np.unique(g, return_counts=True))
                 if sum(len(k) for k, _ in parts) > 1_000_000:
-                    held[lang] = [summed(parts)]
-    for lang, parts in held.items():
+                    held[group] = [summed(parts)]
+    for (lang, half), parts in held.items():
         keys, n = summed(parts)
         for i in range(0, len(keys), 50_000):
             k = keys[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k)), pa.array(k.astype(np.int32)), pa.array(n[i : i + 50_000])], ["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(k)), pa.array([half] * len(k), pa.int32()), pa.array(k.astype(np.int64)), pa.array(n[i : i + 50_000])],
+                ["lang", "half", "gram", "n"],
+            )
+
+
+def model_name(lang: Column, half: Column | None = None) -> Column:
+    """Of a language's model, or of that of one half of its trusted documents."""
+    return F.concat(F.lit(":") if half is None else F.concat(half.cast("string"), F.lit(":")), lang)
 
 
 def gram_counts(trusted: DataFrame) -> DataFrame:
-    """lang, gram, n of ``trusted`` (lang, text), with a pooled language."""
-    own = trusted.mapInArrow(_counted, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    pooled = own.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "gram", "n")
-    return own.where(F.col("lang") != POOLED).unionByName(pooled)
+    """model, gram, n of ``trusted`` (lang, half, text)."""
+    own = trusted.mapInArrow(_counted, "lang string, half int, gram long, n long")
+    names = [model_name(x, half) for x in (F.lit(POOLED), F.col("lang")) for half in (None, F.col("half"))]
+    # A text without a language counts for the pooled models only.
+    models = F.when(F.col("lang") == POOLED, F.array(*names[:2])).otherwise(F.array(*names))
+    return own.groupBy("lang", "half", "gram").agg(F.sum("n").alias("n")).select(F.explode(models).alias("model"), "gram", "n").groupBy("model", "gram").agg(F.sum("n").alias("n"))
 
 
 def _discounts(level: DataFrame) -> DataFrame:
-    """Modified Kneser-Ney discounts d1, d2, d3 per language."""
+    """Modified Kneser-Ney discounts d1, d2, d3 per model."""
     n = [F.count(F.when(F.col("n") == i, 1)).cast("double").alias(f"n{i}") for i in range(1, 5)]
-    counts = level.groupBy("lang").agg(*n)
+    counts = level.groupBy("model").agg(*n)
     y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
 
     def d(i: int) -> Column:
         free = F.lit(float(i)) - (i + 1) * y * F.col(f"n{i + 1}") / F.greatest(F.col(f"n{i}"), F.lit(1.0))
         return F.least(F.greatest(free, F.lit(0.1)), F.lit(float(i))).alias(f"d{i}")
 
-    return counts.select("lang", d(1), d(2), d(3))
+    return counts.select("model", d(1), d(2), d(3))
 
 
-def _order(level: DataFrame, lower: DataFrame | None, keep: int) -> DataFrame:
-    """lang, context, p (64 probabilities) of one order: discounted counts plus
-    what was discounted times the lower order's row."""
-    taken = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    # One row for each of the languages, whose list the driver has.
-    rows = level.join(F.broadcast(_discounts(level)), "lang").withColumn("taken", taken)
-    rows = rows.groupBy("lang", F.shiftright("gram", 6).alias("context")).agg(
-        F.sum("n").alias("total"), F.sum("taken").alias("free"),
-        F.map_from_entries(F.collect_list(F.struct(F.col("gram").bitwiseAND(63), F.col("n") - F.col("taken")))).alias("own"),
-    )
-    share = F.col("free") / F.col("total")
-    if lower is None:
-        below = F.array_repeat(F.lit(1.0 / CLASSES), CLASSES)
-    else:
-        rows = rows.withColumn("suffix", F.col("context").bitwiseAND(keep)).join(
-            lower.select("lang", F.col("context").alias("suffix"), F.col("p").alias("below")), ["lang", "suffix"]
-        )
-        below = F.col("below")
-    p = F.transform(below, lambda b, i: F.coalesce(F.try_element_at("own", i), F.lit(0.0)) / F.col("total") + share * b)
-    return rows.select("lang", "context", p.alias("p"))
-
-
-def model_table(counts: DataFrame) -> DataFrame:
-    """lang, order, context, p: a row per observed context of each order."""
+def model_table(spark: SparkSession, counts: DataFrame, n_models: int) -> DataFrame:
+    """model, order, gram, v: the number of every observed gram of each order.
+
+    With p_k the interpolated probability and b_k a context's back-off weight,
+    log p_k(w | c) = log b_k(c) + log p_(k-1)(w | c') + x, where x, the gram's
+    excess, is 0 for an unseen gram, and an unseen context has b = 1.  A gram's v is
+    its excess plus the log b that it has as a context; the gram of order 0 has
+    log b_1 + log 1/256.
+    """
     levels = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):  # continuation counts: kinds of left neighbours
-        levels[k] = levels[k + 1].groupBy("lang", F.col("gram").bitwiseAND((1 << 6 * k) - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        levels[k] = levels[k + 1].groupBy("model", F.col("gram").bitwiseAND((1 << 8 * k) - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        levels[k] = land(spark, levels[k], f"quality-level{k}")
+    taken = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
     lower, out = None, None
     for k in range(1, ORDER + 1):
-        lower = _order(levels[k], lower, (1 << 6 * (k - 2)) - 1 if k > 1 else 0)
-        rows = lower.select("lang", F.lit(k).alias("order"), "context", "p")
-        out = rows if out is None else out.unionByName(rows)
+        rows = levels[k].join(small(_discounts(levels[k]), n_models), "model").withColumn("taken", taken)
+        rows = rows.withColumn("context", F.shiftright("gram", 8))
+        contexts = rows.groupBy("model", "context").agg(F.sum("n").alias("total"), (F.sum("taken") / F.sum("n")).alias("share"))
+        if k == 1:
+            below = F.lit(1.0 / 256)
+        else:
+            rows = rows.withColumn("suffix", F.col("gram").bitwiseAND((1 << 8 * (k - 1)) - 1)).join(
+                lower.select("model", F.col("gram").alias("suffix"), F.col("p").alias("below")), ["model", "suffix"]
+            )
+            below = F.col("below")
+        p = (F.col("n") - F.col("taken")) / F.col("total") + F.col("share") * below
+        rows = rows.join(contexts, ["model", "context"]).select("model", "gram", p.alias("p"), (F.log(p) - F.log("share") - F.log(below)).alias("excess"))
+        weights = contexts.select("model", F.col("context").alias("gram"), F.log("share").alias("weight"))
+        if k == 1:
+            made = weights.select("model", F.lit(0).alias("order"), "gram", (F.col("weight") - F.log(F.lit(256.0))).alias("v"))
+        else:  # the grams of the order below are this order's contexts
+            made = lower.join(weights, ["model", "gram"], "left").select("model", F.lit(k - 1).alias("order"), "gram", (F.col("excess") + F.coalesce("weight", F.lit(0.0))).alias("v"))
+        out = made if out is None else out.unionByName(made)
+        lower = land(spark, rows, f"quality-order{k}")
+    return out.unionByName(lower.select("model", F.lit(ORDER).alias("order"), "gram", F.col("excess").alias("v")))
+
+
+# ---------------------------------------------------------------- scoring
+
+PACKED = "bucket int, kind int, chunk long, a binary, b binary"
+GRAMS, REQUEST, ANSWER, ROWS = range(4)
+
+
+def _packed(rows):
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["bucket", "kind", "chunk", "a", "b"])
+
+
+def _cuts(keys: np.ndarray, buckets: int) -> list[int]:
+    """Where each bucket's keys begin in sorted ``keys``."""
+    return np.searchsorted((keys >> U(32)) * U(buckets) >> U(32), np.arange(buckets + 1)).tolist()
+
+
+def _table_rows(buckets: int):
+    def run(batches):
+        for batch in batches:
+            models = batch.column(0).dictionary_encode()
+            names, of = models.dictionary.to_pylist(), models.indices.to_numpy()
+            orders, packed, v = (batch.column(i).to_numpy() for i in (1, 2, 3))
+            keys = np.zeros(len(of), U)
+            for m, name in enumerate(names):
+                for k in range(ORDER + 1):
+                    at = (of == m) & (orders == k)
+                    keys[at] = keys_of(name, k, packed[at].astype(U))
+            order = np.argsort(keys)
+            keys, v = keys[order], v[order].astype("<f4")
+            cut = _cuts(keys, buckets)
+            rows = [(i, GRAMS, 0, keys[a:b].tobytes(), v[a:b].tobytes()) for i, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+            if rows:
+                yield _packed(rows)
+
+    return run
+
+
+def _chunks(batches):
+    """(number, rows) of a task's chunks; the same in every run over the rows."""
+    number, held, size = None, [], 0
+    for batch in batches:
+        if number is None and batch.num_rows:
+            number = batch.column("part")[0].as_py() << 32
+        for part in slices(batch, 1, CHUNK):
+            held.append(part)
+            size += part.column(1).nbytes
+            if size >= CHUNK:
+                yield number, pa.Table.from_batches(held).combine_chunks()
+                number, held, size = number + 1, [], 0
+    if held:
+        yield number, pa.Table.from_batches(held).combine_chunks()
+
+
+def _texts(part) -> tuple[list[str], list[bytes]]:
+    return part.column(0).to_pylist(), [(x or "").encode() for x in part.column(1).to_pylist()]
+
+
+def _requests(buckets: int):
+    def run(batches):
+        for number, part in _chunks(batches):
+            keys = _requested(_wanted(*_texts(part)))
+            cut = _cuts(keys, buckets)
+            check = _check(keys)
+            yield _packed([(i, REQUEST, number, keys[a:b].tobytes(), check) for i, (a, b) in enumerate(zip(cut, cut[1:])) if b > a])
+
+    return run
+
+
+def _answers(batches):
+    """One shard: the table's rows come first, then requests."""
+    held, keys, v = [], None, None
+    for batch in batches:
+        out, size = [], 0
+        for bucket, kind, chunk, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+            if kind == GRAMS:
+                held.append((a, b))
+                continue
+            if keys is None:
+                keys = np.concatenate([np.frombuffer(x, U) for x, _ in held] or [np.zeros(0, U)])
+                v = np.concatenate([np.frombuffer(x, "<f4") for _, x in held] or [np.zeros(0, "<f4")])
+                order = np.argsort(keys)
+                keys, v, held = keys[order], v[order], []
+            asked = np.frombuffer(a, U)
+            got = np.zeros(len(asked), "<f4")
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                known = keys[at] == asked
+                got[known] = v[at[known]]
+            out.append((bucket, ANSWER, chunk, b, got.tobytes()))
+            size += 4 * len(got)
+            if size > BATCH_BYTES:
+                yield _packed(out)
+                out, size = [], 0
+        if out:
+            yield _packed(out)
+
+
+def _rows(batches):
+    """The chunks' own rows, compressed."""
+    for number, part in _chunks(batches):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(part)
+        yield _packed([(-1, ROWS, number, sink.getvalue().to_pybytes(), None)])
+
+
+def novelty(text: bytes) -> float:
+    """Share of the pairs of neighbouring words that are distinct; 1 without any."""
+    words = text.split()
+    return len(set(zip(words, words[1:]))) / (len(words) - 1) if len(words) > 1 else 1.0
+
+
+def likelihoods(models: list[str], whole: list[bytes], keys: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Log likelihood of each text with the line ends that close it."""
+    out = np.zeros(len(whole))
+    for model, full in _wanted(models, whole).items():
+        value = np.zeros(len(full))
+        for k, g in enumerate(suffixes(full)):
+            value += v[np.searchsorted(keys, keys_of(model, k, g))]
+        own = [i for i, m in enumerate(models) if m == model]
+        ends = np.cumsum([len(whole[i]) + len(PAD) for i in own])
+        total = np.zeros(len(own) + 1)  # sums up to each text's end, segment by segment
+        before = 0.0
+        for a, g in grams([whole[i] for i in own]):
+            sums = np.append(0.0, np.cumsum(value[np.searchsorted(full, g)]))
+            here = np.flatnonzero((ends > a) & (ends <= a + len(g)))
+            total[here + 1] = before + sums[ends[here] - a]
+            before += sums[-1]
+        out[own] = np.diff(total)
     return out
 
 
-@dataclass
-class Shard:
-    """Some languages' models as arrays: the row of every context, and the rows."""
+def _check(keys: np.ndarray) -> bytes:
+    return blake2b(keys.tobytes(), digest_size=8).digest()
+
+
+def _summed(names: list[str]):
+    def run(table: pa.Table) -> pa.Table:
+        kinds = table.column("kind").to_pylist()
+        with pa.ipc.open_stream(table.column("a")[kinds.index(ROWS)].as_buffer()) as r:
+            part = r.read_all().combine_chunks()
+        models, whole = _texts(part)
+        keys = _requested(_wanted(models, whole))
+        answers = sorted((table.column("bucket")[i].as_py(), i) for i, k in enumerate(kinds) if k == ANSWER)
+        if any(table.column("a")[i].as_py() != _check(keys) for _, i in answers):
+            raise RuntimeError("a chunk's rows differ from those that its grams were asked for")
+        v = np.concatenate([np.frombuffer(table.column("b")[i].as_py(), "<f4") for _, i in answers]).astype(np.float64)
+        more = [pa.array([len(x) for x in whole], pa.int64()), pa.array(-likelihoods(models, whole, keys, v)), pa.array([novelty(x) for x in whole])]
+        return pa.table([part.column(x) for x in names] + more, names=[*names, "n", "nll", "novelty"])
 
-    langs: list[str]  # whose documents are scored with it
-    pooled: int  # place of the pooled model, which every shard has
-    row_of: np.ndarray  # (models, 64**3)
-    logs: np.ndarray  # (rows, 64)
+    return run
+
+
+def _scored(spark: SparkSession, rows: DataFrame, table: DataFrame, names: list[str]) -> DataFrame:
+    """Columns ``names`` of ``rows`` (model, text, further ones) with n, nll and
+    novelty, in any order.  ``rows`` are read twice and must come in one order."""
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = stable(spark, rows, "quality-rows").withColumn("part", F.spark_partition_id())
+    numbers = table.select("model", "order", "gram", "v").mapInArrow(_table_rows(buckets), PACKED)
+    answers = numbers.unionByName(rows.mapInArrow(_requests(buckets), PACKED))
+    answers = answers.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("kind").mapInArrow(_answers, PACKED)
+    kinds = dict((f.name, f.dataType.simpleString()) for f in rows.schema)
+    schema = ", ".join([*(f"`{x}` {kinds[x]}" for x in names), "n long, nll double, novelty double"])
+    return answers.unionByName(rows.mapInArrow(_rows, PACKED)).groupBy("chunk").applyInArrow(_summed(names), schema)
+
+
+# ------------------------------------------------------------- the classifier
 
 
 @dataclass
 class Model:
-    shards: list = field(default_factory=list)  # broadcasts of Shard
-    langs: list[str] = field(default_factory=list)  # with a model of their own, or the pooled
-    means: dict[str, float] = field(default_factory=dict)
-    thresholds: dict[str, float] = field(default_factory=dict)  # log perplexity
-
-
-def _shards(spark: SparkSession, table: DataFrame, langs: dict[str, int]):
-    """The pooled model is in every shard.  One language's model has at most 64**3 + 64**2 + 64 + 1 rows of 256 bytes
-    and an index of 1 MB; a shard closes before it passes SHARD_BYTES, so it has
-    several languages or a single one, which is bounded."""
-    cost = lambda lang: langs[lang] * 4 * CLASSES + 4 * CLASSES**3
-    groups, size = [[]], cost(POOLED)
-    for lang in langs:
-        if groups[-1] and size + cost(lang) > SHARD_BYTES:
-            groups.append([])
-            size = cost(POOLED)
-        groups[-1].append(lang)
-        size += cost(lang)
-    for own in filter(None, groups):
-        group = own if POOLED in own else [*own, POOLED]
-        rows = table.where(F.col("lang").isin(group)).select("lang", "order", "context", F.transform("p", lambda x: F.log(x).cast("float")).alias("log")).toArrow()
-        logs = rows.column("log").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, CLASSES)
-        lang, order, context = (np.array(rows.column(c).to_pylist()) for c in ("lang", "order", "context"))
-        row_of = np.zeros((len(group), CLASSES**3), np.int32)
-        for i, name in enumerate(group):
-            index = None
-            for k in range(1, ORDER + 1):
-                at = np.flatnonzero((lang == name) & (order == k))
-                if index is None:
-                    index = at.astype(np.int32)  # the one row without context
-                else:
-                    width = CLASSES ** (k - 1)
-                    index = index[np.arange(width) % len(index)]
-                    index[context[at]] = at
-            row_of[i] = index
-        yield spark.sparkContext.broadcast(Shard(own, group.index(POOLED), row_of, np.ascontiguousarray(logs)))
-
-
-def _scores(shard: Shard, langs: list[str], whole: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and negative log likelihood of each text, by its language's model
-    or by the pooled one, whichever finds it likelier: texts that mix languages
-    are no worse for it."""
-    packed, lengths = grams(whole)
-    of = {x: i for i, x in enumerate(shard.langs)}
-    own = np.array([of[x] for x in langs], np.int64)
-    at = np.append(0, np.cumsum(lengths))
-
-    def sums(model: np.ndarray) -> np.ndarray:
-        row = shard.row_of.ravel()[np.repeat(model, lengths) * CLASSES**3 + (packed >> 6)]
-        total = np.append(0.0, np.cumsum(shard.logs.ravel()[row.astype(np.int64) * CLASSES + (packed & 63)], dtype=np.float64))
-        return total[at[:-1]] - total[at[1:]]
-
-    return lengths, np.minimum(sums(own), sums(np.full(len(langs), shard.pooled, np.int64)))
-
-
-def _model_lang(lang_col: str, langs: list[str]) -> Column:
-    own = [x for x in langs if x != POOLED]
-    return F.when(F.col(lang_col).isin(own), F.col(lang_col)).otherwise(POOLED) if own else F.lit(POOLED)
+    table: DataFrame | None = None  # model, order, gram, v
+    limits: DataFrame | None = None  # lang, mean, most, least: of languages with a model of their own, and the pooled one
+    langs: int = 0  # rows of ``limits``
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -238,101 +373,102 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return good.agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND coalesce(t, 0) = 0").select("trusted_id")
 
 
+def _named(docs: DataFrame, langs: DataFrame, n: int, half: Column | None = None) -> DataFrame:
+    """``docs`` (lang, text, ...) with the model that scores them, put first."""
+    own = langs.select("lang", F.lit(True).alias("own"))
+    lang = F.when(F.col("own"), F.col("lang")).otherwise(POOLED)
+    rest = [c for c in docs.columns if c not in ("lang", "text")]
+    return docs.join(small(own, n), "lang", "left").select(model_name(lang, half).alias("model"), "text", *rest)
+
+
+def _mixed(mean: Column) -> Column:
+    """Log perplexity a byte, of the text and PRIOR bytes of average text."""
+    return (F.col("nll") + PRIOR * mean) / (F.col("n") + len(PAD) + PRIOR)
+
+
 def train(
     spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     quantile: float = QUANTILE,
 ) -> Model:
-    """Model and thresholds from all trusted documents.  Without any trusted
-    text the model is empty, and everything is kept."""
+    """Model and thresholds from all trusted documents.  A language without trusted
+    documents in both halves takes the pooled model; if all languages together are
+    such a one, the model is empty and everything is kept."""
     with settings(spark, FRUGAL):
         return _train(spark, docs, labels, id_col, text_col, lang_col, quantile)
 
 
 def _train(spark, docs, labels, id_col, text_col, lang_col, quantile) -> Model:
-    ids = land(spark, trusted_ids(labels), "quality-trusted")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    trusted = docs.join(ids, F.col(id_col) == F.col("trusted_id"), "left_semi").select(
-        F.coalesce(F.col(lang_col).cast("string"), F.lit(POOLED)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    )
-    counts = land(spark, gram_counts(trusted), "quality-counts")
-    sizes = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    langs = sorted(x for x, n in sizes.items() if n >= LEAST_SYMBOLS or x == POOLED)
-    if not sizes:
+    ids = land(spark, trusted_ids(labels).withColumn("half", F.pmod(F.xxhash64("trusted_id"), F.lit(2)).cast("int")), "quality-trusted")
+    docs, of = plain(docs)
+    lang, text = F.coalesce(F.col(of[lang_col]).cast("string"), F.lit(POOLED)), F.coalesce(F.col(of[text_col]), F.lit(""))
+    trusted = docs.select(F.col(of[id_col]).alias("trusted_id"), lang.alias("lang"), text.alias("text")).join(small(ids, ids.count()), "trusted_id").select("lang", "half", "text")
+    halves = trusted.select("lang", "half").distinct()
+    halves = land(spark, halves.unionByName(halves.select(F.lit(POOLED).alias("lang"), "half")).groupBy("lang").agg(F.count_distinct("half").alias("halves")), "quality-langs")
+    langs = halves.where("halves = 2").select("lang")
+    n = langs.count()
+    if not n:
         return Model()
-    table = land(spark, model_table(counts.where(F.col("lang").isin(langs))), "quality-model")
-    rows = {r["lang"]: r["count"] for r in table.groupBy("lang").count().collect()}
-    model = Model(list(_shards(spark, table, {x: rows[x] for x in langs})), langs)
-    scored = land(spark, _scored(trusted, model, "lang", "text", []), "quality-scores")
-    for r in scored.groupBy("model").agg((F.sum("nll") / F.greatest(F.sum("n"), F.lit(1))).alias("mean")).collect():
-        model.means[r["model"]] = r["mean"]
-    mixed = _mixed(model, F.col("model"), F.col("n"), F.col("nll"))
-    for r in scored.groupBy("model").agg(F.percentile_approx(mixed, [0.5, quantile], 10_000).alias("q")).collect():
-        middle, high = r["q"]
-        model.thresholds[r["model"]] = middle + max(SPREAD * (high - middle), LEAST_MARGIN)
-    # The pooled model also serves languages without trusted documents.
-    if POOLED not in model.thresholds and model.thresholds:
-        model.means[POOLED] = max(model.means.values())
-        model.thresholds[POOLED] = max(model.thresholds.values()) + LEAST_MARGIN
-    return model
-
-
-def _mixed(model: Model, lang: Column, n: Column, nll: Column) -> Column:
-    """Log perplexity a symbol, of the text and PRIOR symbols of average text."""
-    mean = F.create_map(*[x for k, v in model.means.items() for x in (F.lit(k), F.lit(v))])
-    return (nll + PRIOR * F.element_at(mean, lang)) / (n + PRIOR)
-
-
-def _scored(docs: DataFrame, model: Model, lang_col: str, text_col: str, kept: list[str]) -> DataFrame:
-    """``docs``, only its columns ``kept``, with model, n and nll, shard by shard."""
-    out = None
-    for shared in model.shards:
-        rows = docs.withColumn("model", _model_lang(lang_col, model.langs)).where(F.col("model").isin(shared.value.langs))
-        rows = rows.select("model", *kept, *([text_col] if text_col not in kept else []))
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in ("model", *kept)) + ", n long, nll double"
-
-        def run(batches, shared=shared):
-            for batch in batches:
-                at = batch.schema.get_field_index(text_col)
-                for part in slices(batch, at):
-                    n, nll = _scores(shared.value, part.column(0).to_pylist(), [(x or "").encode() for x in part.column(at).to_pylist()])
-                    names = ["model", *kept]
-                    yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(n), pa.array(nll)], [*names, "n", "nll"])
-
-        rows = rows.mapInArrow(run, schema)
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    counts = land(spark, gram_counts(trusted), "quality-counts")
+    table = land(spark, model_table(spark, counts, 3 * halves.count()), "quality-model")
+    # Each trusted document by the model of the other half.
+    rows = _named(trusted, langs, n, 1 - F.col("half"))
+    found = land(spark, _scored(spark, rows, table.where(~F.col("model").startswith(":")), ["model"]).withColumn("lang", F.substring("model", 3, 1 << 30)), "quality-scores")
+    # The pooled model's thresholds cover all trusted documents that it scores itself, or else all there are.
+    means = found.groupBy("lang").agg((F.sum("nll") / F.sum(F.col("n") + len(PAD))).alias("mean"))
+    means = means.unionByName(found.agg((F.sum("nll") / F.sum(F.col("n") + len(PAD))).alias("mean")).select(F.lit(POOLED).alias("lang"), "mean"))
+    means = means.groupBy("lang").agg(F.max("mean").alias("mean"))
+    scores = found.join(small(means, n), "lang").select("lang", "mean", _mixed(F.col("mean")).alias("score"), "novelty")
+    scores = scores.unionByName(scores.where(F.col("lang") != POOLED).withColumn("lang", F.lit(POOLED)))
+    at = lambda c, q: F.percentile_approx(c, [0.5, q], 10_000)
+    limits = scores.groupBy("lang").agg(F.max("mean").alias("mean"), F.count(F.lit(1)).alias("seen"), at("score", quantile).alias("s"), at("novelty", 1 - quantile).alias("v"))
+    # The extreme of a few documents is drawn out along an exponential tail to that
+    # of FEW; from so many on the factor is 1.
+    far = F.greatest(F.lit(1.0), F.lit(math.log(FEW)) / F.log(F.col("seen") + 1))
+    drawn = lambda c: (F.col(c)[0] + far * (F.col(c)[1] - F.col(c)[0]))
+    limits = land(spark, limits.select("lang", "mean", drawn("s").alias("most"), drawn("v").alias("least")), "quality-limits")
+    return Model(table.where(F.col("model").startswith(":")), limits, n + 1)
+
+
+def _judged(spark: SparkSession, rows: DataFrame, model: Model, names: list[str]) -> DataFrame:
+    """Columns ``names`` of ``rows`` (lang, text, ...), lang, n, score, novelty, most, least."""
+    with settings(spark, FRUGAL):
+        found = _scored(spark, _named(rows, model.limits, model.langs), model.table, ["model", *names])
+    found = found.withColumn("lang", F.substring("model", 2, 1 << 30)).join(small(model.limits, model.langs), "lang")
+    return found.withColumn("score", _mixed(F.col("mean")))
 
 
-def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+KEPT = "score <= most AND novelty >= least"
+
+
+def classify(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: doc_id, model (language, or * for the pooled), n_bytes,
-    perplexity and threshold (per symbol, after mixing with PRIOR symbols of
-    average text), kept.
+    perplexity and threshold (per byte, after mixing with PRIOR bytes of average
+    text), novelty and least_novelty, kept.
 
-    A null or empty text has the average perplexity and is kept; a null or
-    unknown language takes the pooled model; with an empty model everything is
-    kept and has null perplexity.
+    A null or empty text has about the average perplexity and novelty 1, and is
+    kept; a null or unknown language takes the pooled model; repeated rows each have
+    a row; an empty table gives none; with an empty model everything is kept and has
+    null scores.  Texts are scored whole, however long.
     """
-    doc = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).alias("__whole"))
-    if not model.shards:
-        size = F.octet_length(F.coalesce(F.col("__whole"), F.lit(""))).cast("long")
-        none = F.lit(None).cast("double")
-        return doc.select("doc_id", F.lit(POOLED).alias("model"), size.alias("n_bytes"), none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("kept"))
-    rows = _scored(doc, model, "__lang", "__whole", ["doc_id"])
-    limit = F.element_at(F.create_map(*[x for k, v in model.thresholds.items() for x in (F.lit(k), F.lit(v))]), F.col("model"))
-    score = _mixed(model, F.col("model"), F.col("n"), F.col("nll"))
-    return rows.select(
-        "doc_id", "model", F.col("n").alias("n_bytes"), F.exp(score).alias("perplexity"), F.exp(limit).alias("threshold"), (score <= limit).alias("kept")
-    )
-
-
-def keep_good(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, with all their columns."""
-    if not model.shards:
+    docs, of = plain(docs)
+    lang, text = F.coalesce(F.col(of[lang_col]).cast("string"), F.lit(POOLED)), F.coalesce(F.col(of[text_col]), F.lit(""))
+    rows = docs.select(lang.alias("lang"), text.alias("text"), F.col(of[id_col]).alias("doc_id"))
+    if model.table is None:
+        none = [F.lit(None).cast("double").alias(c) for c in ("perplexity", "threshold", "novelty", "least_novelty")]
+        return rows.select("doc_id", F.lit(POOLED).alias("model"), F.octet_length("text").cast("long").alias("n_bytes"), *none, F.lit(True).alias("kept"))
+    return _judged(spark, rows, model, ["doc_id"]).select(
+        "doc_id", F.col("lang").alias("model"), F.col("n").alias("n_bytes"), F.exp("score").alias("perplexity"), F.exp("most").alias("threshold"),
+        "novelty", F.col("least").alias("least_novelty"), F.expr(KEPT).alias("kept"),
+    )
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that ``classify`` keeps, with all their columns and
+    whatever names these have; nulls, empty texts and repeats as there."""
+    if model.table is None:
         return docs
-    # Numbered names: the columns of ``docs`` may have any.
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    held = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)], F.col(lang_col).cast("string").alias("__lang"))
-    rows = _scored(held, model, "__lang", names[docs.columns.index(text_col)], names)
-    limit = F.element_at(F.create_map(*[x for k, v in model.thresholds.items() for x in (F.lit(k), F.lit(v))]), F.col("model"))
-    kept = rows.where(_mixed(model, F.col("model"), F.col("n"), F.col("nll")) <= limit)
-    return kept.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
+    rows, of = plain(docs)
+    lang, text = F.coalesce(F.col(of[lang_col]).cast("string"), F.lit(POOLED)), F.coalesce(F.col(of[text_col]), F.lit(""))
+    kept = _judged(spark, rows.select(lang.alias("lang"), text.alias("text"), *[c for c in rows.columns if c != of[text_col]], F.col(of[text_col]).isNull().alias("none")), model, ["text", "none", *[c for c in rows.columns if c != of[text_col]]]).where(KEPT)
+    back = [F.when(~F.col("none"), F.col("text")).alias(c) if c == of[text_col] else F.col(c) for c in rows.columns]
+    return kept.select(*back).toDF(*docs.columns)

@@ -50,7 +50,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return quality.classify(docs, quality.train(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return quality.classify(spark, docs, quality.train(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

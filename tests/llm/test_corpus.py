@@ -109,74 +109,112 @@ def test_near_copies_leave_one_of_each_group(spark, tricky, nothing, sf):
     assert neardup.keep_one(spark, nothing).count() == 0
 
 
-def dense_model(counts):
-    """log p of every 4-gram by the textbook formulas, on dense arrays."""
-    levels = {4: counts}
-    for k in (3, 2, 1):
-        levels[k] = (levels[k + 1].reshape(64, -1) > 0).sum(0)
-    p = np.full((1, 64), 1 / 64)
-    for k in range(1, 5):
-        c = levels[k].reshape(-1, 64).astype(float)
-        n = [(c == i).sum() for i in range(1, 5)]
+def textbook_model(texts):
+    """log p(byte | up to four bytes before) by the recursive formulas, on dicts."""
+    counts = {}
+    for t in texts:
+        s = quality.PAD + t + quality.PAD
+        for i in range(len(s) - 4):
+            counts[s[i : i + 5]] = counts.get(s[i : i + 5], 0) + 1
+    levels = {5: counts}
+    for k in (4, 3, 2, 1):
+        levels[k] = {}
+        for g in levels[k + 1]:
+            levels[k][g[1:]] = levels[k].get(g[1:], 0) + 1
+    cut, total, free = {}, {}, {}
+    for k, level in levels.items():
+        n = [sum(c == i for c in level.values()) for i in range(1, 5)]
         y = n[0] / max(1, n[0] + 2 * n[1])
-        d = np.array([0, *(min(max(i - (i + 1) * y * n[i] / max(1, n[i - 1]), 0.1), i) for i in (1, 2, 3))])[np.minimum(c, 3).astype(int)]
-        total, low = c.sum(1, keepdims=True), np.tile(p, (len(c) // len(p), 1))
-        with np.errstate(all="ignore"):
-            p = np.where(total > 0, np.maximum(c - d, 0) / total + d.sum(1, keepdims=True) / total * low, low)
-    return np.log(p).ravel()
+        cut[k] = [0, *(min(max(i - (i + 1) * y * n[i] / max(1, n[i - 1]), 0.1), i) for i in (1, 2, 3))]
+        for g, c in level.items():
+            total[g[:-1]] = total.get(g[:-1], 0) + c if k > 1 else sum(level.values())
+            free[g[:-1]] = free.get(g[:-1], 0) + cut[k][min(c, 3)]
 
+    def p(context, w):
+        k = len(context) + 1
+        low = p(context[1:], w) if context else 1 / 256
+        if context not in total:
+            return low
+        c = levels[k].get(context + w, 0)
+        return max(c - cut[k][min(c, 3)], 0) / total[context] + free[context] / total[context] * low
 
-def test_model_against_dense_formulas(spark, sf):
+    return lambda t: sum(np.log(p((quality.PAD + t + quality.PAD)[i : i + 4], (t + quality.PAD)[i : i + 1])) for i in range(len(t) + 4))
+
+
+def test_model_against_recursive_formulas(spark, sf):
     docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
     model = quality.train(spark, docs, labels)
     trusted = {r.trusted_id for r in quality.trusted_ids(labels).collect()}
     rows = docs.collect()
-    counts = np.zeros((2, 64**4), np.int64)
-    for r in rows:
-        if r.doc_id in trusted:
-            for c in counts[: 1 + (r.lang == "en")]:
-                np.add.at(c, quality.grams([r.text.encode()])[0], 1)
-    pooled, own = (dense_model(c) for c in counts)
-    mean = model.means["en"]
-    got = {r.doc_id: r for r in quality.classify(docs, model).collect()}
-    assert len(got) == len(rows)
-    for r in rows:
-        if r.lang == "en":
-            g = quality.grams([r.text.encode()])[0]
-            want = (min(-own[g].sum(), -pooled[g].sum()) + quality.PRIOR * mean) / (len(g) + quality.PRIOR)
-            assert abs(np.log(got[r.doc_id].perplexity) - want) < 1e-5
-    assert quality.keep_good(docs, model).count() == sum(r.kept for r in got.values())
-
-
-def test_classifier_on_labelled_documents(spark):
-    """Junk goes and clean documents stay, the latter held out from training."""
-    sf = "/root/testdata/sf0.01"
+    limits = {r.lang: r for r in model.limits.collect()}
+    got = {r.doc_id: r for r in quality.classify(spark, docs, model).collect()}
+    assert len(got) == len(rows) and set(limits) > {"*"}
+    lang = next(x for x in ("de", "fr", "es", "en") if x in limits)
+    score = textbook_model([r.text.encode() for r in rows if r.doc_id in trusted and r.lang == lang])
+    for r in [r for r in rows if r.lang == lang and len(r.text) < 3000][:12]:
+        t = r.text.encode()
+        want = (-score(t) + quality.PRIOR * limits[lang].mean) / (len(t) + 4 + quality.PRIOR)
+        assert got[r.doc_id].model == lang and abs(np.log(got[r.doc_id].perplexity) - want) < 1e-4
+        words = t.split()
+        assert got[r.doc_id].novelty == (len(set(zip(words, words[1:]))) / (len(words) - 1) if len(words) > 1 else 1.0)
+    for r in got.values():
+        assert r.kept == (r.perplexity <= r.threshold and r.novelty >= r.least_novelty)
+    assert quality.keep_good(spark, docs, model).count() == sum(r.kept for r in got.values())
+
+
+def test_thresholds_are_quantiles_of_held_out_scores(spark, sf):
+    """Each trusted document by a model of the other half, by the formulas."""
     docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
-    model = quality.train(spark, docs, labels.where("doc_id % 2 = 0"))
-    found = quality.classify(docs, model).join(labels.where("doc_id % 2 = 1"), "doc_id")
-    kept = {r.quality: (r.kept, r.n) for r in found.where("toxic = 0").groupBy("quality").agg(F.sum(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n")).collect()}
-    assert kept[1][0] >= 0.98 * kept[1][1] and kept[0][0] <= 0.25 * kept[0][1]
+    model = quality.train(spark, docs, labels, quantile=0.5)  # the median needs no drawing out
+    half = {r.trusted_id: r.half for r in quality.trusted_ids(labels).withColumn("half", F.pmod(F.xxhash64("trusted_id"), F.lit(2))).collect()}
+    limits = {r.lang: r for r in model.limits.collect()}
+    lang = next(x for x in ("de", "fr", "es") if x in limits)
+    rows = [(half[r.doc_id], r.text.encode()) for r in docs.collect() if r.doc_id in half and r.lang == lang]
+    models = [textbook_model([t for h, t in rows if h == i]) for i in (0, 1)]
+    found = [(-models[1 - h](t), len(t) + 4) for h, t in rows]
+    mean = sum(a for a, _ in found) / sum(n for _, n in found)
+    scores = sorted((a + quality.PRIOR * mean) / (n + quality.PRIOR) for a, n in found)
+    assert abs(limits[lang].mean - mean) < 1e-4 and abs(limits[lang].most - scores[(len(scores) - 1) // 2]) < 1e-4
+
+
+def test_classifier_on_held_out_documents(spark):
+    """Per language junk goes and clean documents stay, both held out from training."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.train(spark, docs, labels.where("doc_id % 4 != 1"))
+    found = quality.classify(spark, docs, model).join(labels.where("doc_id % 4 = 1 AND toxic = 0"), "doc_id")
+    sums = found.groupBy("model", "quality").agg(F.sum(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n")).collect()
+    assert {r.model for r in sums} == {"de", "en", "es", "fr"}
+    for r in sums:
+        assert r.kept >= 0.98 * r.n if r.quality else r.kept <= 0.15 * r.n, r
+    assert sum(r.kept for r in sums if not r.quality) <= 0.05 * sum(r.n for r in sums if not r.quality)
 
 
 def test_classifier_edges(spark, tricky, nothing):
-    good = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (9, 1, 0), (10, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    good = spark.createDataFrame([(i, 1, 0) for i in (1, 1, 2, 3, 4, 8, 9, 11)] + [(10, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     model = quality.train(spark, tricky, good)
-    rows = quality.classify(tricky, model).collect()
+    rows = quality.classify(spark, tricky, model).collect()
     assert len(rows) == tricky.count() and all(r.kept for r in rows if r.n_bytes == 0)
-    assert quality.keep_good(tricky, model).columns == tricky.columns
+    kept = quality.keep_good(spark, tricky, model)
+    assert kept.columns == tricky.columns and kept.count() == sum(r.kept for r in rows)
+    assert {(r.doc_id, r.text) for r in kept.collect()} <= {(r.doc_id, r.text) for r in tricky.collect()}
     empty = quality.train(spark, tricky, good.limit(0))
-    assert all(r.kept for r in quality.classify(tricky, empty).collect()) and quality.keep_good(tricky, empty).count() == tricky.count()
-    assert quality.classify(nothing, model).count() == 0
+    assert all(r.kept for r in quality.classify(spark, tricky, empty).collect()) and quality.keep_good(spark, tricky, empty).count() == tricky.count()
+    assert quality.classify(spark, nothing, model).count() == 0
 
 
-def test_shards_of_languages_do_not_change_scores(spark, sf, monkeypatch):
+def test_chunks_and_shards_do_not_change_scores(spark, sf, monkeypatch):
     docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
-    whole = quality.train(spark, docs, labels)
-    monkeypatch.setattr(quality, "SHARD_BYTES", 1)
-    cut = quality.train(spark, docs, labels)
-    assert len(cut.shards) == len(cut.langs) > len(whole.shards)
-    a, b = ({r.doc_id: round(r.perplexity, 6) for r in quality.classify(docs, m).collect()} for m in (whole, cut))
-    assert a == b
+    model = quality.train(spark, docs, labels)
+    whole = quality.classify(spark, docs, model).collect()
+    for name, value in (("CHUNK", 50_000), ("SEGMENT", 7_001), ("BATCH_BYTES", 1)):
+        monkeypatch.setattr(quality, name, value)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    # Rows out of a shuffle have no order of their own.
+    cut = quality.classify(spark, docs.repartition(3, "lang"), model).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {(r.doc_id, round(r.perplexity, 9), r.novelty) for r in whole} == {(r.doc_id, round(r.perplexity, 9), r.novelty) for r in cut}
 
 
 def test_pipeline_stages(spark, tmp_path, sf):
