@@ -35,7 +35,7 @@ def stage(step):
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the trusted ones, keeps."""
     model = quality.train(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.keep_good(docs, model)
+    return quality.keep_good(spark, docs, model)
 
 
 @stage
