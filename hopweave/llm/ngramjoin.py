@@ -11,16 +11,17 @@ shingles of its prefix are frequent, a longer prefix is estimated to cost less,
 because a pair must then share as many shingles of it (the smallest of both l and
 the overlap that their sizes need) before it is verified.
 
-1. Per chunk of texts, shingles are hashed by numpy (48 bits of 64) and sent to
-   buckets by hash, packed eight bytes each; a shingle that many documents of a
-   chunk have is sent once with its count.  Buckets return the document
-   frequency of shingles that at least two documents have.
+1. Per chunk of texts, shingles are hashed by numpy to 64 bits and sent to
+   buckets by hash, packed in ten bytes with their document; a shingle that many
+   documents of a chunk have is sent once with its count.  Buckets return the
+   document frequency of shingles that at least two documents have.
 2. A shingle of one document is in no intersection, so the returned shingles are
    all that linking needs.  Documents with too few of them cannot link and are
    done; the others are landed with theirs.
 3. Equal sets collapse to one representative.  Representatives post their
    prefixes for l = 1 to lists by (shingle, size class): linked ones must meet in
-   one of them, and the lengthened prefixes then sort out who is verified.
+   one of them.  Pairs that meet are joined with the lengthened prefixes, and only
+   pairs with l shared shingles there are verified, that is, joined with the sets.
 4. Lists are worked off without emitting all pairs: the documents of a list that
    are not in the component of its most central document are verified against
    it, links are merged to components, and what is left is repeated with more
@@ -43,8 +44,8 @@ from hopweave.llm.common import FRUGAL, discard, land, settings, slices, texts
 
 WORDS = 5
 NUM, DEN = 3, 4  # similarity threshold
-CHUNK = 750_000  # bytes of text whose shingles are packed together
-BUCKET_BYTES = 8_000_000  # of packed shingles in one bucket, about
+CHUNK = 3_000_000  # bytes of text whose shingles are packed together
+BUCKET_BYTES = 24_000_000  # of packed shingles in one bucket, about
 SHARED_IN_CHUNK = 8  # documents of a chunk from which a shingle is sent once
 LONGEST_MATCH = 6  # largest l
 TASK_BYTES = 128_000_000  # of text whose profiles or posts one task writes, at least a task for each core
@@ -88,7 +89,7 @@ def _powers(n: int):
 
 
 def shingle_sets(whole: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted (document << 48 | hash) of each text's distinct shingles, and each
+    """Hashes of each text's distinct shingles, sorted, text after text, and each
     text's number of them.  A-Z count as a-z; words are separated by white space;
     fewer than five words: their sequence is the one shingle; none: no shingle.
     """
@@ -127,12 +128,13 @@ def shingle_sets(whole: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         has = n_words[short] > j
         extra[has] += word[first[short[has]] + j] * weights[j]
     extra += n_words[short].astype(np.uint64) * weights[WORDS]
-    key = _mix(np.concatenate([h, extra])) >> U(16)
-    packed = np.concatenate([doc_of, short]).astype(np.uint64) << U(48) | key
-    packed.sort()
-    if len(packed):
-        packed = packed[np.append(True, packed[1:] != packed[:-1])]
-    return packed, np.bincount((packed >> U(48)).astype(np.int64), minlength=len(whole))
+    key, doc = _mix(np.concatenate([h, extra])), np.concatenate([doc_of, short])
+    order = np.lexsort((key, doc))
+    key, doc = key[order], doc[order]
+    if len(key):
+        fresh = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))
+        key, doc = key[fresh], doc[fresh]
+    return key, np.bincount(doc, minlength=len(whole))
 
 
 @lru_cache(1)
@@ -140,16 +142,12 @@ def _lower() -> bytes:
     return bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-LOW48 = U((1 << 48) - 1)
-
-
-def _set_digests(packed: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def _set_digests(key: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """128 bits per document that only depend on its set."""
-    key = packed & LOW48
     at = np.append(0, np.cumsum(sizes))
     out = np.zeros((len(sizes), 2), np.uint64)
     for i, salt in enumerate((U(0x5851F42D4C957F2D), U(0x14057B7EF767814F))):
-        sums = np.append(U(0), np.cumsum(_mix(key * U(2) + salt)))
+        sums = np.append(U(0), np.cumsum(_mix(key * U(2) + salt) ^ (_mix(key + salt) << U(1))))
         out[:, i] = sums[at[1:]] - sums[at[:-1]]
     return out
 
@@ -157,7 +155,7 @@ def _set_digests(packed: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 # --------------------------------------------- frequencies, packed by chunk
 
 PACKED = "bucket int, chunk long, kind int, a binary, b binary, ids array<bigint>"
-SETS, SHINGLES, SHARED, FOUND = range(4)
+SETS, SHINGLES, COUNTED, SHARED, FOUND, FOUND_SHARED = range(6)
 
 
 def _rows(rows):
@@ -167,32 +165,34 @@ def _rows(rows):
     )
 
 
+def _heads_of(key: np.ndarray) -> np.ndarray:
+    """Where the runs of equal keys begin."""
+    return np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+
+
 def _pack(buckets: int):
     def run(batches):
-        number = TaskContext.get().partitionId() << 32
+        # 2**23 partitions of 2**24 chunks of 2**16 rows.
+        number = TaskContext.get().partitionId() << 24
         for batch in batches:
             for part in slices(batch, most=CHUNK):
                 ids = part.column(0).to_pylist()
-                packed, sizes = shingle_sets([x.encode() for x in part.column(1).to_pylist()])
+                key, sizes = shingle_sets([x.encode() for x in part.column(1).to_pylist()])
                 own = int(number % buckets)
-                out = [(own, number, SETS, sizes.astype("<u4").tobytes(), _set_digests(packed, sizes).tobytes(), ids)]
-                by_key = (packed & LOW48) << U(16) | packed >> U(48)
-                by_key.sort()
-                key = by_key >> U(16)
-                head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+                out = [(own, number, SETS, sizes.astype("<u4").tobytes(), _set_digests(key, sizes).tobytes(), ids)]
+                doc = np.repeat(np.arange(len(ids), dtype="<u2"), sizes)
+                order = np.argsort(key, kind="stable")
+                key, doc = key[order], doc[order]
+                head = _heads_of(key)
                 count = np.diff(np.append(head, len(key)))
                 often = count >= SHARED_IN_CHUNK
                 shared = np.repeat(often, count)
                 if often.any():
-                    out.append((own, number, SHARED, by_key[shared].tobytes(), None, None))
-                once = by_key[~shared]
-                sent = key[head[often]] << U(16) | count[often].astype(np.uint64)
-                top = lambda x: ((x >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
-                cut = np.searchsorted(top(once), np.arange(buckets + 1)), np.searchsorted(top(sent), np.arange(buckets + 1))
-                for i in range(buckets):
-                    a, b = once[cut[0][i] : cut[0][i + 1]], sent[cut[1][i] : cut[1][i + 1]]
-                    if len(a) or len(b):
-                        out.append((i, number, SHINGLES, a.tobytes(), b.tobytes(), None))
+                    out.append((own, number, SHARED, key[shared].tobytes(), doc[shared].tobytes(), None))
+                cut_at = lambda x: np.searchsorted((x >> U(32)) * U(buckets) >> U(32), np.arange(buckets + 1)).tolist()
+                for kind, keys, more in ((SHINGLES, key[~shared], doc[~shared]), (COUNTED, key[head[often]], count[often].astype("<u2"))):
+                    cut = cut_at(keys)
+                    out += [(i, number, kind, keys[a:b].tobytes(), more[a:b].tobytes(), None) for i, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
                 yield _rows(out)
                 number += 1
 
@@ -204,37 +204,37 @@ def _count(batches):
     held = []
     for batch in batches:
         rows = batch.to_pylist()
-        passed = [tuple(r.values()) for r in rows if r["kind"] != SHINGLES]
-        held += [(r["chunk"], r["a"], r["b"]) for r in rows if r["kind"] == SHINGLES]
+        passed = [tuple(r.values()) for r in rows if r["kind"] not in (SHINGLES, COUNTED)]
+        held += [(r["chunk"], r["kind"], r["a"], r["b"]) for r in rows if r["kind"] in (SHINGLES, COUNTED)]
         if passed:
             yield _rows(passed)
     if not held:
         return
-    single = np.concatenate([np.frombuffer(a, np.uint64) for _, a, _ in held]) >> U(16)
+    single = np.concatenate([np.frombuffer(a, np.uint64) for _, kind, a, _ in held if kind == SHINGLES] or [np.zeros(0, np.uint64)])
     single.sort()
-    head = np.flatnonzero(np.append(True, single[1:] != single[:-1])) if len(single) else np.zeros(0, np.int64)
-    many = np.concatenate([np.frombuffer(b, np.uint64) for _, _, b in held])
-    keys, at = np.unique(np.concatenate([single[head], many >> U(16)]), return_inverse=True)
-    df = np.bincount(at, np.concatenate([np.diff(np.append(head, len(single))), (many & U(0xFFFF)).astype(np.int64)]), len(keys)).astype(np.int64)
-    del single, head, many, at
+    head = _heads_of(single)
+    many = np.concatenate([np.frombuffer(a, np.uint64) for _, kind, a, _ in held if kind == COUNTED] or [np.zeros(0, np.uint64)])
+    often = np.concatenate([np.frombuffer(b, "<u2") for _, kind, _, b in held if kind == COUNTED] or [np.zeros(0, "<u2")])
+    keys, at = np.unique(np.concatenate([single[head], many]), return_inverse=True)
+    df = np.bincount(at, np.concatenate([np.diff(np.append(head, len(single))), often.astype(np.int64)]), len(keys)).astype(np.int64)
+    del single, head, many, often, at
     keys, df = keys[df > 1], np.minimum(df[df > 1], (1 << 32) - 1).astype("<u4")
     if not len(keys):
         return
     out, size = [], 0
-    for chunk, a, b in held:
-        for blob in (a, b):
-            entries = np.frombuffer(blob, np.uint64)
-            if not len(entries):
-                continue
-            at = np.minimum(np.searchsorted(keys, entries >> U(16)), len(keys) - 1)
-            known = keys[at] == entries >> U(16)
-            if not known.any():
-                continue
-            entries = entries[known]
-            if blob is b:
-                entries = entries | U(0xFFFF)  # a shared shingle: of no one document
-            out.append((0, chunk, FOUND, entries.tobytes(), df[at[known]].tobytes(), None))
-            size += 12 * len(entries)
+    for chunk, kind, a, b in held:
+        entries = np.frombuffer(a, np.uint64)
+        at = np.minimum(np.searchsorted(keys, entries), len(keys) - 1)
+        known = keys[at] == entries
+        if not known.any():
+            continue
+        entries, found = entries[known], df[at[known]]
+        if kind == SHINGLES:  # with each entry's document and frequency
+            more = np.frombuffer(b, "<u2")[known].tobytes() + found.tobytes()
+            out.append((0, chunk, FOUND, entries.tobytes(), more, None))
+        else:
+            out.append((0, chunk, FOUND_SHARED, entries.tobytes(), found.tobytes(), None))
+        size += 14 * len(entries)
         if size > 2_000_000:
             yield _rows(out)
             out, size = [], 0
@@ -284,18 +284,22 @@ def _profile(table: pa.Table) -> pa.Table:
     own = next(r for r in rows if r["kind"] == SETS)
     ids, sizes = own["ids"], np.frombuffer(own["a"], "<u4").astype(np.int64)
     digests = np.frombuffer(own["b"], np.int64).reshape(-1, 2)
-    found = [(np.frombuffer(r["a"], np.uint64), np.frombuffer(r["b"], "<u4")) for r in rows if r["kind"] == FOUND]
-    entries = np.concatenate([e for e, _ in found]) if found else np.zeros(0, np.uint64)
-    df = np.concatenate([d for _, d in found]).astype(np.int64) if found else np.zeros(0, np.int64)
-    shared = (entries & U(0xFFFF)) == U(0xFFFF)
-    if shared.any():  # put their documents back
-        keys, of = entries[shared] >> U(16), df[shared]
+    parts = [(np.zeros(0, np.uint64), np.zeros(0, "<u2"), np.zeros(0, "<u4"))]
+    for r in rows:
+        if r["kind"] == FOUND:
+            n = len(r["a"]) // 8
+            parts.append((np.frombuffer(r["a"], np.uint64), np.frombuffer(r["b"], "<u2", n), np.frombuffer(r["b"], "<u4", n, 2 * n)))
+    often = [(np.frombuffer(r["a"], np.uint64), np.frombuffer(r["b"], "<u4")) for r in rows if r["kind"] == FOUND_SHARED]
+    if often:  # put their documents back
+        keys, of = np.concatenate([k for k, _ in often]), np.concatenate([d for _, d in often])
         order = np.argsort(keys)
         keys, of = keys[order], of[order]
-        put = np.concatenate([np.frombuffer(r["a"], np.uint64) for r in rows if r["kind"] == SHARED])
-        entries = np.concatenate([entries[~shared], put])
-        df = np.concatenate([df[~shared], of[np.searchsorted(keys, put >> U(16))]])
-    doc, key = (entries & U(0xFFFF)).astype(np.int64), (entries >> U(16)).astype(np.int64)
+        for r in rows:
+            if r["kind"] == SHARED:
+                put = np.frombuffer(r["a"], np.uint64)
+                parts.append((put, np.frombuffer(r["b"], "<u2"), of[np.searchsorted(keys, put)]))
+    key, doc, df = (np.concatenate(x) for x in zip(*parts))
+    key, doc, df = key.view(np.int64), doc.astype(np.int64), df.astype(np.int64)
     order = np.lexsort((key, df, doc))
     doc, key, df = doc[order], key[order], df[order]
     cut = np.searchsorted(doc, np.arange(len(ids) + 1))
@@ -327,7 +331,8 @@ def profiles(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str) -
     """Landed profiles, and the number of tasks for tables of their size."""
     docs = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size * 4 // 3 // BUCKET_BYTES), 1)
+    # A word of six bytes is a shingle of ten.
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size * 5 // 3 // BUCKET_BYTES), 1)
     counted = docs.mapInArrow(_pack(buckets), PACKED).repartitionById(buckets, F.col("bucket")).mapInArrow(_count, PACKED)
     tasks = max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
     return land(spark, counted.groupBy("chunk").applyInArrow(_profile, PROFILE).coalesce(tasks), "ngram-profiles"), tasks
@@ -374,23 +379,31 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ links
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with ``linked`` and ``shared``, the overlap.
+def _met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b), which have met in a list, with ``met``: whether they share
+    as many shingles of their lengthened prefixes as the smaller l of the two, or as
+    the overlap that their sizes need where that is less.  Only prefixes move."""
+    side = lambda x: sets.select(F.col("row").alias(x), F.col("n").alias(f"{x}_n"), F.col("l").alias(f"{x}_l"), F.slice("keys", F.lit(1), F.col("wide")).alias(f"{x}_prefix"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    due = F.call_function("div", NUM * (F.col("a_n") + F.col("b_n")) + NUM + DEN - 1, F.lit(NUM + DEN))  # as ``needed``
+    met = F.size(F.array_intersect("a_prefix", "b_prefix")) >= F.least(F.col("a_l").cast("long"), F.col("b_l").cast("long"), due)
+    return both.select("a", "b", "a_n", "b_n", met.alias("met"))
+
 
-    A pair has met in a list, that is, by its prefixes for l = 1; it must first
-    share as many shingles of its lengthened prefixes as the smaller l of the two,
-    or as the overlap that their sizes need where that is less.  Shingles of one
-    document only are missing from ``keys`` and cannot be shared, so the overlap is
-    that of the keys.
+def _verified(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs with ``linked`` and ``shared``, the overlap, which is null where the
+    prefixes rule the pair out: such pairs never meet with their sets.
+
+    Shingles of one document only are missing from ``keys`` and cannot be shared, so
+    the overlap is that of the keys.
     """
-    side = lambda x: sets.select(*[F.col(c).alias(f"{x}_{c}") for c in ("row", "n", "l", "wide", "keys")])
-    both = pairs.join(side("b"), F.col("b") == F.col("b_row")).join(side("a"), F.col("a") == F.col("a_row"))
-    prefix = lambda x: F.slice(f"{x}_keys", F.lit(1), F.col(f"{x}_wide"))
-    due = F.call_function("div", NUM * (F.col("a_n") + F.col("b_n")) + NUM + DEN - 1, F.lit(NUM + DEN))  # as ``needed``
-    met = F.size(F.array_intersect(prefix("a"), prefix("b"))) >= F.least(F.col("a_l").cast("long"), F.col("b_l").cast("long"), due)
+    side = lambda x: sets.select(F.col("row").alias(x), F.col("keys").alias(f"{x}_keys"))
+    both = met.where("met").join(side("b"), "b").join(side("a"), "a")
     shared = F.size(F.array_intersect("a_keys", "b_keys")).cast("long")
-    both = both.select("a", "b", "a_n", "b_n", met.alias("met"), shared.alias("shared"))
-    return both.select("a", "b", (F.col("met") & (DEN * F.col("shared") >= NUM * (F.col("a_n") + F.col("b_n") - F.col("shared")))).alias("linked"), "shared")
+    both = both.select("a", "b", "a_n", "b_n", shared.alias("shared"))
+    linked = DEN * F.col("shared") >= NUM * (F.col("a_n") + F.col("b_n") - F.col("shared"))
+    rest = met.where("not met").select("a", "b", F.lit(False).alias("linked"), F.lit(None).cast("long").alias("shared"))
+    return both.select("a", "b", linked.alias("linked"), "shared").unionByName(rest)
 
 
 def _heads(posted: DataFrame, pivots: int) -> DataFrame:
@@ -401,9 +414,11 @@ def _heads(posted: DataFrame, pivots: int) -> DataFrame:
         return posted.where("indexed").groupBy("key", "class").agg(top.alias("x")).select(
             "key", "class", F.bitwise_not("x.low").alias("head"), F.col("x.n").alias("head_n"), F.col("x.k").alias("head_k"), F.col("x.comp").alias("head_comp"), F.col("x.over").alias("head_over"), F.col("x.at").alias("head_at")
         )
+    # Ranks of long lists are taken among the best of each task first.
     rank = F.row_number().over(Window.partitionBy("key", "class").orderBy(F.desc("score"), "row"))
-    ranked = posted.where("indexed").withColumn("rank", rank).where((F.col("rank") <= pivots) | (F.col("m") <= SHORT_LIST))
-    return ranked.select("key", "class", F.col("row").alias("head"), F.col("n").alias("head_n"), F.col("k").alias("head_k"), F.col("comp").alias("head_comp"), F.col("over").alias("head_over"), F.col("at").alias("head_at"))
+    best = posted.where("indexed").where(F.col("m") > SHORT_LIST).withColumn("rank", rank).where(F.col("rank") <= pivots).drop("rank")
+    heads = best.unionByName(posted.where("indexed").where(F.col("m") <= SHORT_LIST))
+    return heads.select("key", "class", F.col("row").alias("head"), F.col("n").alias("head_n"), F.col("k").alias("head_k"), F.col("comp").alias("head_comp"), F.col("over").alias("head_over"), F.col("at").alias("head_at"))
 
 
 def link_components(spark: SparkSession, sets: DataFrame, tasks: int) -> DataFrame:
@@ -430,7 +445,9 @@ def link_components(spark: SparkSession, sets: DataFrame, tasks: int) -> DataFra
         pairs = pairs.select(F.least("row", "head").alias("a"), F.greatest("row", "head").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = land(spark, _verified(pairs, sets), "ngram-pairs", True)
+        met = land(spark, _met(pairs, sets), "ngram-met", True)
+        pairs = land(spark, _verified(met, sets), "ngram-pairs", True)
+        discard(spark, met)
         done = pairs if done is None else done.unionByName(pairs)
         comp = components(spark, done.where("linked"))
         # What is left: lists whose documents that were no head are in several
