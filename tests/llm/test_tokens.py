@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -96,8 +97,10 @@ def test_pack_keeps_every_id_once(spark, tricky, nothing, sf):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
-    for docs in (tricky.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), documents(spark, sf)):
+    added = ["x<|endoftext|>y", "<|endoftext|>", " <|endoftext|> <|endoftext|><|endoftext|", "<|endoftext|>\nthe end"]
+    assert t.encode(added[0], add_special_tokens=False).ids == [87, 50256, 88]
+    added = spark.createDataFrame(list(enumerate(added)), "doc_id long, text string")
+    for docs in (tricky.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), documents(spark, sf), added):
         whole = {r.doc_id: np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4") for r in docs.collect()}
         rows = packing.piece_digests(packing.pack(spark, docs, VOCABULARY, 256)).collect()
         at, sequences = {}, {}
@@ -113,5 +116,9 @@ def test_pack_keeps_every_id_once(spark, tricky, nothing, sf):
             assert all(a + n == b for (a, n), (b, _) in zip(pieces, pieces[1:])) and pieces[0][0] == 0
             size = sum(n for _, n in pieces)
             assert size <= 256 and size & (size - 1) == 0
-    assert packing.pack(spark, tricky, VOCABULARY).agg(F.sum("length")).first()[0] > 0
+    # Null and repeated ids: as many ids as all rows together, each row's pieces whole.
+    want = Counter((r.doc_id, len(t.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in tricky.collect())
+    rows = packing.pack(spark, tricky, VOCABULARY, 256).collect()
+    assert Counter((r.doc_id, r.doc_tokens) for r in rows if r.start == 0) == want
+    assert sum(r.length for r in rows) == sum(n * c for (_, n), c in want.items())
     assert packing.pack(spark, nothing, VOCABULARY).count() == 0
