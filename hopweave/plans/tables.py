@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -16,10 +17,13 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where none is set."""
+    """``spark.checkpoint.dir``; a temporary folder only where none is set and the
+    executors are threads of this machine's one process."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not sc.isLocal:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="hopweave-"))
         where = sc.getCheckpointDir()
     return where.rstrip("/")
@@ -46,6 +50,11 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def discard(spark: SparkSession, df: DataFrame) -> None:
     """Delete a landed table that nothing reads any more."""
     path = getattr(df, "_landed_path", None)
@@ -57,9 +66,16 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
 
 def sweep(spark: SparkSession) -> None:
     """Delete all tables landed so far but those to keep; results that have not
-    been computed yet must not depend on them."""
+    been computed yet must not depend on them.  The driver's garbage goes as well:
+    only then does Spark drop the broadcasts and shuffles of finished queries."""
     while LANDED:
         delete(spark, LANDED.pop())
+    release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
