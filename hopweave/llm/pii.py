@@ -7,10 +7,13 @@ the format.  Equal values therefore get equal pseudonyms in every document,
 different values different ones, and whoever holds the key can invert it.
 
 Kinds: payment card numbers (13 to 19 digits with a right check digit, also
-beside other groups of digits; the pseudonym has one too), dates of 1800 to 2199 (permuted among the days of
-those 400 years), US social security numbers of issuable areas, phone numbers,
-IPv4 addresses, e-mail addresses (the local part), access keys, long hexadecimal
-tokens and the values of password-like assignments.  Numbers that fail validation stay as they are.
+beside other groups of digits; the pseudonym has one too), dates of 1800 to 2199
+(permuted among the days of those 400 years, with slashes among those that are
+read in the same order), US social security numbers of issuable areas, phone
+numbers, IBANs (country kept, check digits made anew), IPv4 and IPv6 addresses,
+e-mail addresses (the local part), access keys, long hexadecimal tokens, signed web
+tokens and bearer tokens, private key blocks and the values of password-like
+assignments.  Numbers that fail validation stay as they are; nothing is shortened.
 
 Everything is built-in column functions on one pass over the rows, without a
 shuffle.
@@ -23,17 +26,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hopweave.llm.common import plain
+
 ROUNDS = 8
 
 # What each kind looks like.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+PRIVATE_KEY = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]++-----END [A-Z ]*PRIVATE KEY-----"
+WEB_TOKEN = r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}(?:\.[A-Za-z0-9_-]*)?"
+BEARER = r"(?<![A-Za-z])(?i:bearer)\s{1,3}(?=[^\s]*[0-9])[A-Za-z0-9._~+/=-]{16,}"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+GROUP = r"[0-9A-Fa-f]{1,4}"
+IPV6 = rf"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:{GROUP}:){{7}}{GROUP}|(?:{GROUP}(?::{GROUP}){{0,5}})?::(?:{GROUP}(?::{GROUP}){{0,5}}))(?![0-9A-Za-z:])"
 ACCESS_KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
 ASSIGNED = r"(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}"
 # A value ends at its closing quote or at white space; a quote before a letter or digit closes nothing.
 BARE = r"(?:[^\s\"']{8,}|[^\s\"']{1,7}[\"'][A-Za-z0-9][^\s\"']{5,})(?:[\"'](?=[A-Za-z0-9])[^\s\"']+){0,8}"
 SECRET = ASSIGNED + rf"(?:\"[^\"\r\n]{{8,}}(?=\")|'[^'\r\n]{{8,}}(?=')|[\"']?{BARE})"
 WHOLE_SECRET = ASSIGNED + rf"(?:\"[^\"\r\n]{{8,}}|'[^'\r\n]{{8,}}|[\"']?{BARE})"  # without what follows
-HEX_SECRET = r"(?<![A-Za-z0-9])(?=[0-9a-f]{0,63}[0-9])(?=[0-9a-f]{0,63}[a-f])[0-9a-f]{32,64}(?![A-Za-z0-9])"
+HEX_SECRET = r"(?<![A-Za-z0-9])(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![A-Za-z0-9])"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9/-]|\.[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
@@ -42,10 +53,11 @@ CARD = r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
 # A run of 13 to 19 digits may also begin and end inside a longer one, at its groups.
 CARD_INSIDE = r"(?<![0-9A-Za-z.])(?<!(?<![0-9])-)(?=([0-9](?:[ -]?[0-9]){%d})(?![0-9A-Za-z]))"
 CARD_GROUPS = r"^[0-9]{3,}(?:[ -][0-9]{3,})*$"  # of a card inside a longer run, so that columns of numbers stay
-NOT_CARD = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, ACCESS_KEY, HEX_SECRET, IPV4, DATE, SSN, PHONE))
+NOT_CARD = "|".join(f"(?:{p})" for p in (PRIVATE_KEY, EMAIL, SECRET, WEB_TOKEN, BEARER, ACCESS_KEY, HEX_SECRET, IBAN, IPV6, IPV4, DATE, SSN, PHONE))
 #: Any match has one of these; texts without are not searched.
-HINT = r"[0-9@]|AKIA|ASIA|(?i:password|passwd|pwd|token|secret|key)"
+HINT = r"[0-9@]|AKIA|ASIA|eyJ|(?i:password|passwd|pwd|token|secret|key)"
 
+LONGEST_WALK = 64  # steps to a day over 12, of which six in ten days are
 DAYS, DAY_HALVES = 146_097, (189, 773)  # days of 400 Gregorian years, and two factors of them
 AREAS, GROUPS, SERIALS = 898, 99, 9999  # areas 001 to 899 without 666
 
@@ -98,9 +110,9 @@ def permute_digits(digits: Column, key: str, kind: str) -> Column:
     return F.when(n.between(1, 36), made)
 
 
-def _shift(text: Column, half: Column, turn: Column, key: str, kind: str) -> Column:
-    """Every letter or digit of ``text`` moved within its class by a byte of the
-    keyed digest of ``half``."""
+def _shift(text: Column, half: Column, turn: Column, key: str, kind: str, letters: int) -> Column:
+    """Every digit and every one of the first ``letters`` letters of ``text`` moved
+    within its class by a byte of the keyed digest of ``half``."""
     stream = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), half), 512)
 
     def move(c: Column, i: Column) -> Column:
@@ -108,22 +120,22 @@ def _shift(text: Column, half: Column, turn: Column, key: str, kind: str) -> Col
         code = F.ascii(c)
         among = lambda low, n: F.char((code - low + by) % n + low)
         return (
-            F.when(code.between(48, 57), among(48, 10)).when(code.between(65, 90), among(65, 26)).when(code.between(97, 122), among(97, 26))
-            .otherwise(c)
+            F.when(code.between(48, 57), among(48, 10)).when(code.between(65, 64 + letters), among(65, letters))
+            .when(code.between(97, 96 + letters), among(97, letters)).otherwise(c)
         )
 
     return F.array_join(F.transform(F.array_remove(F.split(text, ""), ""), move), "")
 
 
-def permute_text(text: Column, key: str, kind: str) -> Column:
+def permute_text(text: Column, key: str, kind: str, letters: int = 26) -> Column:
     """Bijection of strings that keeps every character's class: digit, upper
-    case, lower case; other characters stay."""
+    case, lower case; other characters stay.  Hexadecimal ones have 6 letters."""
     cut = F.floor(F.length(text) / 2).cast("int")
     start = F.struct(F.substring(text, F.lit(1), cut).alias("l"), F.substring(text, cut + 1, F.length(text)).alias("r"))
 
     def turn(acc: Column, i: Column) -> Column:
-        left = F.struct(_shift(acc.l, acc.r, i, key, kind).alias("l"), acc.r.alias("r"))
-        right = F.struct(acc.l.alias("l"), _shift(acc.r, acc.l, i, key, kind).alias("r"))
+        left = F.struct(_shift(acc.l, acc.r, i, key, kind, letters).alias("l"), acc.r.alias("r"))
+        right = F.struct(acc.l.alias("l"), _shift(acc.r, acc.l, i, key, kind, letters).alias("r"))
         return F.when(i % 2 == 1, left).otherwise(right)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda acc: F.concat(acc.l, acc.r))
@@ -238,28 +250,73 @@ def is_date(value: Column) -> Column:
     return y.between(1800, 2199) & m.between(1, 12) & (d >= 1) & (d <= longest)
 
 
+def _day_first(value: Column, mark: Column) -> Column:
+    """Whether a date with slashes is read day first: its day is over 12."""
+    return (mark == "/") & (F.split(value, "/")[0].cast("int") > 12)
+
+
 def date_pseudonym(value: Column, key: str) -> Column:
     mark, y, m, d = _date_parts(value)
-    day = F.datediff(F.make_date(y, m, d), F.lit("1800-01-01").cast("date")).cast("bigint")
-    made = F.date_add(F.lit("1800-01-01").cast("date"), permute_number(day, *DAY_HALVES, key, "date").cast("int"))
+    first = F.lit("1800-01-01").cast("date")
+    day = F.datediff(F.make_date(y, m, d), first).cast("bigint")
+    once = lambda x: permute_number(x, *DAY_HALVES, key, "date")
+    # Among the days over 12 of all months: on along the permutation's cycle to the
+    # next of them, which is a permutation of those days.
+    late = lambda x: F.dayofmonth(F.date_add(first, x.cast("int"))) > 12
+    walked = F.aggregate(
+        F.sequence(F.lit(1), F.lit(LONGEST_WALK)), F.struct(day.alias("at"), F.lit(False).alias("done")),
+        lambda acc, _: F.when(acc.done, acc).otherwise(F.transform(F.array(once(acc["at"])), lambda x: F.struct(x.alias("at"), late(x).alias("done")))[0]),
+        lambda acc: F.when(acc.done, acc["at"]).otherwise(day),
+    )
+    day_first = _day_first(value, mark)
+    made = F.date_add(first, F.when(day_first, walked).otherwise(once(day)).cast("int"))
     padded = ~F.concat(F.lit("-"), value).rlike(r"[-/.][0-9](?![0-9])")
     two = lambda x: F.when(padded, F.lpad(x.cast("string"), 2, "0")).otherwise(x.cast("string"))
     yy, mm, dd = F.lpad(F.year(made).cast("string"), 4, "0"), two(F.month(made)), two(F.dayofmonth(made))
-    day_first = (mark == ".") | ((mark == "/") & (F.split(value, "/")[0].cast("int") > 12))
-    # A day-first date whose pseudonym has a day up to 12 stays day-first.
     return F.when(mark == "-", F.concat_ws("-", yy, mm, dd)).otherwise(
-        F.when(day_first, F.concat(dd, mark, mm, mark, yy)).otherwise(F.concat(mm, mark, dd, mark, yy))
+        F.when((mark == ".") | day_first, F.concat(dd, mark, mm, mark, yy)).otherwise(F.concat(mm, mark, dd, mark, yy))
     )
 
 
+def _mod97(text: Column) -> Column:
+    """Remainder of letters and digits read as numbers, A being 10."""
+    chars = F.array_remove(F.split(text, ""), "")
+
+    def add(acc: Column, c: Column) -> Column:
+        code = F.ascii(c)
+        return F.when(code <= 57, (acc * 10 + code - 48) % 97).otherwise((acc * 100 + code - 55) % 97)
+
+    return F.aggregate(chars, F.lit(0), add)
+
+
+def is_iban(value: Column) -> Column:
+    x = F.replace(value, F.lit(" "), F.lit(""))
+    return F.length(x).between(15, 34) & (_mod97(F.concat(F.substring(x, F.lit(5), F.length(x)), F.substring(x, 1, 4))) == 1)
+
+
+def iban_pseudonym(value: Column, key: str) -> Column:
+    x = F.replace(value, F.lit(" "), F.lit(""))
+    land, own = F.substring(x, 1, 2), permute_text(F.substring(x, F.lit(5), F.length(x)), key, "iban")
+    check = F.lpad((98 - _mod97(F.concat(own, land, F.lit("00")))).cast("string"), 2, "0")
+    made = F.concat(land, check, own)
+    blanks = F.transform(F.array_remove(F.split(value, ""), ""), lambda c, i: F.when(c == " ", i))
+    # Each blank goes back to its place.
+    return F.aggregate(F.array_compact(blanks), made, lambda acc, i: F.concat(F.substring(acc, F.lit(1), i), F.lit(" "), F.substring(acc, i + 1, F.length(acc))))
+
+
 def kind_of(value: Column) -> Column:
     """Kind of a match, null where validation fails."""
     whole = lambda p: value.rlike(f"^(?:{p})$")
     return (
-        F.when(whole(WHOLE_SECRET), F.lit("secret"))
+        F.when(whole(PRIVATE_KEY), F.lit("private_key"))
+        .when(whole(WHOLE_SECRET), F.lit("secret"))
+        .when(whole(WEB_TOKEN), F.lit("web_token"))
+        .when(whole(BEARER), F.lit("bearer"))
         .when(value.contains("@"), F.lit("email"))
         .when(whole(ACCESS_KEY), F.lit("access_key"))
-        .when(whole(HEX_SECRET), F.lit("secret"))
+        .when(whole(HEX_SECRET), F.lit("hex_token"))
+        .when(whole(IBAN), F.when(is_iban(value), F.lit("iban")))
+        .when(whole(IPV6), F.lit("ipv6"))
         .when(whole(IPV4), F.when(is_ip(value), F.lit("ipv4")))
         .when(whole(DATE), F.when(is_date(value), F.lit("date")))
         .when(whole(SSN), F.when(is_ssn(value), F.lit("ssn")))
@@ -273,7 +330,17 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     local = F.substring_index(value, "@", 1)
     secret = F.regexp_replace(value, f"^{ASSIGNED}[\"']?", "")
     after = lambda tail: F.substring(value, F.lit(1), F.length(value) - F.length(tail))
+    opened = F.regexp_extract(value, r"^(-----BEGIN [A-Z ]*-----)", 1)
+    closed = F.regexp_extract(value, r"(-----END [A-Z ]*-----)$", 1)
+    body = F.substring(value, F.length(opened) + 1, F.length(value) - F.length(opened) - F.length(closed))
+    bearer = F.regexp_extract(value, r"^(\S+\s+)", 1)
     made = {
+        "private_key": F.concat(opened, permute_text(body, key, "private_key"), closed),
+        "web_token": F.concat(F.substring(value, 1, 3), permute_text(F.substring(value, F.lit(4), F.length(value)), key, "web_token")),
+        "bearer": F.concat(bearer, permute_text(F.substring(value, F.length(bearer) + 1, F.length(value)), key, "bearer")),
+        "hex_token": permute_text(value, key, "hex_token", 6),
+        "iban": iban_pseudonym(value, key),
+        "ipv6": permute_text(value, key, "ipv6", 6),
         "email": F.concat(permute_text(local, key, "email"), F.substring(value, F.length(local) + 1, F.length(value))),
         "access_key": F.concat(F.substring(value, 1, 4), permute_text(F.substring(value, F.lit(5), F.length(value)), key, "access_key")),
         "secret": F.concat(after(secret), permute_text(secret, key, "secret")),
@@ -287,24 +354,27 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``text_col`` rewritten, all other columns as they were, and
-    an array column ``pii`` of (kind, position of the match's first code point
-    counted from 0) appended; an existing column of that name is replaced.
+    """``docs`` with ``text_col`` rewritten, all other columns as they were, whatever
+    their names, and an array column ``pii`` of (kind, position of the match's first
+    code point counted from 0) appended; an existing column of that name is replaced.
 
-    A null text stays null, with no matches; so has an empty one.
+    A null text stays null, an empty one empty, with no matches.  Texts are searched
+    whole and keep their length in code points; repeated rows change alike; an empty
+    table gives no rows.
     """
-    text = F.col(text_col)
     columns = [c for c in docs.columns if c != "pii"]
-    rows = docs.select(*columns, F.when(text.rlike(HINT), any_of(text)).alias("__any"))
-    found = F.when(F.col("__any").isNotNull(), F.regexp_extract_all(text, F.col("__any"), F.lit(0)))
-    rows = rows.withColumn("__found", F.coalesce(found, F.array().cast("array<string>")))
-    rows = rows.withColumn("__kinds", F.transform("__found", kind_of))
-    rows = rows.withColumn("__gaps", F.when(F.size("__found") > 0, F.split(text, F.col("__any"), -1)))
+    rows, of = plain(docs)
+    held, text = [of[c] for c in columns], F.col(of[text_col])
+    rows = rows.select(*held, F.when(text.rlike(HINT), any_of(text)).alias("any"))
+    found = F.when(F.col("any").isNotNull(), F.regexp_extract_all(text, F.col("any"), F.lit(0)))
+    rows = rows.withColumn("found", F.coalesce(found, F.array().cast("array<string>")))
+    rows = rows.withColumn("kinds", F.transform("found", kind_of))
+    rows = rows.withColumn("gaps", F.when(F.size("found") > 0, F.split(text, F.col("any"), -1)))
     # gap 0, value 0, gap 1, value 1, ...: the values number one less
-    named = F.zip_with("__found", "__kinds", lambda v, k: F.coalesce(pseudonym(v, k, key), v))
-    joined = F.array_join(F.zip_with("__gaps", named, lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
+    named = F.zip_with("found", "kinds", lambda v, k: F.coalesce(pseudonym(v, k, key), v))
+    joined = F.array_join(F.zip_with("gaps", named, lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
     places = F.aggregate(
-        F.arrays_zip(F.slice("__gaps", F.lit(1), F.size("__found")).alias("g"), F.col("__found").alias("v"), F.col("__kinds").alias("k")),
+        F.arrays_zip(F.slice("gaps", F.lit(1), F.size("found")).alias("g"), F.col("found").alias("v"), F.col("kinds").alias("k")),
         F.struct(F.array().cast("array<struct<kind:string,at:int>>").alias("all"), F.lit(0).alias("at")),
         lambda acc, x: F.struct(
             F.concat(acc["all"], F.array(F.struct(x.k.alias("kind"), (acc["at"] + F.length(x.g)).alias("at")))).alias("all"),
@@ -314,6 +384,6 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     )
     none = F.array().cast("array<struct<kind:string,at:int>>")
     return rows.select(
-        *[F.when(F.size("__found") > 0, joined).otherwise(text).alias(c) if c == text_col else F.col(c) for c in columns],
-        F.when(F.size("__found") > 0, places).otherwise(none).alias("pii"),
-    )
+        *[F.when(F.size("found") > 0, joined).otherwise(text).alias(c) if c == of[text_col] else F.col(c) for c in held],
+        F.when(F.size("found") > 0, places).otherwise(none).alias("pii"),
+    ).toDF(*columns, "pii")
