@@ -1,7 +1,7 @@
 """Registered queries of the graph engine and their SQL counterparts.
 
-Two fixture graphs: G1 (parts and suppliers, sparse) and G2 (users that follow one
-another, dense).  Labels and queries use ranks as vertices.
+Three fixture graphs over whole tables: G1 (parts and suppliers), G2 (users that
+follow one another, dense) and G3 (customers, suppliers, nations, regions, sparse).  Labels and queries use ranks as vertices.
 """
 
 from __future__ import annotations
@@ -11,12 +11,13 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hopweave import source_catalog
 from hopweave.functions import codec
 from hopweave.operators import exact, graph, labels, partitioning, query, ranking, traversal, verify
 from hopweave.plans.tables import land
 from hopweave.sources import fixtures
 
-K1, K2 = 4, 3  # hop bounds for G1 and G2
+K1, K2 = 4, 3  # hop bounds for G3 and G2
 GROUP = 100  # size bound of vertex groups
 RANGES = 5
 
@@ -31,6 +32,10 @@ def g2(spark: SparkSession, sf: str) -> DataFrame:
     return land(spark, fixtures.user_succession(spark, sf), "g2")
 
 
+def g3(spark: SparkSession, sf: str) -> DataFrame:
+    return land(spark, fixtures.places(spark, sf), "g3")
+
+
 def ranked(spark: SparkSession, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Ranks (id, degree, rank) and arcs between ranks, landed."""
     r = land(spark, ranking.ranks(spark, edges), "ranks")
@@ -58,7 +63,7 @@ def index(spark: SparkSession, edges: DataFrame, k: int) -> tuple[DataFrame, Dat
 def groups_of(spark: SparkSession, e: DataFrame) -> DataFrame:
     """v, grp: communities, bounded, split and merged."""
     found = partitioning.communities(spark, e.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "weight"))
-    return partitioning.merge_small(spark, partitioning.bounded(found, GROUP), GROUP)
+    return partitioning.merge_small(spark, partitioning.bounded(spark, found, GROUP), GROUP)
 
 
 # ------------------------------------------------------------- graph tables
@@ -141,15 +146,15 @@ def symmetry_check(spark, sf):
 
 
 def name_dictionary(spark, sf):
-    return graph.encode_names(spark, fixtures.table(spark, sf, "supplier").select(F.col("s_name").alias("name")))
+    return graph.encode_names(spark, fixtures.table(spark, sf, "supplier").select(F.col("s_name").alias("name"), "s_suppkey"), ["s_suppkey"])
 
 
 def named_edges(spark, sf):
     """Nation names linked to their region's name."""
     n, r = fixtures.table(spark, sf, "nation"), fixtures.table(spark, sf, "region")
     links = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("src"), F.col("r_name").alias("dst"), (F.col("n_nationkey") + 1).cast("int").alias("weight"))
-    names = links.select(F.col("src").alias("name")).unionByName(links.select(F.col("dst").alias("name")))
-    return graph.named_edges(links, graph.encode_names(spark, names))
+    names = links.select(F.col("src").alias("name"), "weight", F.lit(0).alias("end")).unionByName(links.select(F.col("dst").alias("name"), "weight", F.lit(1).alias("end")))
+    return graph.named_edges(links, graph.encode_names(spark, names, ["weight", "end"]))
 
 
 # ---------------------------------------------------- ranks and partitions
@@ -179,7 +184,7 @@ def cdlp(spark, sf):
 
 def group_split(spark, sf):
     _, e = ranked(spark, g2(spark, sf))
-    found = partitioning.bounded(partitioning.communities(spark, e, 3), 10)
+    found = partitioning.bounded(spark, partitioning.communities(spark, e, 3), 10)
     return found.select(F.col("v").cast("int").alias("v"), F.col("label").cast("int").alias("label"), "part")
 
 
@@ -215,8 +220,8 @@ def label_candidates_h2(spark, sf):
     return labels.expand(one, e, 2).select("v", "hub", "dist")
 
 
-def labels_generate(spark, sf, of=g1, k=K1):
-    return index(spark, of(spark, sf), k)[2].select("v", "hub", "hop", "dist")
+def labels_generate(spark, sf, of=g3, k=K1):
+    return index(spark, of(spark, sf), k)[2].select("v", "hub", "hop", "dist", "parent")
 
 
 def _grouped(spark, sf, of, k):
@@ -238,7 +243,7 @@ def labels_prefix_min(spark, sf):
 
 
 def labels_per_hop(spark, sf):
-    return verify.labels_per_hop(index(spark, g1(spark, sf), K1)[2])
+    return verify.labels_per_hop(index(spark, g3(spark, sf), K1)[2])
 
 
 def labels_sorted(spark, sf):
@@ -283,7 +288,7 @@ def query_clamped(spark, sf):
 
 def exact_hop_distance(spark, sf):
     r, e = ranked(spark, g2(spark, sf))
-    return exact.hop_distances(spark, e, vertices_of(r).where("v < 20").withColumnRenamed("v", "s"), K2)
+    return exact.hop_distances(spark, e, vertices_of(r).withColumnRenamed("v", "s"), K2)
 
 
 def exact_hop_path_hops(spark, sf):
@@ -303,7 +308,7 @@ def verify_mismatches(spark, sf):
 
 
 def verify_random(spark, sf):
-    r, e, made = index(spark, g1(spark, sf), K1)
+    r, e, made = index(spark, g3(spark, sf), K1)
     return verify.mismatches(spark, verify.random_queries(r.count(), 20, 20, K1, spark), made, e, K1)
 
 
@@ -326,7 +331,7 @@ def traverse_sssp(spark, sf):
 
 
 def traverse_wcc(spark, sf):
-    return traversal.wcc(spark, g1(spark, sf))
+    return traversal.wcc(spark, g3(spark, sf))
 
 
 def traverse_pagerank(spark, sf):
@@ -336,7 +341,7 @@ def traverse_pagerank(spark, sf):
 
 QUERIES = {
     "query_distance": query_distance,
-    "query_distance_sparse": partial(query_distance, of=g1, k=K1),
+    "query_distance_sparse": partial(query_distance, of=g3, k=K1),
     "query_path_check": query_path_check,
     "query_path_parentless": query_path_parentless,
     "query_clamped": query_clamped,
@@ -373,7 +378,7 @@ QUERIES = {
     "labels_generate_dense": partial(labels_generate, of=g2, k=K2),
     "labels_generate_grouped": labels_generate_grouped,
     "labels_clean": labels_clean,
-    "labels_clean_sparse": partial(labels_clean, of=g1, k=K1),
+    "labels_clean_sparse": partial(labels_clean, of=g3, k=K1),
     "labels_prefix_min": labels_prefix_min,
     "labels_per_hop": labels_per_hop,
     "labels_sorted": labels_sorted,
@@ -394,8 +399,13 @@ QUERIES = {
 
 G1 = """
 g AS (SELECT DISTINCT l_partkey AS a, 10000000 + l_suppkey AS b, CAST(1 + (l_partkey * 7 + l_suppkey * 13) % 20 AS INTEGER) AS weight
-      FROM lineitem WHERE l_linenumber = 1 AND l_quantity >= 48),
+      FROM lineitem),
 e0 AS (SELECT a AS src, b AS dst, weight FROM g UNION ALL SELECT b, a, weight FROM g)"""
+G3 = """
+g AS (SELECT n_nationkey + 100 AS a, n_regionkey AS b FROM nation UNION ALL SELECT s_suppkey + 1000000, s_nationkey + 100 FROM supplier
+      UNION ALL SELECT c_custkey + 10000000, c_nationkey + 100 FROM customer),
+e0 AS (SELECT CAST(a AS BIGINT) AS src, CAST(b AS BIGINT) AS dst, CAST(1 + a * 7 % 20 AS INTEGER) AS weight FROM g
+       UNION ALL SELECT CAST(b AS BIGINT), CAST(a AS BIGINT), CAST(1 + a * 7 % 20 AS INTEGER) FROM g)"""
 G2 = """
 f AS (SELECT user_id AS x, lead(user_id) OVER (ORDER BY ts, event_id) AS y FROM events WHERE event_type = 'purchase'),
 g AS (SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b FROM f WHERE y IS NOT NULL AND x <> y),
@@ -477,6 +487,11 @@ h AS (SELECT src, dst, weight FROM e0 WHERE src < 10000000),
 ch AS (SELECT DISTINCT src AS a, 20000000 AS b, 5 AS weight FROM h UNION ALL SELECT src, dst, weight * 2 + 1 FROM h WHERE dst % 2 = 0),
 ch2 AS (SELECT a AS src, b AS dst, weight FROM ch UNION ALL SELECT b, a, weight FROM ch)"""
 PROBES = ", p AS (SELECT DISTINCT src, dst + src % 2 AS dst FROM e0 WHERE src < 10000000)"
+PARENTS = """,
+near AS (SELECT x.v, x.hub, x.hop, min(e.src) AS parent FROM hub_labels x JOIN e ON e.dst = x.v
+         JOIN hub_labels y ON y.v = e.src AND y.hub = x.hub AND y.hop = x.hop - 1 AND y.dist + e.weight = x.dist GROUP BY x.v, x.hub, x.hop)
+SELECT x.v, x.hub, x.hop, x.dist, CAST(CASE WHEN x.hop = 0 THEN x.v ELSE near.parent END AS INTEGER) AS parent
+FROM hub_labels x LEFT JOIN near ON near.v = x.v AND near.hub = x.hub AND near.hop = x.hop"""
 IDS = ", i AS (SELECT row_number() OVER (ORDER BY src, dst) - 1 AS edge_id, src, dst FROM e0)"
 RANGED = f""",
 gr AS (SELECT rank AS v, degree, CAST(floor(rank / ceil((SELECT count(*) FROM rk) / {RANGES}.0)) AS INTEGER) AS grp FROM rk)"""
@@ -484,7 +499,7 @@ SUMS = "SELECT count(*) AS n_queries, 0::BIGINT AS n_distance, 0::BIGINT AS n_pa
 
 ORACLES = {
     "query_distance": f"WITH {G2}{RANKS}{_answers(K2)} SELECT qid, s, t, h, CAST(distance AS INTEGER) AS distance FROM a",
-    "query_distance_sparse": f"WITH {G1}{RANKS}{_answers(K1)} SELECT qid, s, t, h, CAST(distance AS INTEGER) AS distance FROM a",
+    "query_distance_sparse": f"WITH {G3}{RANKS}{_answers(K1)} SELECT qid, s, t, h, CAST(distance AS INTEGER) AS distance FROM a",
     "query_path_check": f"WITH {G2}{RANKS}{_answers(K2)} SELECT qid, CAST(distance AS INTEGER) AS path_weight FROM a",
     "query_path_parentless": f"WITH {G2}{RANKS}{_answers(K2)} SELECT qid, CAST(distance AS INTEGER) AS path_weight FROM a",
     "query_clamped": f"WITH {G2}{RANKS}{_batch(K2)} SELECT qid, s, t, CAST(h * 3 AS INTEGER) AS h, CAST(least(h * 3, {K2}) AS INTEGER) AS hh FROM q",
@@ -503,9 +518,9 @@ ORACLES = {
     "edge_ids": f"WITH {G1}{IDS} SELECT edge_id, src, dst FROM i",
     "reverse_edge_ids": f"WITH {G1}{IDS} SELECT i.edge_id, j.edge_id AS inv FROM i JOIN i j ON i.src = j.dst AND i.dst = j.src",
     "symmetry_check": f"WITH {G1} SELECT count(*) AS n_asymmetric FROM e0 x WHERE NOT EXISTS (SELECT 1 FROM e0 y WHERE x.src = y.dst AND x.dst = y.src)",
-    "name_dictionary": "SELECT s_name AS name, row_number() OVER (ORDER BY s_name) - 1 AS id FROM (SELECT DISTINCT s_name FROM supplier)",
+    "name_dictionary": "SELECT s_name AS name, row_number() OVER (ORDER BY min(s_suppkey)) - 1 AS id FROM supplier GROUP BY s_name",
     "named_edges": """WITH l AS (SELECT n_name AS src, r_name AS dst, CAST(n_nationkey + 1 AS INTEGER) AS weight FROM nation JOIN region ON n_regionkey = r_regionkey),
-        d AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS id FROM (SELECT src AS name FROM l UNION SELECT dst FROM l))
+        d AS (SELECT name, row_number() OVER (ORDER BY min(place)) - 1 AS id FROM (SELECT src AS name, weight * 2 AS place FROM l UNION ALL SELECT dst, weight * 2 + 1 FROM l) GROUP BY name)
         SELECT a.id AS src, b.id AS dst, weight FROM l JOIN d a ON a.name = src JOIN d b ON b.name = dst""",
     "rank_vertices": f"WITH {G1}{RANKS} SELECT id, degree, rank FROM rk",
     "rank_vertices_dense": f"WITH {G2}{RANKS} SELECT id, degree, rank FROM rk",
@@ -521,18 +536,18 @@ ORACLES = {
     "label_expand_hop1": f"WITH {G2}{RANKS} SELECT dst AS v, src AS hub, weight AS dist, src AS parent FROM e WHERE src < dst",
     "label_candidates_h2": f"""WITH {G2}{RANKS} SELECT b.dst AS v, a.src AS hub, CAST(min(a.weight + b.weight) AS INTEGER) AS dist
         FROM e a JOIN e b ON a.dst = b.src WHERE a.src < a.dst AND a.src < b.dst GROUP BY b.dst, a.src""",
-    "labels_generate": f"WITH {G1}{RANKS}{_index(K1)} SELECT v, hub, hop, dist FROM hub_labels",
-    "labels_generate_dense": f"WITH {G2}{RANKS}{_index(K2)} SELECT v, hub, hop, dist FROM hub_labels",
+    "labels_generate": f"WITH {G3}{RANKS}{_index(K1)}{PARENTS}",
+    "labels_generate_dense": f"WITH {G2}{RANKS}{_index(K2)}{PARENTS}",
     "labels_clean": f"WITH {G2}{RANKS}{_index(K2)} SELECT v, hub, hop, dist FROM hub_labels",
-    "labels_clean_sparse": f"WITH {G1}{RANKS}{_index(K1)} SELECT v, hub, hop, dist FROM hub_labels",
+    "labels_clean_sparse": f"WITH {G3}{RANKS}{_index(K1)} SELECT v, hub, hop, dist FROM hub_labels",
     "labels_prefix_min": f"""WITH {G2}{RANKS}{_index(K2)} SELECT v, hub, CAST(i AS INTEGER) AS hop_le, min(dist) AS dist
         FROM hub_labels JOIN range({K2 + 1}) r(i) ON hop <= i GROUP BY v, hub, i""",
-    "labels_per_hop": f"WITH {G1}{RANKS}{_index(K1)} SELECT hop, count(*) AS n FROM hub_labels GROUP BY hop",
+    "labels_per_hop": f"WITH {G3}{RANKS}{_index(K1)} SELECT hop, count(*) AS n FROM hub_labels GROUP BY hop",
     "labels_sorted": f"""WITH {G2}{RANKS}{_index(K2)} SELECT v, string_agg(hub || ':' || hop || ':' || dist, ',' ORDER BY hub, hop, dist) AS list
         FROM hub_labels GROUP BY v""",
     "label_pack_unpack": f"""WITH {G2}{RANKS}{_index(K2)} SELECT (v::BIGINT << 37) | (hub::BIGINT << 13) | (hop::BIGINT << 10) | dist AS packed,
         v AS edge, hub, hop, dist FROM hub_labels""",
-    "exact_hop_distance": f"WITH {G2}{RANKS}{_walks(K2)} SELECT s, t, d AS dist FROM d{K2} WHERE s < 20",
+    "exact_hop_distance": f"WITH {G2}{RANKS}{_walks(K2)} SELECT s, t, d AS dist FROM d{K2}",
     "exact_hop_path_hops": f"WITH {G2}{RANKS}{_answers(K2)} SELECT qid, s, t, h, CAST(distance AS INTEGER) AS distance, hops FROM ah",
     "exact_path_check": f"WITH {G2}{RANKS}{_answers(K2)} SELECT qid, CAST(distance AS INTEGER) AS path_weight, CAST(hops AS BIGINT) AS hops FROM ah",
     "verify_mismatches": f"WITH {G2}{RANKS}{_batch(K2)} {SUMS} FROM q",
@@ -542,7 +557,10 @@ ORACLES = {
     "traverse_bfs": f"""WITH RECURSIVE {G1}{RANKS}, r(v, dist) AS (SELECT 0, 0 UNION SELECT e.dst, r.dist + 1 FROM r JOIN e ON e.src = r.v WHERE r.dist < 60)
         SELECT CAST(v AS BIGINT) AS v, CAST(min(dist) AS BIGINT) AS dist FROM r GROUP BY v""",
     "traverse_sssp": f"""WITH {G2}{RANKS}{_walks(12)} SELECT CAST(t AS BIGINT) AS v, CAST(d AS BIGINT) AS dist FROM d12 WHERE s = 0""",
-    "traverse_wcc": f"""WITH RECURSIVE {G1}, r(v, c) AS (SELECT src, src FROM e0 UNION SELECT e0.dst, r.c FROM r JOIN e0 ON e0.src = r.v WHERE r.c < e0.dst)
+    "traverse_wcc": f"""WITH RECURSIVE {G3}, r(v, c) AS (SELECT src, src FROM e0 UNION SELECT e0.dst, r.c FROM r JOIN e0 ON e0.src = r.v WHERE r.c < e0.dst)
         SELECT v, min(c) AS comp FROM r GROUP BY v""",
     "traverse_pagerank": f"WITH {G2}{RANKS}{_pagerank(10)} SELECT v, round(score, 9) AS score FROM p10",
 }
+
+QUERIES |= source_catalog.QUERIES
+ORACLES |= source_catalog.oracles(G2 + RANKS, G1)

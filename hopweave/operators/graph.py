@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopweave.plans.tables import numbered
@@ -17,10 +17,8 @@ def symmetric(pairs: DataFrame) -> DataFrame:
 def upsert(edges: DataFrame, changes: DataFrame) -> DataFrame:
     """Add or replace undirected edges; ``changes(src, dst, weight, seq)``, the
     largest ``seq`` of a pair wins."""
-    pair = [F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")]
-    last = changes.groupBy(*pair).agg(F.max_by("weight", "seq").alias("weight"))
-    new = symmetric(last.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight"))
-    return edges.join(new, ["src", "dst"], "left_anti").select("src", "dst", "weight").unionByName(new.distinct())
+    new = last_of_pairs(changes, directed=False)
+    return edges.join(new, ["src", "dst"], "left_anti").select("src", "dst", "weight").unionByName(new)
 
 
 def remove(edges: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -99,19 +97,25 @@ def asymmetric(edges: DataFrame) -> DataFrame:
     return edges.join(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_anti")
 
 
-def encode_names(spark: SparkSession, names: DataFrame) -> DataFrame:
-    """name, id: dense ids of distinct names, in name order."""
-    return numbered(spark, names.select("name").distinct(), [F.col("name")], "id")
+def encode_names(spark: SparkSession, names: DataFrame, order: list[str]) -> DataFrame:
+    """name, id: dense ids of the distinct names of ``names(name, *order)``, in the
+    order in which they are first seen."""
+    first = names.groupBy("name").agg(F.min(F.struct(*order)).alias("seen"))
+    return numbered(spark, first, [F.col("seen")], "id").select("name", "id")
 
 
 def named_edges(links: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """``links(src, dst, weight)`` between names as arcs between their ids."""
+    """``links(src, dst, ...)`` between names as arcs between their ids."""
     a = dictionary.select(F.col("name").alias("src"), F.col("id").alias("src_id"))
     b = dictionary.select(F.col("name").alias("dst"), F.col("id").alias("dst_id"))
-    return links.join(a, "src").join(b, "dst").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "weight")
+    rest = [c for c in links.columns if c not in ("src", "dst")]
+    return links.join(a, "src").join(b, "dst").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), *rest)
 
 
-def last_of_pairs(arcs: DataFrame) -> DataFrame:
-    """Of repeated arcs (src, dst, weight, seq) the last."""
-    latest = Window.partitionBy("src", "dst").orderBy(F.desc("seq"))
-    return arcs.withColumn("__n", F.row_number().over(latest)).where("__n = 1").select("src", "dst", "weight")
+def last_of_pairs(arcs: DataFrame, directed: bool = True) -> DataFrame:
+    """Of repeated arcs (src, dst, weight, seq) the last; undirected ones repeat in
+    either direction, and the result has both."""
+    if directed:
+        return arcs.groupBy("src", "dst").agg(F.max_by("weight", "seq").alias("weight"))
+    last = arcs.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max_by("weight", "seq").alias("weight"))
+    return symmetric(last.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight")).distinct()

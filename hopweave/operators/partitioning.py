@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopweave.plans.tables import discard, land
+from hopweave.plans.tables import discard, land, numbered
 
 
 def by_range(ranked: DataFrame, n_groups: int) -> DataFrame:
@@ -29,10 +29,13 @@ def communities(spark: SparkSession, edges: DataFrame, rounds: int = 3) -> DataF
     return labels
 
 
-def bounded(labels: DataFrame, most: int) -> DataFrame:
-    """v, label, part: communities over ``most`` vertices split in runs by id."""
-    place = F.row_number().over(Window.partitionBy("label").orderBy("v")) - 1
-    return labels.withColumn("part", F.floor(place / most).cast("int"))
+def bounded(spark: SparkSession, labels: DataFrame, most: int) -> DataFrame:
+    """v, label, part: communities over ``most`` vertices split in runs by id.  The
+    places in the order of (label, v) less a community's first one are the places in
+    it, so a single huge community is not one task's either."""
+    placed = numbered(spark, labels.select("v", "label"), [F.col("label"), F.col("v")], "at")
+    first = placed.groupBy("label").agg(F.min("at").alias("first"))
+    return placed.join(first, "label").select("v", "label", F.floor((F.col("at") - F.col("first")) / most).cast("int").alias("part"))
 
 
 def merge_small(spark: SparkSession, parts: DataFrame, most: int) -> DataFrame:
@@ -66,7 +69,7 @@ def merge_small(spark: SparkSession, parts: DataFrame, most: int) -> DataFrame:
 def by_degree(groups: DataFrame, degrees: DataFrame) -> DataFrame:
     """grp, degree, place: groups by total degree, largest first, then number."""
     total = groups.join(degrees, "v").groupBy("grp").agg(F.sum("degree").alias("degree"))
-    return total.withColumn("place", F.row_number().over(Window.orderBy(F.desc("degree"), "grp")) - 1)
+    return numbered(groups.sparkSession, total, [F.desc("degree"), F.col("grp")], "place").withColumn("place", F.col("place").cast("int"))
 
 
 def largest(groups: DataFrame, floor: int) -> DataFrame:

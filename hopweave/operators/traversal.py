@@ -16,8 +16,12 @@ def _relaxed(spark: SparkSession, edges: DataFrame, source: int, unit: bool) ->
     while not new.isEmpty():
         reached = new.join(edges, F.col("v") == F.col("src")).groupBy(F.col("dst").cast("long").alias("v")).agg(F.min(F.col("dist") + weight).cast("long").alias("to"))
         nearer = reached.join(best, "v", "left").where("dist IS NULL OR to < dist").select("v", F.col("to").alias("dist"))
+        before, seen = new, best
         new = land(spark, nearer, "near-new", True)
         best = land(spark, best.join(new.select("v"), "v", "left_anti").unionByName(new), "near", True)
+        discard(spark, before)
+        if seen is not before:
+            discard(spark, seen)
     return best
 
 
@@ -56,7 +60,9 @@ def pagerank(spark: SparkSession, edges: DataFrame, rounds: int = 10, damping: f
     n = out.count()
     score = out.select("v", F.lit(1.0 / n).alias("score"))
     for _ in range(rounds):
+        before = score
         share = score.join(out, "v").select(F.col("v").alias("src"), (F.col("score") / F.col("degree")).alias("share"))
         got = edges.join(share, "src").groupBy(F.col("dst").alias("v")).agg(F.sum("share").alias("in"))
         score = land(spark, out.join(got, "v", "left").select("v", (F.lit((1 - damping) / n) + damping * F.coalesce("in", F.lit(0.0))).alias("score")), "score", True)
+        discard(spark, before)
     return score

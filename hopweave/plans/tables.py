@@ -32,10 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
 def land(spark: SparkSession, df: DataFrame, name: str, narrow: bool = False, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, and a
     lost executor only costs the tasks that were running on it.  ``narrow``
-    tables (a few numbers a row) go to few files: a file for every three cores.
+    tables (a few numbers a row) go to as few files as their size asks for.
     ``keep`` saves the table from ``sweep``."""
     if narrow:
-        df = df.coalesce(-(-spark.sparkContext.defaultParallelism // 3))
+        df = df.hint("rebalance")
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)

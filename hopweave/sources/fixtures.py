@@ -13,12 +13,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def part_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G1: parts and their suppliers on large first lines; both arc directions."""
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_quantity >= 48").select("l_partkey", "l_suppkey").distinct()
+    """G1: parts and their suppliers on all lines; both arc directions."""
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
     weight = 1 + (F.col("l_partkey") * 7 + F.col("l_suppkey") * 13) % 20
     return symmetric(lines.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 10_000_000).alias("dst"), weight.cast("int").alias("weight")))
 
 
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G3: all customers and suppliers with their nations, nations with their
+    regions; sparse, a tree for each region."""
+    kinds = [
+        ("nation", F.col("n_nationkey") + 100, F.col("n_regionkey")),
+        ("supplier", F.col("s_suppkey") + 1_000_000, F.col("s_nationkey") + 100),
+        ("customer", F.col("c_custkey") + 10_000_000, F.col("c_nationkey") + 100),
+    ]
+    out = None
+    for name, a, b in kinds:
+        rows = table(spark, sf_dir, name).select(a.cast("long").alias("src"), b.cast("long").alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL")
+        out = rows if out is None else out.unionByName(rows)
+    return symmetric(out.select("src", "dst", (1 + F.col("src") * 7 % 20).cast("int").alias("weight")))
+
+
 def user_succession(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G2: users whose purchases follow one another in (ts, event_id) order.
 

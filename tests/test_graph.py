@@ -137,14 +137,31 @@ def test_edge_list_files(spark, tmp_path):
 
 
 def test_config_and_named_graph(spark, tmp_path):
-    (tmp_path / "g.properties").write_text("# x\n\ngraph.g.vertex-file = g.v\ngraph.g.edge-file = g.e\ngraph.g.directed = false\ngraph.g.algorithms = bfs, pr\ngraph.g.bfs.source-vertex = a\ngraph.g.pr.damping-factor = 0.9\n")
+    lines = "# x\n\ngraph.g.vertex-file = g.v\ngraph.g.edge-file = n.e\ngraph.g.directed = false\ngraph.g.algorithms = bfs, pr, sssp, cdlp, wcc\n"
+    lines += "graph.g.bfs.source-vertex = 10\ngraph.g.sssp.source-vertex = 9\ngraph.g.pr.damping-factor = 0.9\ngraph.g.sssp.weight-property = weight\ngraph.g.cdlp.max-iterations = 2\nbad line\n"
+    (tmp_path / "g.properties").write_text(lines)
     c = edge_lists.read_config(spark, str(tmp_path / "g.properties"))
-    assert (c.vertex_file, c.directed, c.algorithms, c.sources["bfs"], c.numbers["pr.damping_factor"]) == ("g.v", False, ["bfs", "pr"], "a", 0.9)
-    (tmp_path / "g.v").write_text("b\na\nc\n")
-    (tmp_path / "n.e").write_text("a b 4\nb c\n")
-    arcs, names = edge_lists.read_named_graph(spark, str(tmp_path / "g.v"), str(tmp_path / "n.e"), False)
-    assert {r.name: r.id for r in names.collect()} == {"a": 0, "b": 1, "c": 2}
-    assert {(r.src, r.dst, r.weight) for r in arcs.collect()} == {(0, 1, 4), (1, 0, 4), (1, 2, 1), (2, 1, 1)}
+    assert (c.vertex_file, c.directed, c.bfs_source, c.sssp_source, c.pr_damping, c.sssp_weighted, c.cdlp_iterations) == ("g.v", False, "10", "9", 0.9, True, 2)
+    (tmp_path / "g.v").write_text("10\n9\nc\n")
+    (tmp_path / "n.e").write_text("10 9 5\nc 9\nnew 10 2.7\n9 10 7\nc c 3\n")
+    g = edge_lists.load_named_graph(spark, str(tmp_path / "g.properties"), str(tmp_path))
+    assert {r.name: r.id for r in g.names.collect()} == {"10": 0, "9": 1, "c": 2, "new": 3}
+    assert {(r.src, r.dst, r.weight) for r in g.arcs.collect()} == {(0, 1, 7), (1, 0, 7), (2, 1, 1), (1, 2, 1), (3, 0, 2), (0, 3, 2), (2, 2, 3)}
+    found = edge_lists.run_algorithms(spark, g)
+    assert {r.v: r.dist for r in found["bfs"].collect()} == {0: 0, 1: 1, 2: 2, 3: 1}
+    assert {r.v: r.dist for r in found["sssp"].collect()} == {1: 0, 2: 1, 0: 7, 3: 9}
+    assert found["wcc"].select("comp").distinct().count() == 1 and found["pr"].count() == found["cdlp"].count() == 4
+    arcs, _ = edge_lists.read_named_graph(spark, str(tmp_path / "g.v"), str(tmp_path / "n.e"), True)
+    assert {(r.src, r.dst, r.weight) for r in arcs.collect()} == {(0, 1, 5), (2, 1, 1), (3, 0, 2), (1, 0, 7), (2, 2, 3)}
+    (tmp_path / "g.properties").write_text(lines.replace("= 10", "= new"))
+    with pytest.raises(ValueError):
+        edge_lists.load_named_graph(spark, str(tmp_path / "g.properties"), str(tmp_path))
+
+
+def test_run_details(spark, tmp_path):
+    edge_lists.write_details(spark, {"upper_k": 5, "time_total": 1.5}, str(tmp_path / "d"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "d")).collect()]
+    assert lines[0] == "hop_constrained_case_info:" and "upper_k=5" in lines and "time_total=1.500000" in lines and len(lines) == 16
 
 
 def test_random_graph(spark):
@@ -174,12 +191,12 @@ def test_command_line_builds_and_checks(spark, tmp_path):
     (tmp_path / "q.txt").write_text("0 5 3\n2 2 1\n0 12 3\n")
     d = walks(13, pairs, 3)
     made = []
-    for name, extra in (("plain", []), ("grouped", ["--g-max", "4"])):
+    for name, extra in (("plain", []), ("grouped", ["--g-max", "4"]), ("ranges", ["--ranges", "3"])):
         out = str(tmp_path / name)
         assert main([str(tmp_path / "g.e"), "3", out, "--queries", str(tmp_path / "q.txt"), *extra]) == 0
         made.append({(r.v, r.hub, r.hop, r.dist) for r in spark.read.parquet(f"{out}/labels").collect()})
         assert "labels_after" in spark.read.text(f"{out}/metrics").first()[0]
-    assert made[0] == made[1]
+    assert made[0] == made[1] == made[2]
     out = str(tmp_path / "original")
     assert main([str(tmp_path / "g.e"), "3", out, "--queries", str(tmp_path / "q.txt"), "--ids", "original"]) == 0
     got = [r.distance for r in spark.read.parquet(f"{out}/answers").orderBy("qid").collect()]
