@@ -359,8 +359,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     code point counted from 0) appended; an existing column of that name is replaced.
 
     A null text stays null, an empty one empty, with no matches.  Texts are searched
-    whole and keep their length in code points; repeated rows change alike; an empty
-    table gives no rows.
+    whole; values keep their length but for IPv4 addresses; repeated rows change
+    alike; an empty table gives no rows.
     """
     columns = [c for c in docs.columns if c != "pii"]
     rows, of = plain(docs)

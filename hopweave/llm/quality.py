@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopweave.llm.common import FRUGAL, land, plain, settings, slices, stable
+from hopweave.llm.common import FRUGAL, discard, land, plain, settings, slices, stable
 from hopweave.plans.tables import small
 
 ORDER = 5
@@ -43,7 +43,7 @@ QUANTILE = 0.9995
 PRIOR = 200  # bytes of the language's average text that every text is mixed with
 FEW = 500  # documents of a language whose extremes are taken as they are
 POOLED = "*"
-CHUNK = 16_000_000  # bytes of text that are scored together, about; a longer text is whole
+CHUNK = 20_000_000  # bytes of text that are scored together, about; a longer text is whole
 SEGMENT = 4_000_000  # bytes of a chunk that are sorted at once
 BATCH_BYTES = 2_000_000
 PAD = b"\n" * (ORDER - 1)
@@ -154,7 +154,7 @@ def _discounts(level: DataFrame) -> DataFrame:
 
 
 def model_table(spark: SparkSession, counts: DataFrame, n_models: int) -> DataFrame:
-    """model, order, gram, v: the number of every observed gram of each order.
+    """model, order, gram, v, landed: the number of every observed gram of each order.
 
     With p_k the interpolated probability and b_k a context's back-off weight,
     log p_k(w | c) = log b_k(c) + log p_(k-1)(w | c') + x, where x, the gram's
@@ -167,7 +167,7 @@ def model_table(spark: SparkSession, counts: DataFrame, n_models: int) -> DataFr
         levels[k] = levels[k + 1].groupBy("model", F.col("gram").bitwiseAND((1 << 8 * k) - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
         levels[k] = land(spark, levels[k], f"quality-level{k}")
     taken = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    lower, out = None, None
+    lower, out, orders = None, None, []
     for k in range(1, ORDER + 1):
         rows = levels[k].join(small(_discounts(levels[k]), n_models), "model").withColumn("taken", taken)
         rows = rows.withColumn("context", F.shiftright("gram", 8))
@@ -183,12 +183,16 @@ def model_table(spark: SparkSession, counts: DataFrame, n_models: int) -> DataFr
         rows = rows.join(contexts, ["model", "context"]).select("model", "gram", p.alias("p"), (F.log(p) - F.log("share") - F.log(below)).alias("excess"))
         weights = contexts.select("model", F.col("context").alias("gram"), F.log("share").alias("weight"))
         if k == 1:
-            made = weights.select("model", F.lit(0).alias("order"), "gram", (F.col("weight") - F.log(F.lit(256.0))).alias("v"))
+            made = weights.select("model", F.lit(0).alias("order"), "gram", (F.col("weight") - F.log(F.lit(256.0))).cast("float").alias("v"))
         else:  # the grams of the order below are this order's contexts
-            made = lower.join(weights, ["model", "gram"], "left").select("model", F.lit(k - 1).alias("order"), "gram", (F.col("excess") + F.coalesce("weight", F.lit(0.0))).alias("v"))
+            made = lower.join(weights, ["model", "gram"], "left").select("model", F.lit(k - 1).alias("order"), "gram", (F.col("excess") + F.coalesce("weight", F.lit(0.0))).cast("float").alias("v"))
         out = made if out is None else out.unionByName(made)
         lower = land(spark, rows, f"quality-order{k}")
-    return out.unionByName(lower.select("model", F.lit(ORDER).alias("order"), "gram", F.col("excess").alias("v")))
+        orders.append(lower)
+    table = land(spark, out.unionByName(lower.select("model", F.lit(ORDER).alias("order"), "gram", F.col("excess").cast("float").alias("v"))), "quality-model")
+    for df in [*levels.values(), *orders]:
+        discard(spark, df)
+    return table
 
 
 # ---------------------------------------------------------------- scoring
@@ -292,7 +296,7 @@ def _rows(batches):
     """The chunks' own rows, compressed."""
     for number, part in _chunks(batches):
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as w:
             w.write_table(part)
         yield _packed([(-1, ROWS, number, sink.getvalue().to_pybytes(), None)])
 
@@ -409,7 +413,7 @@ def _train(spark, docs, labels, id_col, text_col, lang_col, quantile) -> Model:
     if not n:
         return Model()
     counts = land(spark, gram_counts(trusted), "quality-counts")
-    table = land(spark, model_table(spark, counts, 3 * halves.count()), "quality-model")
+    table = model_table(spark, counts, 3 * halves.count())
     # Each trusted document by the model of the other half.
     rows = _named(trusted, langs, n, 1 - F.col("half"))
     found = land(spark, _scored(spark, rows, table.where(~F.col("model").startswith(":")), ["model"]).withColumn("lang", F.substring("model", 3, 1 << 30)), "quality-scores")
