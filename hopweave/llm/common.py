@@ -17,9 +17,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopweave.plans.tables import discard, land, shared_dir, sweep
+from hopweave.plans.tables import discard, land, release, shared_dir, sweep
 
-__all__ = ["FRUGAL", "discard", "documents", "land", "plain", "settings", "shared_dir", "slices", "stable", "sweep", "texts"]
+__all__ = ["FRUGAL", "discard", "documents", "land", "plain", "release", "settings", "shared_dir", "slices", "stable", "sweep", "texts"]
 
 
 @contextmanager

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hopweave.llm.common import FRUGAL, discard, land, settings, slices, texts
+from hopweave.llm.common import FRUGAL, discard, land, release, settings, slices, texts
 
 WORDS = 5
 NUM, DEN = 3, 4  # similarity threshold
@@ -466,6 +466,7 @@ def link_components(spark: SparkSession, sets: DataFrame, tasks: int) -> DataFra
         left = land(spark, rest, "ngram-posted", True)
         discard(spark, posted)
         posted, pivots = left, pivots * 16
+        release(spark)
     return spark.createDataFrame([], "node long, comp long") if comp is None else comp
 
 
@@ -484,6 +485,7 @@ def join_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         same = rows.groupBy("hi", "lo").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
         copied = same.where("copies > 1").select("hi", "lo", "rep")
         sets = profile.where("posts IS NOT NULL").join(_small(copied, copied.count()), ["hi", "lo"], "left").where("rep IS NULL OR rep = row")
+        release(spark)
         comp = link_components(spark, sets.select("row", "n", "l", "wide", "score", "keys", "posts"), tasks)
         # Only sets that repeat or link need a name.
         same = same.join(_small(comp.withColumnRenamed("node", "rep"), comp.count()), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopweave.llm.common import FRUGAL, discard, land, plain, settings, slices, stable
+from hopweave.llm.common import FRUGAL, discard, land, plain, release, settings, slices, stable
 from hopweave.plans.tables import small
 
 ORDER = 5
@@ -414,6 +414,7 @@ def _train(spark, docs, labels, id_col, text_col, lang_col, quantile) -> Model:
         return Model()
     counts = land(spark, gram_counts(trusted), "quality-counts")
     table = model_table(spark, counts, 3 * halves.count())
+    release(spark)
     # Each trusted document by the model of the other half.
     rows = _named(trusted, langs, n, 1 - F.col("half"))
     found = land(spark, _scored(spark, rows, table.where(~F.col("model").startswith(":")), ["model"]).withColumn("lang", F.substring("model", 3, 1 << 30)), "quality-scores")
