@@ -74,6 +74,7 @@ def sweep(spark: SparkSession) -> None:
 
 
 def release(spark: SparkSession) -> None:
+    """Collect the driver's garbage, in loops of many queries."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
