@@ -19,6 +19,8 @@ turn to the first, come first in the order head, system, user, assistant.
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,8 @@ MERGE, RELABEL, INSERT = 1, 2, 3
 # Other names of the roles.
 ALIASES = {"human": "user", "customer": "user", "prompter": "user", "bot": "assistant", "ai": "assistant", "gpt": "assistant", "model": "assistant", "developer": "system"}
 OPEN, CLOSE = "<|im_start|>{role}\n", "<|im_end|>\n"
+MARK = re.compile(r"<\|(\\*im_(?:start|end)\|>)")
+PART_BYTES = 32_000_000  # of text in one part, about
 
 NEXT = {HEAD: [SYSTEM, USER], SYSTEM: [USER], USER: [ASSISTANT], ASSISTANT: [USER]}
 
@@ -108,12 +112,18 @@ def best_end(ahead: list[int]) -> int:
     return min(range(4), key=lambda q: (ahead[q] + END[q], q))
 
 
+def escaped(text: str) -> str:
+    """Markers inside a text get a backslash behind ``<|``, and one more where they
+    have some, so that no text can forge a turn; taking one away undoes it."""
+    return MARK.sub(r"<|\\\1", text)
+
+
 def rendered(states: list[int], roles: list[int], texts: list[str], ends: bool) -> list[tuple]:
     """final_role, action, inserted, cost and segment of each turn.  A segment
     closes the turn before it; joined in order they are the conversation."""
     out = []
     for i, (role, text) in enumerate(zip(roles, texts)):
-        p, q = states[i], states[i + 1]
+        p, q, text = states[i], states[i + 1], escaped(text)
         cost, action, path = CHOICES[role][p][q]
         inserted = [NAMES[x] for x in path]
         if action == "merge":
@@ -151,13 +161,15 @@ def repair(
     its segments in order to its rendered text.  Null ids form one conversation;
     turns sort by number, nulls first, then by a hash of role and text, then by
     these themselves; a null text is empty; null and unknown roles are relabelled.
-    Repeated rows are turns of their own.  An empty table gives no rows.
+    Repeated rows are turns of their own.  Markers inside texts are ``escaped``.  Ids and
+    turns must be integers; other columns are ignored.  An empty table gives no rows.
     """
     rows = turns.select(
         F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.col(role_col), F.col(text_col)).alias("tie"),
     )
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     order = ["conv_id", "turn", "tie", "role", "text"]
     rows = rows.repartitionByRange(parts, "conv_id", "turn", "tie").sortWithinPartitions(*order)
     rows = rows.withColumn("pos", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id()).drop("tie")
