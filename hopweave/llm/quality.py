@@ -44,7 +44,7 @@ PRIOR = 200  # bytes of the language's average text that every text is mixed wit
 FEW = 500  # documents of a language whose extremes are taken as they are
 POOLED = "*"
 CHUNK = 20_000_000  # bytes of text that are scored together, about; a longer text is whole
-SEGMENT = 4_000_000  # bytes of a chunk that are sorted at once
+SEGMENT = 2_000_000  # bytes of a chunk that are sorted at once
 BATCH_BYTES = 2_000_000
 PAD = b"\n" * (ORDER - 1)
 
@@ -80,19 +80,29 @@ def keys_of(model: str, order: int, packed: np.ndarray) -> np.ndarray:
         return h ^ (h >> U(29))
 
 
+def _distinct(packed: np.ndarray) -> np.ndarray:
+    packed = np.sort(packed)  # much faster here than hashing, which np.unique does
+    return packed[_starts(packed)]
+
+
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin in ``ordered``, which is not empty."""
+    return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+
+
 def _wanted(models: list[str], whole: list[bytes]) -> dict[str, np.ndarray]:
     """Distinct 5-grams of the texts of each model."""
     out = {}
     for model in dict.fromkeys(models):
-        seen = [np.unique(g) for _, g in grams([x for x, m in zip(whole, models) if m == model])]
-        out[model] = np.unique(np.concatenate(seen)) if len(seen) > 1 else seen[0]
+        seen = [_distinct(g) for _, g in grams([x for x, m in zip(whole, models) if m == model])]
+        out[model] = _distinct(np.concatenate(seen)) if len(seen) > 1 else seen[0]
     return out
 
 
 def _requested(wanted: dict[str, np.ndarray]) -> np.ndarray:
     """Sorted names of all grams that the texts need."""
-    parts = [keys_of(model, k, np.unique(g) if k < ORDER else g) for model, full in wanted.items() for k, g in enumerate(suffixes(full))]
-    return np.unique(np.concatenate(parts))
+    parts = [keys_of(model, k, _distinct(g) if k < ORDER else g) for model, full in wanted.items() for k, g in enumerate(suffixes(full))]
+    return _distinct(np.concatenate(parts))
 
 
 # --------------------------------------------------------------- training
@@ -307,23 +317,31 @@ def novelty(text: bytes) -> float:
     return len(set(zip(words, words[1:]))) / (len(words) - 1) if len(words) > 1 else 1.0
 
 
-def likelihoods(models: list[str], whole: list[bytes], keys: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Log likelihood of each text with the line ends that close it."""
+def likelihoods(models: list[str], whole: list[bytes], wanted: dict[str, np.ndarray], keys: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Log likelihood of each text with the line ends that close it.
+
+    A segment's grams are sorted together with the text that each is of, so that
+    every distinct gram is looked up once and in order."""
     out = np.zeros(len(whole))
-    for model, full in _wanted(models, whole).items():
+    for model, full in wanted.items():
         value = np.zeros(len(full))
         for k, g in enumerate(suffixes(full)):
-            value += v[np.searchsorted(keys, keys_of(model, k, g))]
+            distinct = _distinct(g) if k < ORDER else g
+            numbers = v[np.searchsorted(keys, keys_of(model, k, distinct))]
+            value += numbers[np.searchsorted(distinct, g)] if k < ORDER else numbers
         own = [i for i, m in enumerate(models) if m == model]
         ends = np.cumsum([len(whole[i]) + len(PAD) for i in own])
-        total = np.zeros(len(own) + 1)  # sums up to each text's end, segment by segment
-        before = 0.0
+        total = np.zeros(len(own))
         for a, g in grams([whole[i] for i in own]):
-            sums = np.append(0.0, np.cumsum(value[np.searchsorted(full, g)]))
-            here = np.flatnonzero((ends > a) & (ends <= a + len(g)))
-            total[here + 1] = before + sums[ends[here] - a]
-            before += sums[-1]
-        out[own] = np.diff(total)
+            first, last = np.searchsorted(ends, [a, a + len(g) - 1], "right")
+            inside = np.clip(ends[first : last + 1] - a, 0, len(g))
+            # A gram has 40 bits, and a segment's texts are fewer than its grams.
+            packed = np.sort(g << U(24) | np.repeat(np.arange(last + 1 - first, dtype=U), np.diff(inside, prepend=0)))
+            starts = _starts(packed >> U(24))
+            numbers = value[np.searchsorted(full, packed[starts] >> U(24))]
+            of = (packed & U((1 << 24) - 1)).astype(np.int64)
+            total[first : last + 1] += np.bincount(of, np.repeat(numbers, np.diff(starts, append=len(packed))), last + 1 - first)
+        out[own] = total
     return out
 
 
@@ -337,12 +355,13 @@ def _summed(names: list[str]):
         with pa.ipc.open_stream(table.column("a")[kinds.index(ROWS)].as_buffer()) as r:
             part = r.read_all().combine_chunks()
         models, whole = _texts(part)
-        keys = _requested(_wanted(models, whole))
+        wanted = _wanted(models, whole)
+        keys = _requested(wanted)
         answers = sorted((table.column("bucket")[i].as_py(), i) for i, k in enumerate(kinds) if k == ANSWER)
         if any(table.column("a")[i].as_py() != _check(keys) for _, i in answers):
             raise RuntimeError("a chunk's rows differ from those that its grams were asked for")
         v = np.concatenate([np.frombuffer(table.column("b")[i].as_py(), "<f4") for _, i in answers]).astype(np.float64)
-        more = [pa.array([len(x) for x in whole], pa.int64()), pa.array(-likelihoods(models, whole, keys, v)), pa.array([novelty(x) for x in whole])]
+        more = [pa.array([len(x) for x in whole], pa.int64()), pa.array(-likelihoods(models, whole, wanted, keys, v)), pa.array([novelty(x) for x in whole])]
         return pa.table([part.column(x) for x in names] + more, names=[*names, "n", "nll", "novelty"])
 
     return run
