@@ -44,7 +44,7 @@ PRIOR = 200  # bytes of the language's average text that every text is mixed wit
 FEW = 500  # documents of a language whose extremes are taken as they are
 POOLED = "*"
 CHUNK = 20_000_000  # bytes of text that are scored together, about; a longer text is whole
-SEGMENT = 2_000_000  # bytes of a chunk that are sorted at once
+SEGMENT = 1_000_000  # bytes of a chunk that are sorted at once
 BATCH_BYTES = 2_000_000
 PAD = b"\n" * (ORDER - 1)
 
@@ -57,7 +57,7 @@ U = np.uint64
 def grams(whole: list[bytes]):
     """(place, packed 5-grams) of segments of the texts: each text and the line
     ends that close it, after the line ends that open it."""
-    data = np.frombuffer(PAD + b"".join(x + PAD for x in whole), np.uint8)
+    data = np.frombuffer(PAD.join([b"", *whole, b""]), np.uint8)
     for a in range(0, max(len(data) - ORDER + 1, 0), SEGMENT):
         part = data[a : a + SEGMENT + ORDER - 1].astype(U)
         packed = np.zeros(len(part) - ORDER + 1, U)
@@ -119,12 +119,13 @@ def _counted(batches):
     for batch in batches:
         for part in slices(batch, 2, SEGMENT):
             groups = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
-            whole = [x.encode() for x in part.column(2).to_pylist()]
+            whole = part.column(2).cast(pa.binary()).to_pylist()
             for group in dict.fromkeys(groups):
                 parts = held.setdefault(group, [])
                 for _, g in grams([x for x, y in zip(whole, groups) if y == group]):
                     parts.append(np.unique(g, return_counts=True))
-                if sum(len(k) for k, _ in parts) > 1_000_000:
+                # Summed up whenever twice what the last sum left is held.
+                if sum(len(k) for k, _ in parts) > max(200_000, 2 * len(parts[0][0])):
                     held[group] = [summed(parts)]
     for (lang, half), parts in held.items():
         keys, n = summed(parts)
@@ -252,14 +253,15 @@ def _chunks(batches):
             held.append(part)
             size += part.column(1).nbytes
             if size >= CHUNK:
-                yield number, pa.Table.from_batches(held).combine_chunks()
-                number, held, size = number + 1, [], 0
+                whole, held, size = pa.Table.from_batches(held).combine_chunks(), [], 0
+                yield number, whole
+                number, whole = number + 1, None
     if held:
         yield number, pa.Table.from_batches(held).combine_chunks()
 
 
 def _texts(part) -> tuple[list[str], list[bytes]]:
-    return part.column(0).to_pylist(), [(x or "").encode() for x in part.column(1).to_pylist()]
+    return part.column(0).to_pylist(), [x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()]
 
 
 def _requests(buckets: int):
