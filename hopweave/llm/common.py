@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from hopweave.plans.tables import discard, land, release, shared_dir, sweep
 
-__all__ = ["FRUGAL", "discard", "documents", "land", "plain", "release", "settings", "shared_dir", "slices", "stable", "sweep", "texts"]
+__all__ = ["FRUGAL", "discard", "documents", "land", "plain", "release", "settings", "shared_dir", "slices", "stable", "sweep", "texts", "trim"]
 
 
 @contextmanager
@@ -81,3 +81,16 @@ def slices(batch, column: int = 1, most: int = 1_000_000):
     if begin < batch.num_rows:
         yield batch.slice(begin)
     pa.default_memory_pool().release_unused()
+
+
+def trim() -> None:
+    """Hand memory that this Python worker has freed back to the system: idle workers
+    outlive their tasks, beside the next ones' memory."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if give_back:
+        give_back(0)

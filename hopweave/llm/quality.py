@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopweave.llm.common import FRUGAL, discard, land, plain, release, settings, slices, stable
+from hopweave.llm.common import FRUGAL, discard, land, plain, release, settings, slices, stable, trim
 from hopweave.plans.tables import small
 
 ORDER = 5
@@ -271,6 +271,8 @@ def _requests(buckets: int):
             cut = _cuts(keys, buckets)
             check = _check(keys)
             yield _packed([(i, REQUEST, number, keys[a:b].tobytes(), check) for i, (a, b) in enumerate(zip(cut, cut[1:])) if b > a])
+            del keys, part
+            trim()
 
     return run
 
@@ -352,7 +354,7 @@ def _check(keys: np.ndarray) -> bytes:
 
 
 def _summed(names: list[str]):
-    def run(table: pa.Table) -> pa.Table:
+    def sums(table: pa.Table) -> pa.Table:
         kinds = table.column("kind").to_pylist()
         with pa.ipc.open_stream(table.column("a")[kinds.index(ROWS)].as_buffer()) as r:
             part = r.read_all().combine_chunks()
@@ -366,6 +368,11 @@ def _summed(names: list[str]):
         more = [pa.array([len(x) for x in whole], pa.int64()), pa.array(-likelihoods(models, whole, wanted, keys, v)), pa.array([novelty(x) for x in whole])]
         return pa.table([part.column(x) for x in names] + more, names=[*names, "n", "nll", "novelty"])
 
+    def run(table: pa.Table) -> pa.Table:
+        out = sums(table)
+        trim()
+        return out
+
     return run
 
 
