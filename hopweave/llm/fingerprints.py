@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 K, WORDS = 128, 5
+RANGE_BYTES = 64_000_000  # of text in one range of ids, about
 
 
 # ------------------------------------------------------------ sketch algebra
@@ -55,7 +56,7 @@ def resemblance(a: Column, b: Column, k: int = K) -> Column:
 def distinct(a: Column, k: int = K) -> Column:
     """Estimated number of distinct shingles: k - 1 over the share of the hash
     range below the k-th smallest."""
-    share = (F.element_at(a, -1).cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    share = (F.get(a, F.size(a) - 1).cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
     return F.when(F.size(a) < k, F.size(a).cast("double")).otherwise(F.lit(k - 1) / share)
 
 
@@ -103,7 +104,8 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _range_of(bounds: list[int]):
     """How many bounds are at most the column: a binary search."""
-    array = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else None
+    # One literal in the plan, however many bounds there are.
+    array = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>") if bounds else None
     steps = [1 << i for i in range(len(bounds).bit_length() - 1, -1, -1)]
 
     def place(x: Column) -> Column:
@@ -117,16 +119,20 @@ def _range_of(bounds: list[int]):
     return place
 
 
-def with_next(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
+def with_next(
+    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, range_bytes: int = RANGE_BYTES,
+) -> DataFrame:
     """``fingerprint`` with next_text and next_sketch of the document that
     follows by descending doc_id; after the last comes the first.
 
-    Ids are cut in ranges at quantiles, so a window sorts one range at a time;
-    every range gets the first row of the range below as its last row.  Order of
-    repeated ids: descending text; null ids come last.
+    Ids are cut in ranges at quantiles, so many that a range has about
+    ``range_bytes`` of text, and a window sorts one range at a time; every range
+    gets the first row of the range below as its last row.  Order of repeated ids:
+    descending text; null ids come last.  The rows of one id stay in one range.
     """
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
-    ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+    ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // range_bytes))
     bounds = ids.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or []
     place = _range_of(sorted(set(bounds)))
     at = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(place(F.col("doc_id"))).alias("range")
@@ -146,16 +152,17 @@ def with_next(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text
         F.col("above").alias("range"), F.lit(True).alias("sent"),
     )
     order = W.partitionBy("range").orderBy(F.col("sent"), F.desc_nulls_last("doc_id"), F.desc("text"))
-    both = rows.withColumn("sent", F.lit(False)).unionByName(heads)
+    both = rows.withColumn("sent", F.lit(False)).unionByName(heads).repartition(ranges, "range")
     return (
         both.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sketch", F.lead("sketch").over(order))
         .where(~F.col("sent")).drop("sent", "range")
     )
 
 
-def edited_digests(spark: SparkSession, docs: DataFrame, k: int = K) -> DataFrame:
-    """The contract's columns."""
-    rows = with_next(spark, docs, k=k).withColumn("n_chars", F.length("text").cast("long"))
+def edited_digests(spark: SparkSession, docs: DataFrame, k: int = K, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The contract's columns, then distinct_shingles, the estimated number, and
+    contained_in_edited, the estimated share of them that the edited text has."""
+    rows = with_next(spark, docs, k=k, range_bytes=range_bytes).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half))
     rows = rows.withColumn("edited", edited).select("doc_id", "n_chars", "sketch", "next_sketch", "edited", word_hashes(F.col("edited")).alias("__words"))
@@ -163,4 +170,5 @@ def edited_digests(spark: SparkSession, docs: DataFrame, k: int = K) -> DataFram
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
         resemblance(F.col("sketch"), F.col("edited_sketch"), k).alias("near_edited"), resemblance(F.col("sketch"), F.col("next_sketch"), k).alias("near_next"),
+        distinct(F.col("sketch"), k).alias("distinct_shingles"), containment(F.col("sketch"), F.col("edited_sketch"), k).alias("contained_in_edited"),
     )
