@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hopweave.operators import walks
 from hopweave.operators.query import guarded
 from hopweave.plans.tables import land
 
@@ -26,7 +27,11 @@ def layers(spark: SparkSession, edges: DataFrame, sources: DataFrame, k: int) ->
 
 
 def hop_distances(spark: SparkSession, edges: DataFrame, sources: DataFrame, k: int) -> DataFrame:
-    """s, t, dist: least distance with at most ``k`` edges to all reached t."""
+    """s, t, dist: least distance with at most ``k`` edges to all reached t.  Where
+    the arcs can be broadcast, pairs are made and kept where their source lies."""
+    if made := walks.plan(edges, k) if k > 0 else None:
+        found = walks.states(made, walks.dealt(spark, made, sources.select("s").distinct().withColumn("low", F.lit(0)), k), k)
+        return found.select("s", F.col("v").alias("t"), walks.distance(F.col("x")).alias("dist"))
     return layers(spark, edges, sources, k).groupBy("s", F.col("v").alias("t")).agg(F.min("dist").alias("dist"))
 
 
