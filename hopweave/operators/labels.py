@@ -6,8 +6,11 @@ hub (have larger numbers), and that no label of fewer hops and no pair of labels
 over a better hub does as well.  The set of these labels is unique; parents are
 the smallest of equally good ones.
 
-Generation is semi-naive and synchronous by hops: only the labels of the last
-hop are extended.  Each hop is one declarative plan, landed in the shared folder.
+Generation is semi-naive and synchronous by hops.  Where walks of k edges are not
+many more than arcs, as on graphs without great hubs, labels are read off the lightest
+walks, made where their hub lies (``walks``).  Else only the labels of the last hop are
+extended and candidates meet the labels so far; each hop is one declarative plan,
+landed in the shared folder.
 """
 
 from __future__ import annotations
@@ -15,8 +18,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hopweave.operators import walks
 from hopweave.plans.tables import land
 
+#: Walks of k edges for each arc up to which labels are read off walks.
+WALKS_PER_ARC = 4096
 COLUMNS = ["v", "hub", "hop", "dist", "parent"]
 
 
@@ -64,6 +70,34 @@ def generate(spark: SparkSession, edges: DataFrame, vertices: DataFrame, k: int,
     the same group, and the result is a superset that ``clean`` reduces.
     """
     grouped = "grp" in vertices.columns
+    made = walks.plan(edges, k) if k > 0 else None
+    if made and made.steps[-1] <= WALKS_PER_ARC * made.n_arcs and (hubs := _hubs(vertices, made)) is not None:
+        found = walks.labels(spark, made, hubs, k)
+        if not with_group:
+            return found
+        groups = (vertices if grouped else vertices.withColumn("grp", F.lit(0))).select(F.col("v").cast("int").alias("hub"), F.col("grp").cast("int").alias("grp"))
+        return found.join(groups, "hub").select(*COLUMNS, "grp")
+    return _by_frontier(spark, edges, vertices, k, with_group)
+
+
+def _hubs(vertices: DataFrame, made: walks.Plan) -> DataFrame | None:
+    """s, low: every vertex and the first of its group, whose hubs' labels only meet
+    those of walks over vertices from there on.  None unless the vertices are
+    all ranks from 0 on and the groups ranges of them."""
+    by = vertices.select(F.col("v").cast("int").alias("s"), (F.col("grp").cast("int") if "grp" in vertices.columns else F.lit(0)).alias("grp"))
+    sizes = by.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("s").alias("d"), F.min("s").alias("low"), F.max("s").alias("high"))
+    run = (F.col("n") == F.col("d")) & (F.col("high") - F.col("low") + 1 == F.col("n")) & F.col("grp").isNotNull()
+    x = sizes.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), F.bool_and(run).alias("runs")).first()
+    if not x["runs"] or x["low"] != 0 or x["high"] + 1 != x["n"] or made.top > x["high"]:
+        return None
+    if "grp" not in vertices.columns:
+        return by.select("s", F.lit(0).alias("low"))
+    return by.join(sizes.select("grp", "low"), "grp").select("s", "low")
+
+
+def _by_frontier(spark: SparkSession, edges: DataFrame, vertices: DataFrame, k: int, with_group: bool = False) -> DataFrame:
+    """``generate`` by extending labels, for any graph and any groups."""
+    grouped = "grp" in vertices.columns
     frontier = land(spark, initial(vertices if grouped else vertices.withColumn("grp", F.lit(0))), "hop0")
     labels = frontier
     for hop in range(1, k + 1):
@@ -104,6 +138,8 @@ def prefix_minimum(labels: DataFrame, k: int) -> DataFrame:
     return rows.select("v", "hub", F.explode(F.sequence("hop", "until")).alias("hop_le"), "dist")
 
 
-def per_vertex(labels: DataFrame) -> DataFrame:
-    """v, list: each vertex's labels sorted by hub, hop, distance."""
-    return labels.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("hub", "hop", "dist", "parent"))).alias("list"))
+def per_vertex(labels: DataFrame, fields: tuple[str, ...] = ("hub", "hop", "dist", "parent")) -> DataFrame:
+    """v, list: each vertex's labels sorted by hub, hop, distance.  Rows are dealt
+    out before they are collected, as short lists take more room than rows."""
+    rows = labels.select("v", *fields).repartition("v")
+    return rows.groupBy("v").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("list"))

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from hopweave.operators import exact, graph
+from hopweave.operators import exact, graph, labels, partitioning, walks
 from hopweave.plans import tables
 
 
@@ -36,3 +36,25 @@ def test_hop_distances_write_no_steps_and_equal_layers(spark, k):
     assert got.columns == ["s", "t", "dist"] and got.dtypes == slow.dtypes
     assert sorted(got.collect()) == sorted(slow.collect())
     assert not exchanges_of_pairs(got)
+
+
+@pytest.mark.parametrize("seed,heaviest,ranges", [(1, 2, None), (2, 20, None), (3, 3, 5), (4, 1, 3)])
+def test_labels_of_walks_equal_those_by_frontier(spark, seed, heaviest, ranges):
+    e = tables.land(spark, arcs(spark, seed, 40, 100, heaviest), "arcs")
+    v = ranks(spark, 41)
+    if ranges:
+        v = partitioning.by_range(v.withColumnRenamed("v", "rank"), ranges)
+    before = list(tables.LANDED)
+    got = labels.generate(spark, e, v, 4)
+    assert tables.LANDED == before  # no hop is landed
+    assert sorted(got.collect()) == sorted(labels._by_frontier(spark, e, v, 4).collect())
+
+
+def test_other_vertices_groups_and_weights_take_the_general_method(spark):
+    e = tables.land(spark, arcs(spark, 6, 12, 30, 4), "arcs")
+    mixed = ranks(spark, 12).withColumn("grp", F.col("v") % 3)
+    for v in (mixed, ranks(spark, 12).where("v > 2")):
+        assert sorted(labels.generate(spark, e, v, 3).collect()) == sorted(labels._by_frontier(spark, e, v, 3).collect())
+    for weight in (0, -1, 2_000_000_000):
+        assert walks.plan(e.withColumn("weight", F.lit(weight)), 3) is None
+    assert walks.plan(e.limit(0), 3) is None
