@@ -23,8 +23,11 @@ def guarded(found: Column) -> Column:
 
 def meetings(queries: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     """Per query the best common hub, as ``best``: (d, hub, hop1, d1, hop2, d2),
-    the least of these in that order."""
+    the least of these in that order.  Labels of no query's end are left out before
+    they are joined."""
     real = clamped(queries, k).where("h > 0 AND s != t")
+    ends = real.select(F.explode(F.array("s", "t")).alias("v")).distinct()
+    labels = labels.join(ends, "v", "left_semi")
     a = labels.select(F.col("v").alias("s"), "hub", F.col("hop").alias("hop1"), F.col("dist").alias("d1"))
     b = labels.select(F.col("v").alias("t"), "hub", F.col("hop").alias("hop2"), F.col("dist").alias("d2"))
     met = real.join(a, "s").where("hop1 <= hh").join(b, ["t", "hub"]).where("hop1 + hop2 <= hh")
@@ -50,6 +53,8 @@ def paths(
     """
     best = queries.select("qid", "s", "t").join(meetings(queries, labels, k), "qid").select("qid", "s", "t", "best.*")
     best = land(spark, best, "path-ends", narrow=True)
+    # Ways only lead over labels of the best hubs.
+    labels = land(spark, labels.join(best.select("hub").distinct(), "hub", "left_semi"), "path-labels", narrow=True)
     side = lambda name, v, hop, d: best.select("qid", F.lit(name).alias("side"), F.col(v).alias("v"), "hub", F.col(hop).alias("hop"), F.col(d).alias("dist"))
     walk = side("s", "s", "hop1", "d1").unionByName(side("t", "t", "hop2", "d2")).where("hop > 0")
     steps = None

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from hopweave.operators import exact, graph, labels, partitioning, walks
+from hopweave.operators import exact, graph, labels, partitioning, query, walks
 from hopweave.plans import tables
 
 
@@ -58,3 +58,17 @@ def test_other_vertices_groups_and_weights_take_the_general_method(spark):
     for weight in (0, -1, 2_000_000_000):
         assert walks.plan(e.withColumn("weight", F.lit(weight)), 3) is None
     assert walks.plan(e.limit(0), 3) is None
+
+
+def test_queries_join_only_labels_they_need(spark):
+    e = tables.land(spark, arcs(spark, 7, 40, 100, 4), "arcs")
+    made = tables.land(spark, labels.generate(spark, e, ranks(spark, 40), 3), "index")
+    asked = spark.createDataFrame([(0, 3, 9, 3), (1, 30, 31, 2)], "qid long, s int, t int, h int")
+    for given in (None, e):
+        steps = query.paths(spark, asked, made, 3, given)
+        path = next(p for p in reversed(tables.LANDED) if "/path-labels-" in p)
+        hubs = [r.hub for r in query.meetings(asked, made, 3).select("best.hub").distinct().collect()]
+        assert sorted(spark.read.parquet(path).select(*made.columns).collect()) == sorted(made.where(F.col("hub").isin(hubs)).collect())
+        weights = {r.qid: r.path_weight for r in query.path_check(asked, steps, e).collect()}
+        truth = {r.qid: r.distance for r in exact.distances(spark, asked, e, 3).collect()}
+        assert weights == truth == {r.qid: r.distance for r in query.distances(asked, made, 3).collect()}
