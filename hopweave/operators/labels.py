@@ -15,7 +15,7 @@ landed in the shared folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hopweave.operators import walks
@@ -23,6 +23,10 @@ from hopweave.plans.tables import land
 
 #: Walks of k edges for each arc up to which labels are read off walks.
 WALKS_PER_ARC = 4096
+#: Labels of at most half the hops up to which ``clean`` broadcasts them, 40 bytes each.
+MOST_SHORT = 2_000_000
+#: Labels a task of ``clean`` is meant to take.
+LABELS_A_TASK = 100_000
 COLUMNS = ["v", "hub", "hop", "dist", "parent"]
 
 
@@ -115,7 +119,60 @@ def clean(labels: DataFrame) -> DataFrame:
     A label (v, hub, h, d) goes when its hub has a label (hub, mid, i, e) with
     0 < i < h and v a label of mid of at most h - i hops and d - e, or when v has
     a label of the same hub with fewer hops and at most d.
+
+    One of the two halves of such a way has at most half of all hops.  These short
+    labels are broadcast where they are few, and every label meets those of its own
+    hub: on the vertex's side with v dealt out, then on the hub's.
     """
+    size = labels.agg(F.max("hop").alias("k"), F.count(F.lit(1)).alias("n")).first()
+    k, n = size["k"] or 0, size["n"]
+    short = labels.where((F.col("hop") > 0) & (F.col("hop") <= k // 2))
+    if k < 1 or short.count() > MOST_SHORT:
+        return _clean_by_joins(labels)
+    x = F.struct(F.col("v").alias("y"), F.col("hop").alias("i"), F.col("dist").alias("e"))
+    lists = short.groupBy(F.col("hub").alias("key")).agg(F.concat(F.array(_stay()), F.collect_list(x)).alias("list"))
+    tasks = max(labels.sparkSession.sparkContext.defaultParallelism, n // LABELS_A_TASK + 1)
+    real = labels.where("hop > 0")
+    rows = lambda df, x, y, half, check: df.select(F.col(x).alias("x"), F.col(y).alias("y"), "hop", "dist", "parent", F.lit(half).alias("half"), F.lit(check).alias("check"))
+    one = _unreplaced(rows(real, "v", "hub", True, True), lists, k, tasks, F.col("a.y") < F.col("x"))
+    one = one.select(F.col("x").alias("v"), F.col("y").alias("hub"), "hop", "dist", "parent")
+    both = rows(one, "hub", "v", False, True).unionByName(rows(real, "v", "hub", True, False))
+    two = _unreplaced(both, lists, k, tasks, F.col("a.y") > F.col("x"))
+    own = labels.where("hop = 0").select("v", "hub", "hop", "dist", "parent").distinct()
+    return own.unionByName(two.select(F.col("y").alias("v"), F.col("x").alias("hub"), "hop", "dist", "parent"))
+
+
+def _stay() -> Column:
+    return F.struct(F.lit(-1).alias("y"), F.lit(0).alias("i"), F.lit(0).alias("e"))
+
+
+def _unreplaced(rows: DataFrame, lists: DataFrame, k: int, tasks: int, side: Column) -> DataFrame:
+    """x, y, hop, dist, parent: of ``rows`` to ``check`` those that no ``half``
+    (x, mid) with a short label (a.y, mid) of ``lists`` replaces, by hops and
+    distance.  All of an x is in one place; what halves reach is not shuffled."""
+    a, hop, dist = F.col("a"), F.col("hop"), F.col("dist")
+    met = rows.repartition(tasks, "x").join(F.broadcast(lists), F.when(F.col("half") & (hop < k), F.col("y")) == F.col("key"), "left")
+    met = met.select("x", "y", "hop", "dist", "parent", "check", F.explode(F.coalesce("list", F.array(_stay()))).alias("a"))
+    mine = a["y"] == -1
+    met = met.where((mine & F.col("check")) | (~mine & side & (hop + a["i"] <= k)))
+    met = met.select("x", F.when(mine, F.col("y")).otherwise(a["y"]).alias("y"), (hop + a["i"]).alias("hop"), (dist + a["e"]).alias("dist"), "parent", mine.alias("mine"))
+    label = F.shiftleft(dist.cast("long"), 32).bitwiseOR(F.col("parent").cast("long"))
+    least = [F.min(F.when(F.col("mine") & (hop == h), label)).alias(f"l{h}") for h in range(1, k + 1)]
+    least += [F.min(F.when(~F.col("mine") & (hop <= h), dist)).alias(f"c{h}") for h in range(1, k + 1)]
+    best = met.groupBy("x", "y").agg(*least)
+    far = lambda c: F.coalesce(c.cast("long"), F.lit(1 << 40))
+    found = []
+    for h in range(1, k + 1):
+        d = F.shiftright(f"l{h}", 32)
+        open_ = F.col(f"l{h}").isNotNull() & (far(F.col(f"c{h}")) > d)
+        for i in range(1, h):
+            open_ &= far(F.shiftright(f"l{i}", 32)) > d
+        found.append(F.when(open_, F.struct(F.lit(h).alias("hop"), d.cast("int").alias("dist"), F.col(f"l{h}").bitwiseAND(F.lit(walks.LOW)).cast("int").alias("parent"))))
+    return best.select("x", "y", F.explode(F.array(*found)).alias("z")).where("z IS NOT NULL").select("x", "y", "z.hop", "z.dist", "z.parent")
+
+
+def _clean_by_joins(labels: DataFrame) -> DataFrame:
+    """``clean`` by joins, for any number of short labels."""
     a = labels.select(F.col("v").alias("av"), F.col("hub").alias("ahub"), F.col("hop").alias("ah"), F.col("dist").alias("ad")).distinct()
     b = labels.where("hop > 0").select(F.col("v").alias("bv"), F.col("hub").alias("mid"), F.col("hop").alias("bh"), F.col("dist").alias("bd")).distinct()
     real = labels.where("hop > 0").select("v", "hub", "hop", "dist")

@@ -72,3 +72,14 @@ def test_queries_join_only_labels_they_need(spark):
         weights = {r.qid: r.path_weight for r in query.path_check(asked, steps, e).collect()}
         truth = {r.qid: r.distance for r in exact.distances(spark, asked, e, 3).collect()}
         assert weights == truth == {r.qid: r.distance for r in query.distances(asked, made, 3).collect()}
+
+
+@pytest.mark.parametrize("seed,heaviest,k", [(8, 3, 4), (9, 20, 3), (10, 1, 5), (11, 4, 1)])
+def test_clean_meets_short_labels_and_shuffles_none_of_what_they_reach(spark, seed, heaviest, k):
+    e = tables.land(spark, arcs(spark, seed, 40, 90, heaviest), "arcs")
+    groups = ranks(spark, 40).withColumn("grp", F.col("v") % 4)
+    superset = tables.land(spark, labels.generate(spark, e, groups, k), "superset")
+    got = labels.clean(superset)
+    want = sorted(labels.generate(spark, e, ranks(spark, 40), k).collect())
+    assert sorted(got.collect()) == want == sorted(labels._clean_by_joins(superset).collect())
+    assert not exchanges_of_pairs(got.where("hop > 0"))
