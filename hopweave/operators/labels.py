@@ -15,6 +15,8 @@ landed in the shared folder.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,15 +75,22 @@ def generate(spark: SparkSession, edges: DataFrame, vertices: DataFrame, k: int,
     group by group, ``vertices(v, grp)``: labels then only meet labels of hubs of
     the same group, and the result is a superset that ``clean`` reduces.
     """
-    grouped = "grp" in vertices.columns
+    found, _ = generate_by_hub(spark, edges, vertices, k, with_group)
+    if not with_group or "grp" in found.columns:
+        return found
+    groups = (vertices if "grp" in vertices.columns else vertices.withColumn("grp", F.lit(0))).select(F.col("v").cast("int").alias("hub"), F.col("grp").cast("int").alias("grp"))
+    return found.join(groups, "hub").select(*COLUMNS, "grp")
+
+
+def generate_by_hub(spark: SparkSession, edges: DataFrame, vertices: DataFrame, k: int, with_group: bool = False) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """All labels, and what gives those of ``hubs(hub)``: labels read off walks are
+    made for these hubs alone, so that nobody has to land all of them."""
     made = walks.plan(edges, k) if k > 0 else None
-    if made and made.steps[-1] <= WALKS_PER_ARC * made.n_arcs and (hubs := _hubs(vertices, made)) is not None:
-        found = walks.labels(spark, made, hubs, k)
-        if not with_group:
-            return found
-        groups = (vertices if grouped else vertices.withColumn("grp", F.lit(0))).select(F.col("v").cast("int").alias("hub"), F.col("grp").cast("int").alias("grp"))
-        return found.join(groups, "hub").select(*COLUMNS, "grp")
-    return _by_frontier(spark, edges, vertices, k, with_group)
+    if made and made.steps[-1] <= WALKS_PER_ARC * made.n_arcs and (sources := _hubs(vertices, made)) is not None:
+        of_hubs = lambda hubs: walks.labels(spark, made, sources.join(hubs.select(F.col("hub").alias("s")), "s", "left_semi"), k)
+        return walks.labels(spark, made, sources, k), of_hubs
+    found = _by_frontier(spark, edges, vertices, k, with_group)
+    return found, lambda hubs: found.join(hubs, "hub", "left_semi").select(found.columns)
 
 
 def _hubs(vertices: DataFrame, made: walks.Plan) -> DataFrame | None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,13 +23,22 @@ def guarded(found: Column) -> Column:
     return F.when(F.col("h") < 0, none).when(F.col("s") == F.col("t"), 0).when(F.col("h") == 0, none).otherwise(F.coalesce(found, none)).cast("int")
 
 
+def _real(queries: DataFrame, k: int) -> DataFrame:
+    return clamped(queries, k).where("h > 0 AND s != t")
+
+
+def at_ends(queries: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """Labels of the queries' ends, the only ones that ``meetings`` joins."""
+    ends = _real(queries, k).select(F.explode(F.array("s", "t")).alias("v")).distinct()
+    return labels.join(ends, "v", "left_semi")
+
+
 def meetings(queries: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     """Per query the best common hub, as ``best``: (d, hub, hop1, d1, hop2, d2),
     the least of these in that order.  Labels of no query's end are left out before
     they are joined."""
-    real = clamped(queries, k).where("h > 0 AND s != t")
-    ends = real.select(F.explode(F.array("s", "t")).alias("v")).distinct()
-    labels = labels.join(ends, "v", "left_semi")
+    real = _real(queries, k)
+    labels = at_ends(queries, labels, k)
     a = labels.select(F.col("v").alias("s"), "hub", F.col("hop").alias("hop1"), F.col("dist").alias("d1"))
     b = labels.select(F.col("v").alias("t"), "hub", F.col("hop").alias("hop2"), F.col("dist").alias("d2"))
     met = real.join(a, "s").where("hop1 <= hh").join(b, ["t", "hub"]).where("hop1 + hop2 <= hh")
@@ -42,7 +53,7 @@ def distances(queries: DataFrame, labels: DataFrame, k: int) -> DataFrame:
 
 
 def paths(
-    spark: SparkSession, queries: DataFrame, labels: DataFrame, k: int, edges: DataFrame | None = None,
+    spark: SparkSession, queries: DataFrame, labels: DataFrame, k: int, edges: DataFrame | None = None, of_hubs: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """qid, step, a, b: the edges of a best path from s to t in order, at most h
     of them.  No rows where s = t or t is out of reach.
@@ -50,11 +61,15 @@ def paths(
     From both ends the labels of the best hub are followed back to it: by stored
     parents, or, given ``edges``, without them, to the smallest neighbour whose
     label has one hop and the edge's weight less.  At most ``k`` rounds.
+
+    Where ``of_hubs`` makes all labels of ``hubs(hub)``, ``labels`` need only have
+    those ``at_ends``, and the whole index need not be landed.
     """
     best = queries.select("qid", "s", "t").join(meetings(queries, labels, k), "qid").select("qid", "s", "t", "best.*")
     best = land(spark, best, "path-ends", narrow=True)
     # Ways only lead over labels of the best hubs.
-    labels = land(spark, labels.join(best.select("hub").distinct(), "hub", "left_semi"), "path-labels", narrow=True)
+    hubs = best.select("hub").distinct()
+    labels = land(spark, of_hubs(hubs) if of_hubs else labels.join(hubs, "hub", "left_semi"), "path-labels", narrow=True)
     side = lambda name, v, hop, d: best.select("qid", F.lit(name).alias("side"), F.col(v).alias("v"), "hub", F.col(hop).alias("hop"), F.col(d).alias("dist"))
     walk = side("s", "s", "hop1", "d1").unionByName(side("t", "t", "hop2", "d2")).where("hop > 0")
     steps = None

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +21,12 @@ def random_queries(n_vertices: int, sources: int, terminals: int, k: int, spark:
     return q.select("qid", pick(0, F.floor(F.col("qid") / terminals)).alias("s"), pick(1, F.col("qid")).alias("t"), h.alias("h"))
 
 
-def mismatches(spark: SparkSession, queries: DataFrame, labels: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+def mismatches(spark: SparkSession, queries: DataFrame, labels: DataFrame, edges: DataFrame, k: int, of_hubs: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One row: queries, how many index distances differ from exact ones, how
     many index paths do not weigh their distance."""
     index = query.distances(queries, labels, k)
     truth = exact.distances(spark, query.clamped(queries, k).withColumn("h", F.col("hh")).drop("hh"), edges, k)
-    weights = query.path_check(queries, query.paths(spark, queries, labels, k), edges)
+    weights = query.path_check(queries, query.paths(spark, queries, labels, k, of_hubs=of_hubs), edges)
     both = index.join(truth.select("qid", F.col("distance").alias("truth")), "qid").join(weights, "qid")
     wrong = lambda c: F.count(F.when(c, 1))
     return both.agg(

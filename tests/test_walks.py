@@ -6,7 +6,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from hopweave.operators import exact, graph, labels, partitioning, query, walks
+from hopweave import catalog
+from hopweave.operators import exact, graph, labels, partitioning, query, verify, walks
 from hopweave.plans import tables
 
 
@@ -83,3 +84,27 @@ def test_clean_meets_short_labels_and_shuffles_none_of_what_they_reach(spark, se
     want = sorted(labels.generate(spark, e, ranks(spark, 40), k).collect())
     assert sorted(got.collect()) == want == sorted(labels._clean_by_joins(superset).collect())
     assert not exchanges_of_pairs(got.where("hop > 0"))
+
+
+@pytest.mark.parametrize("query_of", [catalog.query_path_check, catalog.query_path_parentless, catalog.verify_mismatches])
+def test_paths_and_checks_land_no_index(spark, sf, query_of):
+    before = set(tables.LANDED)
+    query_of(spark, sf).collect()
+    made = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(tables.LANDED) - before}
+    assert "end-labels" in made and "index" not in made
+
+
+@pytest.mark.parametrize("walked", [True, False])
+def test_labels_of_given_hubs_and_paths_over_them(spark, monkeypatch, walked):
+    if not walked:
+        monkeypatch.setattr(labels, "WALKS_PER_ARC", 0)
+    e = tables.land(spark, arcs(spark, 13, 40, 100, 4), "arcs")
+    made, of_hubs = labels.generate_by_hub(spark, e, ranks(spark, 40), 3)
+    some = spark.createDataFrame([(2,), (17,), (99,)], "hub int")
+    assert sorted(of_hubs(some).select(made.columns).collect()) == sorted(made.where("hub IN (2, 17)").collect())
+    asked = spark.createDataFrame([(i, i * 7 % 40, i * 13 % 40, i % 4) for i in range(40)], "qid long, s int, t int, h int")
+    ends = tables.land(spark, query.at_ends(asked, made, 3), "end-labels")
+    x = verify.mismatches(spark, asked, ends, e, 3, of_hubs).first()
+    assert (x.n_queries, x.n_distance, x.n_path) == (40, 0, 0)
+    whole = [sorted(query.paths(spark, asked, made, 3, given).collect()) for given in (None, e)]
+    assert whole == [sorted(query.paths(spark, asked, ends, 3, given, of_hubs).collect()) for given in (None, e)]
