@@ -93,7 +93,8 @@ def labels(spark: SparkSession, made: Plan, sources: DataFrame, k: int) -> DataF
     whose lightest walk of so many edges is lighter than any shorter one and none of
     whose lightest walks passes a vertex below the hub."""
     x, s, hubs = F.col("x"), F.col("s"), dealt(spark, made, sources, k)
-    out = hubs.select(s.alias("v"), s.alias("hub"), F.lit(0).alias("hop"), F.lit(0).alias("dist"), s.alias("parent"))
+    # Not the same column as v and hub: so Spark sees that all branches lie by hub.
+    out = hubs.select(F.greatest("s", "low").alias("v"), s.alias("hub"), F.lit(0).alias("hop"), F.lit(0).alias("dist"), s.alias("parent"))
     for hop in range(1, k + 1):
         found = states(made, hubs, hop, F.col("v") > s).where(x.bitwiseAND(F.lit(NEW | CLEAR)) == NEW | CLEAR)
         found = found.select("v", s.alias("hub"), F.lit(hop).alias("hop"), distance(x).alias("dist"), x.bitwiseAND(F.lit(PARENT)).cast("int").alias("parent"))

@@ -86,6 +86,18 @@ def test_clean_meets_short_labels_and_shuffles_none_of_what_they_reach(spark, se
     assert not exchanges_of_pairs(got.where("hop > 0"))
 
 
+def test_prefix_minimum_takes_labels_where_their_hub_lies(spark):
+    e = tables.land(spark, arcs(spark, 12, 40, 100, 4), "arcs")
+    made = labels.generate(spark, e, ranks(spark, 41), 3)
+    got = labels.prefix_minimum(made, 3)
+    assert not exchanges_of_pairs(got)
+    least = {}
+    for r in labels._by_frontier(spark, e, ranks(spark, 41), 3).collect():
+        for h in range(r.hop, 4):
+            least[r.v, r.hub, h] = min(r.dist, least.get((r.v, r.hub, h), r.dist))
+    assert sorted(got.collect()) == sorted((*key, d) for key, d in least.items())
+
+
 @pytest.mark.parametrize("query_of", [catalog.query_path_check, catalog.query_path_parentless, catalog.verify_mismatches])
 def test_paths_and_checks_land_no_index(spark, sf, query_of):
     before = set(tables.LANDED)
