@@ -85,14 +85,31 @@ def generate(spark: SparkSession, edges: DataFrame, vertices: DataFrame, k: int,
 def generate_by_hub(spark: SparkSession, edges: DataFrame, vertices: DataFrame, k: int, with_group: bool = False) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """All labels, and what gives those of ``hubs(hub)``: labels read off walks are
     made for these hubs alone, so that nobody has to land all of them."""
-    made = walks.plan(edges, k) if k > 0 else None
-    if made and made.steps[-1] <= WALKS_PER_ARC * made.n_arcs and (sources := _hubs(vertices, made)) is not None:
+    if found := _walked(edges, vertices, k):
+        made, sources = found
         of_hubs = lambda hubs: walks.labels(spark, made, sources.join(hubs.select(F.col("hub").alias("s")), "s", "left_semi"), k)
         return walks.labels(spark, made, sources, k), of_hubs
     found = _by_frontier(spark, edges, vertices, k, with_group)
     return found, lambda hubs: found.join(hubs, "hub", "left_semi").select(found.columns)
 
 
+def generate_by_vertex(spark: SparkSession, edges: DataFrame, vertices: DataFrame, k: int) -> DataFrame:
+    """v, hub, hop, dist: the labels of ``generate`` from ``vertices(v)``, without
+    parents.  Those read off walks are made where their vertex lies and need not be
+    shuffled to be taken by vertex."""
+    if found := _walked(edges, vertices, k):
+        return walks.labels_at(spark, found[0], found[1], k)
+    return _by_frontier(spark, edges, vertices, k).select("v", "hub", "hop", "dist")
+
+
+def _walked(edges: DataFrame, vertices: DataFrame, k: int) -> tuple[walks.Plan, DataFrame] | None:
+    """How to walk and the sources, where labels are read off walks."""
+    made = walks.plan(edges, k) if k > 0 else None
+    if made and made.steps[-1] <= WALKS_PER_ARC * made.n_arcs and (sources := _hubs(vertices, made)) is not None:
+        return made, sources
+    return None
+
+
 def _hubs(vertices: DataFrame, made: walks.Plan) -> DataFrame | None:
     """s, low: every vertex and the first of its group, whose hubs' labels only meet
     those of walks over vertices from there on.  None unless the vertices are
@@ -204,8 +221,9 @@ def prefix_minimum(labels: DataFrame, k: int) -> DataFrame:
     return rows.select("v", "hub", F.explode(F.sequence("hop", "until")).alias("hop_le"), "dist")
 
 
-def per_vertex(labels: DataFrame, fields: tuple[str, ...] = ("hub", "hop", "dist", "parent")) -> DataFrame:
+def per_vertex(labels: DataFrame, fields: tuple[str, ...] = ("hub", "hop", "dist", "parent"), placed: bool = False) -> DataFrame:
     """v, list: each vertex's labels sorted by hub, hop, distance.  Rows are dealt
-    out before they are collected, as short lists take more room than rows."""
-    rows = labels.select("v", *fields).repartition("v")
-    return rows.groupBy("v").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("list"))
+    out before they are collected, as short lists take more room than rows; those
+    that lie by vertex (``generate_by_vertex``) stay, given ``placed``."""
+    rows = labels.select("v", *fields)
+    return (rows if placed else rows.repartition("v")).groupBy("v").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("list"))

@@ -120,3 +120,29 @@ def test_labels_of_given_hubs_and_paths_over_them(spark, monkeypatch, walked):
     assert (x.n_queries, x.n_distance, x.n_path) == (40, 0, 0)
     whole = [sorted(query.paths(spark, asked, made, 3, given).collect()) for given in (None, e)]
     assert whole == [sorted(query.paths(spark, asked, ends, 3, given, of_hubs).collect()) for given in (None, e)]
+
+
+def partitions_between(df):
+    """Exchanges above the walks: none where what is collected stays where it was made."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [x for x in re.findall(r"Exchange (hashpartitioning\([^)]*\)[^\n]*)", plan) if "v#" in x or "hub#" in x]
+
+
+@pytest.mark.parametrize("seed,heaviest,k", [(14, 1, 3), (15, 3, 4), (16, 20, 3), (17, 4, 1)])
+def test_labels_by_vertex_equal_those_by_frontier_and_lists_shuffle_none(spark, seed, heaviest, k):
+    e = tables.land(spark, arcs(spark, seed, 40, 100, heaviest), "arcs")
+    one_way = tables.land(spark, e.where("(src * 7 + dst) % 3 != 0"), "arcs")
+    for arcs_of in (e, one_way):
+        got = labels.generate_by_vertex(spark, arcs_of, ranks(spark, 41), k)
+        want = sorted(labels._by_frontier(spark, arcs_of, ranks(spark, 41), k).select(got.columns).collect())
+        assert sorted(got.collect()) == want
+    lists = labels.per_vertex(labels.generate_by_vertex(spark, e, ranks(spark, 41), k), ("hub", "hop", "dist"), placed=True)
+    assert not partitions_between(lists)
+    by_v = {}
+    for r in sorted(labels.generate_by_vertex(spark, e, ranks(spark, 41), k).collect()):
+        by_v.setdefault(r.v, []).append((r.hub, r.hop, r.dist))
+    assert {r.v: [tuple(x) for x in r.list] for r in lists.collect()} == by_v
+
+
+def test_sorted_labels_are_not_shuffled(spark, sf):
+    assert not partitions_between(catalog.labels_sorted(spark, sf))
