@@ -102,6 +102,23 @@ def generate_by_vertex(spark: SparkSession, edges: DataFrame, vertices: DataFram
     return _by_frontier(spark, edges, vertices, k).select("v", "hub", "hop", "dist")
 
 
+def of_some(spark: SparkSession, edges: DataFrame, vertices: DataFrame, k: int) -> tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]:
+    """What gives all labels of given vertices ``ends(v)``, as v, hub, hop, dist, and
+    what gives those of ``hubs(hub)``, with parents.  Labels read off walks are made for
+    these alone, from either side; no other label is made."""
+    if walked := _walked(edges, vertices, k):
+        made, sources = walked
+
+        def some(make: Callable[..., DataFrame], wanted: DataFrame) -> DataFrame:
+            wanted = wanted.toDF("s").distinct()
+            return make(spark, made, sources.join(wanted, "s", "left_semi"), k, wanted.count())
+
+        return lambda ends: some(walks.labels_at, ends), lambda hubs: some(walks.labels, hubs)
+    found = _by_frontier(spark, edges, vertices, k)
+    at = lambda ends: found.join(ends, "v", "left_semi").select("v", "hub", "hop", "dist")
+    return at, lambda hubs: found.join(hubs, "hub", "left_semi").select(found.columns)
+
+
 def _walked(edges: DataFrame, vertices: DataFrame, k: int) -> tuple[walks.Plan, DataFrame] | None:
     """How to walk and the sources, where labels are read off walks."""
     made = walks.plan(edges, k) if k > 0 else None

@@ -27,10 +27,14 @@ def _real(queries: DataFrame, k: int) -> DataFrame:
     return clamped(queries, k).where("h > 0 AND s != t")
 
 
+def ends(queries: DataFrame, k: int) -> DataFrame:
+    """v: the queries' ends, whose labels alone ``meetings`` joins."""
+    return _real(queries, k).select(F.explode(F.array("s", "t")).alias("v")).distinct()
+
+
 def at_ends(queries: DataFrame, labels: DataFrame, k: int) -> DataFrame:
-    """Labels of the queries' ends, the only ones that ``meetings`` joins."""
-    ends = _real(queries, k).select(F.explode(F.array("s", "t")).alias("v")).distinct()
-    return labels.join(ends, "v", "left_semi")
+    """Labels of the queries' ends."""
+    return labels.join(ends(queries, k), "v", "left_semi")
 
 
 def meetings(queries: DataFrame, labels: DataFrame, k: int) -> DataFrame:

@@ -146,3 +146,33 @@ def test_labels_by_vertex_equal_those_by_frontier_and_lists_shuffle_none(spark,
 
 def test_sorted_labels_are_not_shuffled(spark, sf):
     assert not partitions_between(catalog.labels_sorted(spark, sf))
+
+
+@pytest.mark.parametrize("walked", [True, False])
+def test_labels_of_given_vertices_alone(spark, monkeypatch, walked):
+    if not walked:
+        monkeypatch.setattr(labels, "WALKS_PER_ARC", 0)
+    e = tables.land(spark, arcs(spark, 18, 40, 100, 4), "arcs")
+    whole = tables.land(spark, labels._by_frontier(spark, e, ranks(spark, 41), 3), "index")
+    of_ends, of_hubs = labels.of_some(spark, e, ranks(spark, 41), 3)
+    some = spark.createDataFrame([(3,), (40,), (3,), (99,), (31,)], "v int")
+    assert sorted(of_ends(some).collect()) == sorted(whole.where("v IN (3, 31, 40)").select("v", "hub", "hop", "dist").collect())
+    assert sorted(of_hubs(some.toDF("hub")).select(whole.columns).collect()) == sorted(whole.where("hub IN (3, 31, 40)").collect())
+
+
+def walked_from(spark, sf, monkeypatch, query_of):
+    """Whether any walks were made from more vertices than two queries' ends and hubs."""
+    asked = spark.createDataFrame([(0, 3, 14, 3), (1, 9, 14, 2)], "qid long, s int, t int, h int")
+    monkeypatch.setattr(catalog, "batch", lambda *_: asked)
+    dealt, most = walks.dealt, []
+    monkeypatch.setattr(walks, "dealt", lambda spark, made, sources, *rest: most.append(sources.count()) or dealt(spark, made, sources, *rest))
+    got = query_of(spark, sf).collect()
+    return got, most
+
+
+def test_paths_walk_from_the_queries_ends_and_their_hubs_alone(spark, sf, monkeypatch):
+    got, most = walked_from(spark, sf, monkeypatch, catalog.query_path_parentless)
+    e = catalog.ranked(spark, catalog.g2(spark, sf))[1]
+    truth = {r.qid: r.distance for r in exact.distances(spark, catalog.batch(), e, 3).collect()}
+    assert {r.qid: r.path_weight for r in got} == truth
+    assert max(most) <= 3  # of 15 vertices
