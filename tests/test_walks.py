@@ -176,3 +176,9 @@ def test_paths_walk_from_the_queries_ends_and_their_hubs_alone(spark, sf, monkey
     truth = {r.qid: r.distance for r in exact.distances(spark, catalog.batch(), e, 3).collect()}
     assert {r.qid: r.path_weight for r in got} == truth
     assert max(most) <= 3  # of 15 vertices
+
+
+def test_mismatches_walk_from_the_queries_ends_and_their_hubs_alone(spark, sf, monkeypatch):
+    got, most = walked_from(spark, sf, monkeypatch, catalog.verify_mismatches)
+    assert [(r.n_queries, r.n_distance, r.n_path) for r in got] == [(2, 0, 0)]
+    assert max(most) <= 3  # of 15 vertices
