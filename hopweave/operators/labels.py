@@ -167,11 +167,11 @@ def clean(labels: DataFrame) -> DataFrame:
     labels are broadcast where they are few, and every label meets those of its own
     hub: on the vertex's side with v dealt out, then on the hub's.
     """
-    size = labels.agg(F.max("hop").alias("k"), F.count(F.lit(1)).alias("n")).first()
-    k, n = size["k"] or 0, size["n"]
-    short = labels.where((F.col("hop") > 0) & (F.col("hop") <= k // 2))
-    if k < 1 or short.count() > MOST_SHORT:
+    sizes = {r["hop"]: r["count"] for r in labels.groupBy("hop").count().collect()}
+    k, n = max(sizes, default=0), sum(sizes.values())
+    if k < 1 or sum(m for hop, m in sizes.items() if 0 < hop <= k // 2) > MOST_SHORT:
         return _clean_by_joins(labels)
+    short = labels.where((F.col("hop") > 0) & (F.col("hop") <= k // 2))
     x = F.struct(F.col("v").alias("y"), F.col("hop").alias("i"), F.col("dist").alias("e"))
     lists = short.groupBy(F.col("hub").alias("key")).agg(F.concat(F.array(_stay()), F.collect_list(x)).alias("list"))
     tasks = max(labels.sparkSession.sparkContext.defaultParallelism, n // LABELS_A_TASK + 1)
@@ -179,7 +179,8 @@ def clean(labels: DataFrame) -> DataFrame:
     rows = lambda df, x, y, half, check: df.select(F.col(x).alias("x"), F.col(y).alias("y"), "hop", "dist", "parent", F.lit(half).alias("half"), F.lit(check).alias("check"))
     one = _unreplaced(rows(real, "v", "hub", True, True), lists, k, tasks, F.col("a.y") < F.col("x"))
     one = one.select(F.col("x").alias("v"), F.col("y").alias("hub"), "hop", "dist", "parent")
-    both = rows(one, "hub", "v", False, True).unionByName(rows(real, "v", "hub", True, False))
+    # Labels of k hops, most of all, are half of no way.
+    both = rows(one, "hub", "v", False, True).unionByName(rows(real.where(F.col("hop") < k), "v", "hub", True, False))
     two = _unreplaced(both, lists, k, tasks, F.col("a.y") > F.col("x"))
     own = labels.where("hop = 0").select("v", "hub", "hop", "dist", "parent").distinct()
     return own.unionByName(two.select(F.col("y").alias("v"), F.col("x").alias("hub"), "hop", "dist", "parent"))
@@ -189,12 +190,23 @@ def _stay() -> Column:
     return F.struct(F.lit(-1).alias("y"), F.lit(0).alias("i"), F.lit(0).alias("e"))
 
 
+def _dealt(rows: DataFrame, tasks: int) -> DataFrame:
+    """``rows`` by x, written as three numbers and not as seven."""
+    half, check, long = F.col("half").cast("int"), F.col("check").cast("int"), lambda c: F.col(c).cast("long")
+    kind = F.shiftleft(long("hop"), 2).bitwiseOR(F.shiftleft(half, 1)).bitwiseOR(check)
+    out = rows.select("x", F.shiftleft(long("y"), 32).bitwiseOR(kind).alias("p"), F.shiftleft(long("dist"), 32).bitwiseOR(long("parent")).alias("q")).repartition(tasks, "x")
+    high, low = lambda c: F.shiftright(c, 32).cast("int"), lambda c: F.col(c).bitwiseAND(F.lit(walks.LOW)).cast("int")
+    bit = lambda at: F.col("p").bitwiseAND(F.lit(at)) != 0
+    hop = F.shiftright(low("p"), 2)
+    return out.select("x", high("p").alias("y"), hop.alias("hop"), high("q").alias("dist"), low("q").alias("parent"), bit(2).alias("half"), bit(1).alias("check"))
+
+
 def _unreplaced(rows: DataFrame, lists: DataFrame, k: int, tasks: int, side: Column) -> DataFrame:
     """x, y, hop, dist, parent: of ``rows`` to ``check`` those that no ``half``
     (x, mid) with a short label (a.y, mid) of ``lists`` replaces, by hops and
     distance.  All of an x is in one place; what halves reach is not shuffled."""
     a, hop, dist = F.col("a"), F.col("hop"), F.col("dist")
-    met = rows.repartition(tasks, "x").join(F.broadcast(lists), F.when(F.col("half") & (hop < k), F.col("y")) == F.col("key"), "left")
+    met = _dealt(rows, tasks).join(F.broadcast(lists), F.when(F.col("half") & (hop < k), F.col("y")) == F.col("key"), "left")
     met = met.select("x", "y", "hop", "dist", "parent", "check", F.explode(F.coalesce("list", F.array(_stay()))).alias("a"))
     mine = a["y"] == -1
     met = met.where((mine & F.col("check")) | (~mine & side & (hop + a["i"] <= k)))

@@ -182,3 +182,16 @@ def test_mismatches_walk_from_the_queries_ends_and_their_hubs_alone(spark, sf, m
     got, most = walked_from(spark, sf, monkeypatch, catalog.verify_mismatches)
     assert [(r.n_queries, r.n_distance, r.n_path) for r in got] == [(2, 0, 0)]
     assert max(most) <= 3  # of 15 vertices
+
+
+def test_clean_deals_out_no_label_that_is_neither_checked_nor_half_of_a_way(spark, monkeypatch):
+    e = tables.land(spark, arcs(spark, 19, 40, 90, 4), "arcs")
+    superset = tables.land(spark, labels.generate(spark, e, ranks(spark, 40).withColumn("grp", F.col("v") % 4), 3), "superset")
+    unreplaced, dealt = labels._unreplaced, []
+    monkeypatch.setattr(labels, "_unreplaced", lambda rows, *rest: dealt.append(rows) or unreplaced(rows, *rest))
+    got = labels.clean(superset)
+    assert sorted(got.collect()) == sorted(labels.generate(spark, e, ranks(spark, 40), 3).collect())
+    assert len(dealt) == 2
+    for rows in dealt:
+        assert rows.where("NOT check AND hop = 3").isEmpty() and not rows.where("hop = 3").isEmpty()
+    assert "AS p#" in got._jdf.queryExecution().executedPlan().toString()  # packed before they are dealt out
