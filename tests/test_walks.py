@@ -195,3 +195,13 @@ def test_clean_deals_out_no_label_that_is_neither_checked_nor_half_of_a_way(spar
     for rows in dealt:
         assert rows.where("NOT check AND hop = 3").isEmpty() and not rows.where("hop = 3").isEmpty()
     assert "AS p#" in got._jdf.queryExecution().executedPlan().toString()  # packed before they are dealt out
+
+
+@pytest.mark.parametrize("query_of", [catalog.label_pack_unpack])
+def test_labels_read_once_are_neither_landed_nor_shuffled(spark, sf, query_of):
+    before = set(tables.LANDED)
+    got = query_of(spark, sf)
+    got.collect()
+    made = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(tables.LANDED) - before}
+    assert made == {"g2", "numbered", "ranks", "ranked"}
+    assert not exchanges_of_pairs(got) and not partitions_between(got)
