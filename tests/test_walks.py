@@ -197,7 +197,7 @@ def test_clean_deals_out_no_label_that_is_neither_checked_nor_half_of_a_way(spar
     assert "AS p#" in got._jdf.queryExecution().executedPlan().toString()  # packed before they are dealt out
 
 
-@pytest.mark.parametrize("query_of", [catalog.label_pack_unpack])
+@pytest.mark.parametrize("query_of", [catalog.label_pack_unpack, catalog.labels_generate_grouped])
 def test_labels_read_once_are_neither_landed_nor_shuffled(spark, sf, query_of):
     before = set(tables.LANDED)
     got = query_of(spark, sf)
