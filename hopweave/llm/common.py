@@ -12,33 +12,17 @@ Conventions of every operator in this package:
 from __future__ import annotations
 
 import re
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopweave.plans.tables import discard, land, release, shared_dir, sweep
+from hopweave.plans.tables import TIDY, discard, land, release, settings, shared_dir, sweep
 
 __all__ = ["FRUGAL", "discard", "documents", "land", "plain", "release", "settings", "shared_dir", "slices", "stable", "sweep", "texts", "trim"]
 
 
-@contextmanager
-def settings(spark: SparkSession, values: dict[str, str]):
-    """Session settings for the queries that run inside."""
-    before = {k: spark.conf.get(k, None) for k in values}
-    try:
-        for k, v in values.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-#: For queries that this package runs itself: shuffle files go when the query
-#: that made them ends, and Arrow batches of texts stay small on both sides.
-FRUGAL = {
-    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+#: ``TIDY``, and Arrow batches of texts stay small on both sides.
+FRUGAL = TIDY | {
     "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 

@@ -36,10 +36,18 @@ def hop_distances(spark: SparkSession, edges: DataFrame, sources: DataFrame, k:
 
 
 def distances(spark: SparkSession, queries: DataFrame, edges: DataFrame, k: int) -> DataFrame:
-    """qid, s, t, h, distance, hops: fewest edges among the lightest walks."""
-    walks = layers(spark, edges, queries.select("s"), k)
-    met = queries.join(walks.select("s", F.col("v").alias("t"), "hop", "dist"), ["s", "t"]).where("hop <= h")
-    best = met.groupBy("qid").agg(F.min(F.struct("dist", "hop")).alias("x"))
+    """qid, s, t, h, distance, hops: fewest edges among the lightest walks.
+
+    Walks of more than half of ``k`` edges are joined in the middle, from s forwards
+    and from t backwards: only the halves are landed, of which hardly any reach as
+    far as walks of ``k`` edges from all sources.
+    """
+    half = -(-k // 2)
+    there = layers(spark, edges, queries.select("s"), half).select("s", F.col("v").alias("mid"), F.col("hop").alias("hop1"), F.col("dist").alias("d1"))
+    turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    back = layers(spark, turned, queries.select(F.col("t").alias("s")), k - half).select(F.col("s").alias("t"), F.col("v").alias("mid"), F.col("hop").alias("hop2"), F.col("dist").alias("d2"))
+    met = queries.join(back, "t").join(there, ["s", "mid"]).where(((F.col("hop2") == 0) | (F.col("hop1") == half)) & (F.col("hop1") + F.col("hop2") <= F.col("h")))
+    best = met.groupBy("qid").agg(F.min(F.struct((F.col("d1") + F.col("d2")).alias("dist"), (F.col("hop1") + F.col("hop2")).alias("hop"))).alias("x"))
     found = queries.join(best, "qid", "left")
     return found.select("qid", "s", "t", "h", guarded(F.col("x.dist")).alias("distance"), F.coalesce("x.hop", F.lit(0)).cast("int").alias("hops"))
 

@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hopweave.plans.tables import TIDY, settings
+
 #: Arcs up to which all of them are broadcast, 8 bytes each.
 MOST_ARCS = 4_000_000
 #: Steps a task is meant to make.
@@ -51,10 +53,12 @@ def plan(edges: DataFrame, k: int) -> Plan | None:
     for _ in range(k - 1):
         more = edges.join(more, F.col("dst") == F.col("u")).groupBy(F.col("src").alias("u")).agg(F.sum("w").alias("w"))
         sums.append(more.agg(F.sum("w").alias("w")))
-    total = sums[0].withColumn("h", F.lit(0))
-    for h, one in enumerate(sums[1:], 1):
-        total = total.unionByName(one.withColumn("h", F.lit(h)))
-    return Plan(lists("src", "dst"), lists("dst", "src"), x["n"], x["top"], [int(r["w"]) for r in sorted(total.collect(), key=lambda r: r["h"])])
+    with settings(edges.sparkSession, TIDY):
+        total = sums[0].withColumn("h", F.lit(0))
+        for h, one in enumerate(sums[1:], 1):
+            total = total.unionByName(one.withColumn("h", F.lit(h)))
+        steps = [int(r["w"]) for r in sorted(total.select("h", "w").collect(), key=lambda r: r["h"])]
+    return Plan(lists("src", "dst"), lists("dst", "src"), x["n"], x["top"], steps)
 
 
 def distance(x: Column) -> Column:

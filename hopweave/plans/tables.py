@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,23 @@ LANDED: list[str] = []
 #: Rows up to which a side of a join is broadcast; beyond, both are shuffled.
 BROADCAST_ROWS = 200_000
 
+#: For queries that this package runs itself: shuffle files go when the query that
+#: made them ends, and not when the driver happens to collect its garbage.
+TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the queries that run inside."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a temporary folder only where none is set and the
@@ -38,7 +56,8 @@ def land(spark: SparkSession, df: DataFrame, name: str, narrow: bool = False, ke
     if narrow:
         df = df.hint("rebalance")
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with settings(spark, TIDY):
+        df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._landed_path = path
     if not keep:

@@ -205,3 +205,26 @@ def test_labels_read_once_are_neither_landed_nor_shuffled(spark, sf, query_of):
     made = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(tables.LANDED) - before}
     assert made == {"g2", "numbered", "ranks", "ranked"}
     assert not exchanges_of_pairs(got) and not partitions_between(got)
+
+
+@pytest.mark.parametrize("k", [0, 1, 2, 3, 4])
+def test_exact_distances_join_halves_of_walks_and_equal_whole_ones(spark, monkeypatch, k):
+    both = arcs(spark, 23, 30, 60, 3)
+    loops = spark.createDataFrame([(0, 3, 1), (3, 3, 1), (5, 1, 2)], "src int, dst int, weight int")
+    asked = spark.range(900).selectExpr("id AS qid", "CAST(id DIV 30 AS INT) AS s", "CAST(id % 30 AS INT) AS t", "CAST(id % 7 AS INT) - 1 AS h")
+    for e in (both, both.where("src < dst").unionByName(loops)):
+        e = tables.land(spark, e, "arcs")
+        reach, layers = [], exact.layers
+        with monkeypatch.context() as m:
+            m.setattr(exact, "layers", lambda spark, edges, sources, k: reach.append(k) or layers(spark, edges, sources, k))
+            got = exact.distances(spark, asked, e, k).collect()
+        assert reach == [(k + 1) // 2, k // 2]  # no walk of all k edges is landed
+        best = {}
+        for r in layers(spark, e, asked.select("s"), k).collect():
+            best.setdefault((r.s, r.v), []).append((r.dist, r.hop))
+        for r in got:
+            dist, hops = min((x for x in best.get((r.s, r.t), []) if x[1] <= r.h), default=(query.UNREACHABLE, 0))
+            if r.h == 0 or r.s == r.t:
+                dist = 0 if r.s == r.t and r.h >= 0 else query.UNREACHABLE
+            assert (r.distance, r.hops) == (dist, hops)
+        assert len(got) == 900
