@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hopweave.llm.common import FRUGAL, discard, land, release, settings, slices, texts
+from hopweave.llm.common import FRUGAL, discard, land, release, settings, slices, texts, trim
 
 WORDS = 5
 NUM, DEN = 3, 4  # similarity threshold
@@ -53,6 +53,7 @@ VERIFY = 4.0  # cost of a verification in list entries
 SHORT_LIST = 24
 BROADCAST_ROWS = 100_000
 LONG_WORD = 32  # bytes; longer words are hashed one by one
+BLOCK = 1 << 18  # bytes whose words are hashed together
 
 U = np.uint64
 
@@ -80,7 +81,7 @@ def _tables():
     return values[fold], blank, base, inverse, weights
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _powers(n: int):
     _, _, base, inverse, _ = _tables()
     ones = np.full(n, U(base)), np.full(n, U(inverse))
@@ -88,12 +89,32 @@ def _powers(n: int):
     return np.cumprod(ones[0]), np.cumprod(ones[1])
 
 
+def _words(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words, block by block: they do not depend on where a word lies.  Of
+    longer words than LONG_WORD only the first bytes and the length count."""
+    values, _, _, _, weights = _tables()
+    power, inverse = _powers(BLOCK + LONG_WORD)  # a block and a word that begins in it
+    word = np.empty(len(starts), np.uint64)
+    cut = np.searchsorted(starts, np.arange(0, len(b) + BLOCK, BLOCK)).tolist()
+    for block, (i, j) in enumerate(zip(cut, cut[1:])):
+        if i == j:
+            continue
+        at = block * BLOCK
+        own = b[at : at + BLOCK + LONG_WORD]
+        total = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum(values[own] * power[: len(own)], out=total[1:])
+        first = starts[i:j] - at
+        last = np.minimum(ends[i:j] - at, first + LONG_WORD)
+        word[i:j] = (total[last] - total[first]) * inverse[first]
+    return _mix(word + (ends - starts).astype(np.uint64) * weights[WORDS])
+
+
 def shingle_sets(whole: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's distinct shingles, sorted, text after text, and each
     text's number of them.  A-Z count as a-z; words are separated by white space;
     fewer than five words: their sequence is the one shingle; none: no shingle.
     """
-    values, blank, _, _, weights = _tables()
+    _, blank, _, _, weights = _tables()
     data = b" ".join(whole) + b" "
     b = np.frombuffer(data, np.uint8)
     lengths = np.fromiter(map(len, whole), np.int64, len(whole))
@@ -102,13 +123,7 @@ def shingle_sets(whole: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     gap[0], gap[1:] = True, blank[b]
     edge = np.flatnonzero(gap[1:] != gap[:-1])
     starts, ends = edge[0::2], edge[1::2]
-    size = 1 << max(16, int(len(b) - 1).bit_length())
-    power, inverse = _powers(size)
-    total = np.empty(len(b) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(values[b] * power[: len(b)], out=total[1:])
-    word = (total[ends] - total[starts]) * inverse[starts]
-    word = _mix(word + (ends - starts).astype(np.uint64) * weights[WORDS])
+    word = _words(b, starts, ends)
     for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
         folded = data[starts[i] : ends[i]].translate(_lower())
         word[i] = int.from_bytes(blake2b(folded, digest_size=8).digest(), "little")
@@ -170,6 +185,16 @@ def _heads_of(key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
 
 
+def _trimmed(run):
+    """``run`` over a task's batches, whose worker keeps little when it is done."""
+
+    def batchwise(batches):
+        yield from run(batches)
+        trim()
+
+    return batchwise
+
+
 def _pack(buckets: int):
     def run(batches):
         # 2**23 partitions of 2**24 chunks of 2**16 rows.
@@ -327,15 +352,22 @@ def _profile(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
 
+def _trimmed_profile(table: pa.Table) -> pa.Table:
+    try:
+        return _profile(table)
+    finally:
+        trim()
+
+
 def profiles(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """Landed profiles, and the number of tasks for tables of their size."""
     docs = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # A word of six bytes is a shingle of ten.
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size * 5 // 3 // BUCKET_BYTES), 1)
-    counted = docs.mapInArrow(_pack(buckets), PACKED).repartitionById(buckets, F.col("bucket")).mapInArrow(_count, PACKED)
+    counted = docs.mapInArrow(_trimmed(_pack(buckets)), PACKED).repartitionById(buckets, F.col("bucket")).mapInArrow(_trimmed(_count), PACKED)
     tasks = max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
-    return land(spark, counted.groupBy("chunk").applyInArrow(_profile, PROFILE).coalesce(tasks), "ngram-profiles"), tasks
+    return land(spark, counted.groupBy("chunk").applyInArrow(_trimmed_profile, PROFILE).coalesce(tasks), "ngram-profiles"), tasks
 
 
 # ------------------------------------------------------------- components
